@@ -49,3 +49,19 @@ def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str]
     joined = blocked.join(offsets, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in at)))
     within = Window.partitionBy(*at).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(*df.columns, *((F.sum(c).over(within) + F.col(f"_t_{n}")).alias(n) for n, c in sums.items()))
+
+
+def carried(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
+    """Adds ``out``: the last non-null ``value`` of the key before the row in ``order``, again block by block.
+
+    ``df`` holds one row per key and order value (an integer).
+    """
+    last = F.when(F.col(value).isNotNull(), F.struct(F.col(order), F.col(value)))
+    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block))).withColumn("_last", last)
+    at = [*keys, "_block"]
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy(*at).agg(F.max("_last").alias("_t"))
+    offsets = totals.select(*(F.col(k).alias(f"_o_{k}") for k in at), F.max("_t").over(before).alias("_t"))
+    joined = blocked.join(offsets, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in at)))
+    within = Window.partitionBy(*at).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return joined.select(*df.columns, F.coalesce(F.max("_last").over(within), F.col("_t"))[value].alias(out))

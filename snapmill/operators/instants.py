@@ -29,16 +29,16 @@ YEARS = (1970, 2050)
 
 _TIME = r"(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:[.,]9+)?)?"
 _DOTS = r"(?P<h>99?)\.(?P<mi>99)\.(?P<s>99)(?:\.9+)?"
-_HALF = r"(?: ?(?P<ap>aa))?"
 _ZONE = r"(?: ?(?P<off>[+-]99:?99)|(?P<z>a)| (?P<name>a[a/_+9-]*))?"
+_LATER = r"(?: (?P<off>[+-]99:?99)| (?P<name>a[a/_+9-]*))?"
 #: Forms over masks, tried in this order; a T between date and time is checked in the text.
 FORMS = [re.compile(p) for p in (
     r"(?P<epoch>9{10}|9{13}|9{16})",
     rf"(?P<y>9999)-(?P<mo>99)-(?P<d>99)(?: |(?P<t>a)){_TIME}{_ZONE}",
     rf"(?P<y>9999)(?P<mo>99)(?P<d>99)(?:(?P<t>a))?(?P<h>99)(?P<mi>99)(?P<s>99)(?:[.,]9+)?{_ZONE}",
-    rf"(?P<d>99?)-(?P<mon>aaa)-(?P<y>9999|99) (?:{_DOTS}|(?P<h2>99?):(?P<mi2>99)(?::(?P<s2>99)(?:[.,]9+)?)?) (?P<ap>aa){_ZONE}",
+    rf"(?P<d>99?)-(?P<mon>aaa)-(?P<y>9999|99) (?:{_DOTS}|(?P<h2>99?):(?P<mi2>99)(?::(?P<s2>99)(?:[.,]9+)?)?) (?P<ap>aa){_LATER}",
     rf"(?P<d>99?)-(?P<mon>aaa)-(?P<y>9999|99) (?:{_DOTS}|(?P<h2>99?):(?P<mi2>99)(?::(?P<s2>99)(?:[.,]9+)?)?){_ZONE}",
-    rf"(?P<p>99?)/(?P<q>99?)/(?P<y>9999|99) {_TIME} (?P<ap>aa){_ZONE}",
+    rf"(?P<p>99?)/(?P<q>99?)/(?P<y>9999|99) {_TIME} (?P<ap>aa){_LATER}",
     rf"(?P<p>99?)/(?P<q>99?)/(?P<y>9999|99) {_TIME}{_ZONE}",
     rf"aaa (?P<mon>aaa) (?P<d> ?9|99) {_TIME}(?: (?P<name>aa+))? (?P<y>9999)",
 )]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapmill.common import load
-from snapmill.operators import instants, intervals, regular, rejects
+from snapmill.operators import drift, instants, intervals, regular, rejects
 
 ENTITY = ["db_id", "instance_num"]
 
@@ -44,6 +44,27 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return p3_instants(spark, d).groupBy("source_table", "mask", "how").agg(F.count(F.lit(1)).alias("n"), F.count("utc_time").alias("readable"))
 
 
+def p4_changes(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(load(spark, d, "report_files"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_changes(spark, d).select("file_id", F.concat_ws(".", "section", "field").alias("field_path"), "change_kind")
+
+
+def p4_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.consistent(load(spark, d, "report_files"), "awrs.foreground_wait_events", drift.other_names(p4_changes(spark, d)))
+
+
+def p4_failed_casts(spark: SparkSession, d: str) -> DataFrame:
+    files, names = load(spark, d, "report_files"), drift.other_names(p4_changes(spark, d))
+    parts = [drift.consistent(files, s, names).select("file_id", F.lit(s).alias("section"), F.explode("failed").alias("failed")) for s in drift.DECLARED]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     spans = intervals.periods_and_gaps(load(spark, d, "snap_info"), ENTITY, "begin_snap_id", "end_snap_id", "end_snap_time")
     return spans.select("db_id", F.col("instance_num").cast("bigint").alias("instance_num"), "span_kind", F.col("from_id").alias("from_snap_id"), F.col("to_id").alias("to_snap_id"), F.coalesce("ends_at", F.lit("-")).alias("ends_at"))
@@ -59,7 +80,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return missing.select(*ENTITY, "stat_name", F.date_format("hour_start", "yyyy-MM-dd HH:mm:ss").alias("hour_start"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_host_cpu, p1_wait_events, p1_report, p3_found, p3_forms, p5_found, p6_found, p6_series)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_host_cpu, p1_wait_events, p1_report, p3_found, p3_forms, p4_found, p4_table, p4_failed_casts, p5_found, p6_found, p6_series)}
 
 _CELL = '("([^"]|"")*"|[^",]*)'
 _P1_CELLS = f"""
