@@ -65,3 +65,18 @@ def carried(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str
     joined = blocked.join(offsets, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in at)))
     within = Window.partitionBy(*at).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return joined.select(*df.columns, F.coalesce(F.max("_last").over(within), F.col("_t"))[value].alias(out))
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], out: str = "rank", block: int = BLOCK) -> DataFrame:
+    """Adds each row's place (from 1) within its key by ``order`` (an integer), then ``ties``.
+
+    A window sorts the rows of one key and ``block`` order values; offsets come from the block totals.
+    """
+    at = [*keys, "_block"]
+    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    placed = blocked.withColumn("_place", F.row_number().over(Window.partitionBy(*at).orderBy(order, *ties)))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = totals.select(*(F.col(k).alias(f"_o_{k}") for k in at), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    joined = placed.join(offsets, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in at)))
+    return joined.select(*df.columns, (F.col("_place") + F.col("_n")).alias(out))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapmill.common import load
-from snapmill.operators import drift, instants, intervals, regular, rejects
+from snapmill.operators import drift, instants, intervals, regular, rejects, spikes
 
 ENTITY = ["db_id", "instance_num"]
 
@@ -80,7 +80,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return missing.select(*ENTITY, "stat_name", F.date_format("hour_start", "yyyy-MM-dd HH:mm:ss").alias("hour_start"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_host_cpu, p1_wait_events, p1_report, p3_found, p3_forms, p4_found, p4_table, p4_failed_casts, p5_found, p6_found, p6_series)}
+def p7_faulty(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.faulty(spikes.snapshot_readings(load(spark, d, "load_profile"), load(spark, d, "wait_events"), load(spark, d, "db_instance"), load(spark, d, "snap_info")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_faulty(spark, d).select("source_table", "field_name", "row_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return p7_faulty(spark, d).groupBy("source_table", "field_name", "why").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_host_cpu, p1_wait_events, p1_report, p3_found, p3_forms, p4_found, p4_table, p4_failed_casts, p5_found, p6_found, p6_series, p7_found, p7_report)}
 
 _CELL = '("([^"]|"")*"|[^",]*)'
 _P1_CELLS = f"""
