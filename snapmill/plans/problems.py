@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapmill.common import load
-from snapmill.operators import drift, instants, intervals, regular, rejects, spikes
+from snapmill.operators import drift, instants, intervals, logentries, regular, rejects, spikes
 
 ENTITY = ["db_id", "instance_num"]
 
@@ -31,6 +31,24 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return rejects.reject_report(p1_parsed(spark, d))
 
 
+def p2_lines(spark: SparkSession, d: str) -> DataFrame:
+    return logentries.log_lines(load(spark, d, "alert_lines"), load(spark, d, "alertlog_parse_detail"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return logentries.entries(p2_lines(spark, d)).select("log_name", "first_line", "logged_at", "log_level", "component", "code")
+
+
+def p2_messages(spark: SparkSession, d: str) -> DataFrame:
+    lines = p2_lines(spark, d)
+    return logentries.with_messages(lines, logentries.entries(lines)).drop("origin")
+
+
+def p2_layouts(spark: SparkSession, d: str) -> DataFrame:
+    scanned = p2_lines(spark, d).mapInPandas(logentries.scan, logentries.SCANNED)
+    return logentries.mined_layouts(scanned).groupBy("layout").agg(F.count(F.lit(1)).alias("sequences"), F.max("level_at").alias("level_at"), F.max("component_at").alias("component_at"))
+
+
 def p3_instants(spark: SparkSession, d: str) -> DataFrame:
     instances = load(spark, d, "db_instance")
     return instants.to_utc(instants.time_fields(load(spark, d, "snap_info"), instances, load(spark, d, "alertlog_event")), instances)
@@ -92,7 +110,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return p7_faulty(spark, d).groupBy("source_table", "field_name", "why").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_host_cpu, p1_wait_events, p1_report, p3_found, p3_forms, p4_found, p4_table, p4_failed_casts, p5_found, p6_found, p6_series, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_host_cpu, p1_wait_events, p1_report, p2_found, p2_messages, p2_layouts, p3_found, p3_forms, p4_found, p4_table, p4_failed_casts, p5_found, p6_found, p6_series, p7_found, p7_report)}
 
 _CELL = '("([^"]|"")*"|[^",]*)'
 _P1_CELLS = f"""
