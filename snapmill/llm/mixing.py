@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from snapmill.common import cut
 from snapmill.llm import tokens
@@ -28,6 +27,8 @@ TRUST = 0.9
 #: Tokens at which the classifier's evidence is held, so that long documents aren't all certain.
 EVIDENCE = 50.0
 ITERATIONS, ENOUGH = 25, 1e-5
+#: Documents of one source that one task brings to whole repeats, about.
+GROUP_DOCS = 1 << 15
 
 
 def features(text: str | None, folder: str, file: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -92,14 +93,15 @@ def descend(table: DataFrame, rate: Column, member: str, most: Column, goal: np.
     k = len(goal)
     weight = table.agg(*(F.sum(F.col("n_tokens") * F.col(member)[i] * F.col(member)[i]).alias(str(i)) for i in range(k))).first()
     scale = np.array([weight[i] or 0.0 for i in range(k)])
+    last = np.zeros(k)
     for _ in range(rounds):
         sums = table.agg(*(F.sum(rate * F.col("n_tokens") * F.col(member)[i]).alias(str(i)) for i in range(k))).first()
-        step = (np.array([sums[i] or 0.0 for i in range(k)]) - goal) / np.where(scale > 0, scale, np.inf)
+        now = np.array([sums[i] or 0.0 for i in range(k)])
+        if np.abs(now - last).sum() < ENOUGH * max(size, 1.0):  # at the goal, or at the bounds
+            break
+        last, step = now, (now - goal) / np.where(scale > 0, scale, np.inf)
         new = F.least(F.greatest(rate - reduce(lambda a, b: a + b, (F.lit(float(s)) * F.col(member)[i] for i, s in enumerate(step))), F.lit(0.0)), most)
         table, rate = table.withColumn("rate", new), F.col("rate")
-        moved = np.abs(step * np.minimum(scale, size)).sum() / max(size, 1.0)
-        if moved < ENOUGH:
-            break
     return table
 
 
@@ -126,16 +128,26 @@ def mixed(docs: DataFrame, targets: DataFrame, *, folder: str = tokens.FOLDER, f
     table = cut(descend(table, F.col("rate"), "p", most, goal, size))
     table = descend(table.withColumn("own", own), F.col("rate"), "own", most, goal, size)
     table = cut(table.select("doc_id", "source", "n_tokens", F.round("rate", 9).alias("rate"), F.monotonically_increasing_id().alias("row")))
-    # systematic rounding: running total of the fractions within hash groups of a source, a repeat more where it passes a whole number
-    count = F.count(F.lit(1))
-    groups = {r["source"]: max(1, r["n"] // 4096) for r in table.groupBy("source").agg(count.alias("n")).collect()}
+    # whole repeats per hash group of a source, so that its tokens stay
+    groups = {r["source"]: max(1, r["n"] // GROUP_DOCS) for r in table.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per target
     number = F.create_map(*(F.lit(x) for s, n in groups.items() for x in (s, n)))[F.col("source")] if groups else F.lit(1)
-    mark = F.xxhash64("doc_id", "row")
-    w = Window.partitionBy("source", "group").orderBy("mark", "row").rowsBetween(Window.unboundedPreceding, 0)
-    up = table.withColumn("mark", mark).withColumn("group", F.pmod(mark, number)).withColumn("part", F.col("rate") - F.floor("rate"))
-    up = up.withColumn("sum", F.sum("part").over(w) + F.pmod(F.xxhash64("source", "group"), F.lit(1000)) / 1000)
-    repeats = F.floor("rate") + (F.floor(F.col("sum") + 1e-9) - F.floor(F.col("sum") - F.col("part") + 1e-9))
-    return up.select("doc_id", "source", "n_tokens", "rate", repeats.cast("int").alias("repeats"))
+    grouped = table.withColumn("most", most).withColumn("group", F.pmod(F.xxhash64("doc_id", "row"), number))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["n_tokens", "row"], ascending=[False, True])
+        return frame[["doc_id", "source", "n_tokens", "rate"]].assign(repeats=whole(frame["n_tokens"].to_numpy(), frame["rate"].to_numpy(), frame["most"].to_numpy()))
+
+    return grouped.groupBy("source", "group").applyInPandas(run, "doc_id bigint, source string, n_tokens bigint, rate double, repeats int")
+
+
+def whole(sizes: np.ndarray, rates: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whole repeats for rates, largest documents first: what rounding adds or takes in tokens is made up by those after."""
+    owed, out = 0.0, np.zeros(len(sizes), np.int32)
+    for i, (size, rate, top) in enumerate(zip(sizes.tolist(), rates.tolist(), most.tolist(), strict=True)):
+        owed += size * rate
+        out[i] = int(min(max(round(owed / size) if size else rate, 0), top))
+        owed -= size * out[i]
+    return out
 
 
 def reached(chosen: DataFrame, targets: DataFrame) -> DataFrame:
