@@ -3,22 +3,27 @@
 The readings of a source, in order, go through an undecimated Haar decomposition. A spike shows as a block of 1, 2, 4 or 8
 readings whose details against both neighbouring blocks have one sign and are large against the source's robust scale of that
 level. Runs without any detail are stuck. Spikes are then checked exactly against the range of the ordinary readings, which
-holds peaks that recur at one hour of the day. Everything is window and aggregate expressions; a source of any length is cut
-into overlapping chunks by rank.
+holds peaks that recur at one hour of the day.
+
+All readings move once: to the block of snapshots of their instance, where each source is decomposed and its candidates are found. What leaves
+a block is its ordinary range, its candidates, and the ends of its first and last run, so that ranges and runs of a source join over all its blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapmill.common import BLOCK, cut, ranked
+from snapmill.common import BLOCK, cut
 
 LEVELS = (1, 2, 4, 8)
-#: Readings from the neighbouring chunks that the widest level needs.
-HALO = 2 * max(LEVELS)
 #: A detail this many robust scales large makes its readings candidates.
 DETAIL = 4.0
 #: A candidate this many widths of the ordinary range outside of it is faulty.
@@ -31,71 +36,253 @@ STUCK = 5
 PEAK_SHARE, PEAK_SPREAD, MODERATE = 0.6, 0.4, 5.0
 
 
-def both_sides(level: int, x: str, window: Window) -> tuple[Column, Column]:
-    """Detail against the block before, and the lesser of both details where they have one sign, of the block ending here."""
-    mean = F.col(f"_a{level}")
-    left = mean - F.lag(mean, level).over(window)
-    right = mean - F.lead(mean, level).over(window)
-    left, right = F.coalesce(left, right), F.coalesce(right, left)
-    return left, F.when((left > 0) & (right > 0), F.least(left, right)).when((left < 0) & (right < 0), F.greatest(left, right)).otherwise(0.0)
+class Segments:
+    """Sorted readings, one segment per source and field: shifts and orders that stay within segments."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        fresh = np.concatenate(([True], codes[1:] != codes[:-1]))
+        self.starts = np.flatnonzero(fresh)
+        self.seg = np.cumsum(fresh) - 1
+        self.sizes = np.diff(np.append(self.starts, len(codes)))
+        self.pos = np.arange(len(codes)) - self.starts[self.seg]
+        self.size = self.sizes[self.seg]
+
+    def back(self, x: np.ndarray, by: int, other: float) -> np.ndarray:
+        """Each row's value ``by`` rows before."""
+        out = np.full(len(x), other, float)
+        out[by:] = x[: len(x) - by] if by else x
+        out[self.pos < by] = other
+        return out
+
+    def ahead(self, x: np.ndarray, by: int, other: float) -> np.ndarray:
+        out = np.full(len(x), other, float)
+        out[: len(x) - by] = x[by:]
+        out[self.pos + by >= self.size] = other
+        return out
+
+    def ranks(self, x: np.ndarray, shares: tuple[float, ...]) -> list[np.ndarray]:
+        """Per segment the value at each share of its values in order, NaN left out."""
+        order = np.lexsort((x, self.seg))
+        full = np.add.reduceat((~np.isnan(x)).astype(np.int64), self.starts)
+        return [np.where(full > 0, x[order][np.minimum(self.starts + np.maximum(np.ceil(p * full).astype(np.int64) - 1, 0), len(x) - 1)], np.nan) for p in shares]
+
+
+def filled(x: np.ndarray, g: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """The last and the next known value of each row within its segment, NaN for none."""
+    known = ~np.isnan(x)
+    rows = np.arange(len(x))
+    before = np.maximum.accumulate(np.where(known, rows, -1))
+    after = np.minimum.accumulate(np.where(known, rows, len(x))[::-1])[::-1]
+    first, last = g.starts[g.seg], g.starts[g.seg] + g.size
+    return np.where(before >= first, x[np.maximum(before, 0)], np.nan), np.where(after < last, x[np.minimum(after, len(x) - 1)], np.nan)
+
+
+def details(x: np.ndarray, g: Segments) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """By level: each reading's detail against the block before the one that ends there, and the greatest two-sided detail of the
+    blocks that hold it."""
+    level_details, reach = [], []
+    sums, length = x, 1
+    for n in LEVELS:
+        while length < n:  # sums of 2n readings from those of n, so that small sources keep their digits beside large ones
+            sums = sums + g.back(sums, length, 0.0)
+            length *= 2
+        mean = sums / np.minimum(g.pos + 1, n)
+        left, right = mean - g.back(mean, n, np.nan), mean - g.ahead(mean, n, np.nan)
+        left, right = np.where(np.isnan(left), right, left), np.where(np.isnan(right), left, right)
+        both = np.where((left > 0) & (right > 0) | (left < 0) & (right < 0), np.minimum(np.abs(left), np.abs(right)), 0.0)
+        most = both
+        for k in range(1, n):
+            most = np.maximum(most, g.ahead(both, k, 0.0))
+        level_details.append(np.abs(left))
+        reach.append(most)
+    return level_details, reach
+
+
+def recurring(x: np.ndarray, odd: np.ndarray, at: np.ndarray, usual: np.ndarray, g: Segments) -> np.ndarray:
+    """Which candidates belong to a peak that recurs at one hour of the day."""
+    peak = np.zeros(len(x), bool)
+    timed = ~np.isnan(at) & ~np.isnan(x)
+    hour = np.where(timed, np.floor(np.where(timed, at, 0) / 3600), 0).astype(np.int64)
+    code, day = g.seg * 24 + hour % 24, hour // 24
+    mine = np.isin(code, np.unique(code[odd & timed])) & timed
+    rows = np.flatnonzero(mine)
+    if not len(rows):
+        return peak
+    rows = rows[np.lexsort((x[rows], code[rows]))]
+    h = Segments(code[rows])
+    values, days, chosen = x[rows], day[rows], odd[rows]
+    middle = h.ranks(np.where(chosen, values, np.nan), (0.5,))[0][h.seg]
+    near = chosen & (np.abs(values - middle) <= PEAK_SPREAD * np.abs(middle))
+    like = np.add.reduceat(near.astype(np.int64), h.starts)
+    span = lambda d, of: (np.fmin.reduceat(np.where(of, d, np.nan), h.starts), np.fmax.reduceat(np.where(of, d, np.nan), h.starts))
+    (like1, like2), (day1, day2) = span(days, near), span(days, np.ones(len(rows), bool))
+    again = (like1 < like2) | ((day1 == day2) & (np.abs(middle[h.starts]) <= MODERATE * np.abs(usual[rows][h.starts])))
+    peak[rows] = near & ((like > 1) & (like >= PEAK_SHARE * h.sizes) & again)[h.seg]
+    return peak
+
+
+def judge(f: pd.DataFrame) -> pd.DataFrame:
+    """Telling readings of whole blocks: candidates, impossible and stuck ones, ends of runs, each with its block's ordinary range."""
+    entity = f["entity"].to_numpy()
+    marks = f["src"].isna().to_numpy()
+    times = f.loc[marks].groupby(["entity", "place", "tie"], sort=False)["at"].max().reset_index()
+    f = f.loc[~marks].drop(columns="at").merge(times, on=["entity", "place", "tie"], how="left")
+    if not len(f):
+        return pd.DataFrame(columns=JUDGED)
+    entity, kind = f["entity"].to_numpy(), f["kind"].to_numpy()
+    zero, one, two = (kind == 0) & f["has1"].to_numpy(), (kind == 1) & f["has1"].to_numpy(), (kind == 1) & f["has2"].to_numpy()
+    take = np.concatenate((np.flatnonzero(zero), np.flatnonzero(one), np.flatnonzero(two)))
+    field = np.repeat([0, 1, 2], [zero.sum(), one.sum(), two.sum()])
+    v1, v2 = f["v1"].to_numpy(float), f["v2"].to_numpy(float)
+    v = np.where(field == 2, v2[take], v1[take])
+    high = np.where(field == 0, v2[take], np.where(field == 2, 100.0, np.nan))
+    src, place, tie, row_id, copies, at = (f[c].to_numpy()[take] for c in ("src", "place", "tie", "row_id", "copies", "at"))
+    group = entity[take] * 3 + field
+    order = np.lexsort((v, tie, place, src, group))
+    v, high, src, place, tie, row_id, copies, at, group = (a[order] for a in (v, high, src, place, tie, row_id, copies, at, group))
+    changed = (group[1:] != group[:-1]) | (src[1:] != src[:-1])
+    same = ~changed & (place[1:] == place[:-1]) & (tie[1:] == tie[:-1]) & ((v[1:] == v[:-1]) | (np.isnan(v[1:]) & np.isnan(v[:-1])))
+    keep = np.flatnonzero(np.concatenate(([True], ~same)))
+    row_id, copies, high = np.minimum.reduceat(row_id, keep), np.add.reduceat(copies, keep), np.fmax.reduceat(high, keep)
+    segment = np.cumsum(np.concatenate(([0], changed)))[keep]
+    v, src, place, tie, at, group = (a[keep] for a in (v, src, place, tie, at, group))
+    g = Segments(segment)
+    x = np.where(np.isfinite(v) & (v >= 0) & ~(v > high), v, np.nan)
+    before, after = filled(x, g)
+    whole = np.nan_to_num(np.where(np.isnan(before), after, before))
+    t1, t2 = filled(at.astype(float), g)
+    at = np.where(np.isnan(at), (t1 + t2) / 2, at)
+    equal = v == g.back(v, 1, np.nan)
+    run, stuck = equal.astype(float), np.zeros(len(v), bool)
+    ended = run.copy()
+    for k in range(1, STUCK - 1):
+        ended += g.back(run, k, 0.0)
+    for k in range(STUCK):
+        stuck |= g.ahead(ended, k, 0.0) >= STUCK - 1
+    sizes, reach = details(whole, g)
+    far = np.zeros(len(v), bool)
+    for size, most in zip(sizes, reach, strict=True):
+        far |= most > DETAIL * np.nan_to_num(g.ranks(size, (0.5,))[0], nan=np.inf)[g.seg] / 0.6745
+    q1, q2, q3 = (q[g.seg] for q in g.ranks(x, (0.25, 0.5, 0.75)))
+    with np.errstate(invalid="ignore"):
+        odd = far & (np.maximum(x - q3, q1 - x) > q3 - q1)
+    odd &= ~recurring(x, odd, at, q2, g)
+    ordinary = np.where(odd, np.nan, x)
+    low, top = np.fmin.reduceat(ordinary, g.starts)[g.seg], np.fmax.reduceat(ordinary, g.starts)[g.seg]
+    most = np.fmax.reduceat(np.abs(v), g.starts)[g.seg]
+    breaks = np.cumsum(~equal)
+    breaks -= breaks[g.starts[g.seg]] - 1
+    last = breaks[g.starts + g.sizes - 1][g.seg]
+    edge = ((breaks == 1) | (breaks == last)) & ((g.pos + 1 < STUCK) | (g.pos + 1 > g.size - STUCK + 1))
+    tell = np.flatnonzero(np.isnan(x) | stuck | edge | odd)
+    out = {"entity": group // 3, "src": src, "f": group % 3, "low": low, "high": top, "most": most, "place": place, "tie": tie, "v": v, "fine": ~np.isnan(x), "row_id": row_id, "copies": copies, "stuck": stuck, "odd": odd, "edge": edge, "i": g.pos + 1, "n": g.size}
+    return pd.DataFrame({k: a[tell] for k, a in out.items()})
 
 
-def faulty(readings: DataFrame, *, chunk: int = BLOCK, block: int = BLOCK) -> DataFrame:
+JUDGED = ["entity", "src", "f", "low", "high", "most", "place", "tie", "v", "fine", "row_id", "copies", "stuck", "odd", "edge", "i", "n"]
+JUDGED_TYPES = "db_id bigint, instance_num int, block bigint, src bigint, f int, low double, high double, most double, place bigint, tie bigint, v double, fine boolean, row_id bigint, copies bigint, stuck boolean, odd boolean, edge boolean, i bigint, n bigint"
+#: Rows that are judged at once, whole blocks of instances; one larger block is judged by itself.
+ROWS = 200_000
+
+
+def judge_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``judge`` over a partition that is sorted by instance and block."""
+    names = ["db_id", "instance_num", "block"]
+
+    def run(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        keys = [table[n].to_numpy() for n in names]
+        entity = np.cumsum(np.concatenate(([0], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
+        frame = {n: table[n].to_numpy() for n in ("place", "tie", "v1", "v2", "at")} | {n: pc.fill_null(table[n], 0).to_numpy() for n in ("kind", "row_id", "copies")}
+        f = pd.DataFrame(frame | {"entity": entity, "has1": table["v1"].is_valid().to_numpy(), "has2": table["v2"].is_valid().to_numpy()})
+        f["src"] = pd.arrays.IntegerArray(pc.fill_null(table["src"], 0).to_numpy().copy(), ~table["src"].is_valid().to_numpy())
+        out = judge(f)
+        _, first = np.unique(entity, return_index=True)
+        at = out.pop("entity").to_numpy(np.int64) if len(out) else np.zeros(0, np.int64)
+        for n, k in zip(names, keys, strict=True):
+            out[n] = k[first][at]
+        kinds = pa.schema([(n, {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[t]) for n, t in (x.split(" ") for x in JUDGED_TYPES.split(", "))])
+        return pa.RecordBatch.from_arrays([pa.array(out[n.name].to_numpy(), n.type) for n in kinds], schema=kinds)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < ROWS:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = [table[n].to_numpy() for n in names]
+        starts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        if len(starts):  # the last block may go on in the next batch
+            yield run(table.slice(0, int(starts[-1])))
+            held = table.slice(int(starts[-1])).to_batches()
+        else:
+            held = table.combine_chunks().to_batches()
+    if held and sum(b.num_rows for b in held):
+        yield run(pa.Table.from_batches(held))
+
+
+def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal rows of a batch as one, with the least row_id and their number: copies don't travel."""
+    for batch in batches:
+        keys = [n for n in batch.schema.names if n not in ("row_id", "copies")]
+        table = pa.Table.from_batches([batch]).group_by(keys, use_threads=False).aggregate([("row_id", "min"), ("copies", "sum")])
+        yield from table.rename_columns([*keys, "row_id", "copies"]).select(batch.schema.names).combine_chunks().to_batches()
+
+
+#: What a row is: one of load_profile, with the bound of its reading in v2, or one of wait_events, with two readings.
+FIELDS = (("load_profile", "per_second"), ("wait_events", "total_wait_time_s"), ("wait_events", "pct_dbtime"))
+
+
+def faulty(rows: DataFrame, times: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """Faulty readings: ``source_table, field_name, row_id, why``.
 
-    ``readings`` has ``source_table, field_name, row_id, source`` (a struct), ``place`` (a bigint), ``tie`` (a bigint), ``value``
-    (a double), ``low, high`` (its bounds or null) and ``read_at`` (a timestamp or null, for the hour of the day). ``why`` is ``impossible`` (outside the bounds or not
-    finite), ``stuck`` or ``spike``, the first that holds. Rows with a null value, place or source are no readings. Repeated rows
-    (equal but for ``row_id``) count once in the course and are each returned. A source that only reads 0 is idle and has no
-    faulty readings. Other columns are ignored. An empty table gives an empty result.
+    ``rows`` has ``row_id, db_id, instance_num, src`` (a number per source), ``place, tie`` (bigints, the order), ``kind`` (0 or 1), ``v1, v2``:
+    of kind 0 a reading ``v1`` with the upper bound ``v2`` (null for none), of kind 1 two readings, the second of at most 100.
+    Lower bound is 0. ``times`` has ``db_id, instance_num, place, tie, at`` (seconds), for the hour of the day.
+
+    ``why`` is ``impossible`` (outside the bounds or not finite), ``stuck`` or ``spike``, the first that holds. Null readings are
+    none; rows with a null in the instance, source or place hold none. Repeated rows (equal but for ``row_id``) count once in the course and are each
+    returned. A source that only reads 0 is idle and has no faulty readings. Readings without a time have the hour between their neighbours'.
+    Other columns are ignored. An empty table gives an empty result. A task holds ``block`` snapshots of one instance at a time; copies are collapsed before they move.
     """
-    key = ["source_table", "field_name", "source"]
-    given = readings.select(*key, "row_id", "place", "tie", F.col("value").cast("double").alias("value"), "low", "high", F.unix_seconds("read_at").alias("at")).where("value is not null and place is not null and source is not null")
-    course = given.groupBy(*key, "place", "tie", "value").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.max("at").alias("at"))
-    finite = ~F.isnan("value") & (F.abs("value") != F.lit(float("inf")))
-    bounded = course.withColumn("x", F.when(finite & ~F.coalesce((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")), F.lit(False)), F.col("value")))
-    ordered = ranked(bounded, key, "place", ["tie", "value"], "rank", block)
-    home = F.floor(F.col("rank") / chunk)
-    near = F.array_distinct(F.array(home, F.floor((F.col("rank") - HALO) / chunk), F.floor((F.col("rank") + HALO) / chunk)))
-    spread = ordered.withColumn("chunk", F.explode(near)).withColumn("own", F.col("chunk") == home)
-    w = Window.partitionBy(*key, "chunk").orderBy("rank")
-    step = spread.withColumn("x_", F.coalesce("x", F.last("x", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("x", True).over(w.rowsBetween(0, Window.unboundedFollowing)))).withColumn("same", F.coalesce((F.col("value") == F.lag("value").over(w)).cast("int"), F.lit(0)))
-    step = step.withColumn("at", F.coalesce("at", (F.last("at", True).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.first("at", True).over(w.rowsBetween(0, Window.unboundedFollowing))) / 2))
-    step = step.withColumns({f"_a{n}": F.avg("x_").over(w.rowsBetween(1 - n, 0)) for n in LEVELS} | {"run": F.sum("same").over(w.rowsBetween(2 - STUCK, 0))})
-    pairs = {n: both_sides(n, "x_", w) for n in LEVELS}
-    step = step.withColumns({f"_d{n}": F.abs(p[0]) for n, p in pairs.items()} | {f"_s{n}": F.abs(p[1]) for n, p in pairs.items()} | {"stuck": F.max("run").over(w.rowsBetween(0, STUCK - 1)) >= STUCK - 1})
-    step = step.withColumns({f"_m{n}": F.max(f"_s{n}").over(w.rowsBetween(0, n - 1)) for n in LEVELS})
-    details = step.where("own").select(*key, "place", "tie", "value", "x", "at", "stuck", *(f"_d{n}" for n in LEVELS), *(f"_m{n}" for n in LEVELS))
-    details = cut(details)
-    scales = details.groupBy(*key).agg(*(F.percentile_approx(f"_d{n}", 0.5, 1000).alias(f"_c{n}") for n in LEVELS), F.percentile_approx("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q"), F.max(F.abs("value")).alias("most"))
-    active = scales.where("most > 0")
-    far = reduce(lambda a, b: a | b, (F.col(f"_m{n}") > DETAIL * F.col(f"_c{n}") / 0.6745 for n in LEVELS))
-    away = F.greatest(F.col("x") - F.col("q")[2], F.col("q")[0] - F.col("x")) > F.col("q")[2] - F.col("q")[0]
-    judged = details.join(active, key).withColumn("odd", F.coalesce(far & away, F.lit(False))).withColumn("slot", F.pmod(F.floor(F.col("at") / 3600), F.lit(24))).withColumn("day", F.floor(F.col("at") / 86400))
-    judged = judged.select(*key, "place", "tie", "value", "x", "stuck", "odd", "slot", "day", F.col("q")[1].alias("usual"))
-    slots = judged.where("x is not null").groupBy(*key, "slot").agg(F.count(F.lit(1)).alias("n"), F.count_if("odd").alias("odds"), F.min("day").alias("day1"), F.max("day").alias("day2"), F.max("usual").alias("usual"), F.percentile_approx(F.when(F.col("odd"), F.col("x")), 0.5, 1000).alias("middle"), F.min(F.when(~F.col("odd"), F.col("x"))).alias("low"), F.max(F.when(~F.col("odd"), F.col("x"))).alias("high"))
-    odd = judged.where("odd").select(*key, "slot", "day", "x")
-    close = odd.join(slots.where("odds > 1 and slot is not null").select(*key, "slot", "middle"), [*key, "slot"]).where(F.abs(F.col("x") - F.col("middle")) <= PEAK_SPREAD * F.abs("middle")).groupBy(*key, "slot").agg(F.count(F.lit(1)).alias("like"), F.min("x").alias("least"), F.max("x").alias("most"), F.min("day").alias("like1"), F.max("day").alias("like2"))
-    again = (F.col("like1") < F.col("like2")) | ((F.col("day1") == F.col("day2")) & (F.abs("middle") <= MODERATE * F.abs("usual")))
-    peak = (F.col("like") > 1) & (F.col("like") >= PEAK_SHARE * F.col("n")) & again
-    ranges = slots.join(close, [*key, "slot"], "left").groupBy(*key).agg(F.least(F.min("low"), F.min(F.when(peak, F.col("least")))).alias("low"), F.greatest(F.max("high"), F.max(F.when(peak, F.col("most")))).alias("high"))
-    bad = judged.where("x is null or stuck or odd").join(ranges, key, "left")
-    width = F.col("high") - F.col("low")
+    entity = ["db_id", "instance_num", "block"]
+    given = rows.where("db_id is not null and instance_num is not null and src is not null and place is not null and (v1 is not null or (kind = 1 and v2 is not null))").select("db_id", "instance_num", "src", "place", F.coalesce("tie", F.lit(-1)).alias("tie"), F.col("kind").cast("int").alias("kind"), F.col("v1").cast("double").alias("v1"), F.col("v2").cast("double").alias("v2"), "row_id")
+    single = given.withColumn("copies", F.lit(1).cast("bigint"))
+    moved = single.mapInArrow(collapse, single.schema)
+    marks = times.where("at is not null").select("db_id", "instance_num", F.lit(None).cast("bigint").alias("src"), "place", F.coalesce("tie", F.lit(-1)).alias("tie"), "at")
+    together = moved.unionByName(marks, allowMissingColumns=True).withColumn("block", F.floor(F.col("place") / block)).repartition(*entity).sortWithinPartitions(*entity)
+    seen = together.select(*entity, "src", "place", "tie", "kind", "v1", "v2", "row_id", "copies", F.col("at").cast("double").alias("at")).mapInArrow(judge_partition, JUDGED_TYPES)
+    whole = ["db_id", "instance_num", "src", "f"]
+    source = Window.partitionBy(*whole)
+    seen = seen.withColumns({"low": F.min("low").over(source), "high": F.max("high").over(source), "most": F.max("most").over(source)}).where("most > 0").withColumn("x", F.when(F.col("fine"), F.col("v")))
+    # runs over the ends of blocks: the marked ends of a source follow each other, but for those inside a block with others between
+    line = Window.partitionBy(*whole, "edge").orderBy("place", "tie", "v")
+    follows = (F.col("v") == F.lag("v").over(line)) & ((F.col("block") != F.lag("block").over(line)) | (F.col("i") == F.lag("i").over(line) + 1)) & F.when(F.col("block") != F.lag("block").over(line), (F.col("i") == 1) & (F.lag("i").over(line) == F.lag("n").over(line))).otherwise(True)
+    seen = seen.withColumn("next", F.when(F.col("edge"), F.coalesce(follows.cast("int"), F.lit(0))).otherwise(0))
+    seen = seen.withColumn("run", F.sum("next").over(line.rowsBetween(2 - STUCK, 0)))
+    seen = seen.withColumn("stuck", F.col("stuck") | (F.col("edge") & (F.max("run").over(line.rowsBetween(0, STUCK - 1)) >= STUCK - 1)))
     outside = F.greatest(F.col("x") - F.col("high"), F.col("low") - F.col("x"))
-    why = F.when(F.col("x").isNull(), "impossible").when(F.col("stuck"), "stuck").when(F.col("odd") & (outside > 0) & (outside >= WIDTHS * width), "spike")
-    verdict = bad.select(*key, "place", "tie", "value", why.alias("why")).where("why is not null")
-    g, v = given.alias("g"), verdict.alias("v")
-    on = reduce(lambda a, b: a & b, (F.col(f"g.{c}").eqNullSafe(F.col(f"v.{c}")) for c in (*key, "place", "tie", "value")))
-    return g.join(v, on).select("g.source_table", "g.field_name", "g.row_id", "v.why")
+    why = F.when(F.col("x").isNull(), "impossible").when(F.col("stuck"), "stuck").when(F.col("odd") & (outside > 0) & (outside >= WIDTHS * (F.col("high") - F.col("low"))), "spike")
+    verdict = cut(seen.withColumn("why", why).where("why is not null").select(*whole, "place", "tie", "v", "row_id", "copies", "why"))
+    named = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in FIELDS)), F.col("f") + 1)
+    result = lambda df: df.select(named(0).alias("source_table"), named(1).alias("field_name"), "row_id", "why")
+    # copies, which are few, by their keys
+    g, c = given.alias("g"), verdict.where("copies > 1").select(*whole, "place", "tie", "v", "why").alias("c")
+    same_reading = reduce(lambda a, b: a & b, (F.col(f"g.{n}") == F.col(f"c.{n}") for n in ("db_id", "instance_num", "src", "place", "tie")))
+    value = F.when(F.col("c.f") == 2, F.col("g.v2")).otherwise(F.col("g.v1"))
+    copies = g.join(c, same_reading).where((F.col("g.kind") == F.least(F.col("c.f"), F.lit(1))) & value.eqNullSafe(F.col("c.v"))).select("c.f", "g.row_id", "c.why")
+    return result(verdict.where("copies = 1")).unionByName(result(copies))
+
 
+def snapshot_readings(profile: DataFrame, waits: DataFrame, instances: DataFrame, snaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and times for ``faulty`` of load_profile.per_second, wait_events.total_wait_time_s and wait_events.pct_dbtime.
 
-def snapshot_readings(profile: DataFrame, waits: DataFrame, instances: DataFrame, snaps: DataFrame) -> DataFrame:
-    """Readings of load_profile.per_second, wait_events.total_wait_time_s and wait_events.pct_dbtime with bounds and times."""
+    A source is told by a 64-bit hash of its kind and name within its instance. The bound of ``DB CPU(s)`` is the instance's cpus.
+    """
     cpus = instances.groupBy("db_id", "instance_num").agg(F.max("cpus").cast("double").alias("cpus"))
-    at = ["db_id", "instance_num", "begin_snap_id", "end_snap_id"]
-    times = snaps.groupBy(*at).agg(F.max(F.try_to_timestamp("end_snap_time", F.lit("yyyy-MM-dd HH:mm:ss"))).alias("read_at"))
-    source = lambda kind, name: F.struct(F.col("db_id").cast("bigint").alias("db_id"), F.col("instance_num").cast("bigint").alias("instance_num"), kind.alias("kind"), F.col(name).alias("name"))
-    load = profile.join(cpus, ["db_id", "instance_num"], "left").select(F.lit("load_profile").alias("source_table"), F.lit("per_second").alias("field_name"), "row_id", source(F.lit(None).cast("string"), "stat_name").alias("source"), *at, F.col("per_second").alias("value"), F.when(F.col("stat_name") == "DB CPU(s)", F.col("cpus")).alias("high"))
-    wait = waits.select("row_id", source(F.col("wait_kind"), "event").alias("source"), *at, F.explode(F.array(F.struct(F.lit("total_wait_time_s").alias("f"), F.col("total_wait_time_s").alias("v"), F.lit(None).cast("double").alias("h")), F.struct(F.lit("pct_dbtime").alias("f"), F.col("pct_dbtime").alias("v"), F.lit(100.0).alias("h")))).alias("x")).select(F.lit("wait_events").alias("source_table"), F.col("x.f").alias("field_name"), "row_id", "source", *at, F.col("x.v").alias("value"), F.col("x.h").alias("high"))
-    both = load.unionByName(wait).where("value is not null")
-    return both.join(times, at, "left").select("source_table", "field_name", "row_id", "source", F.col("begin_snap_id").alias("place"), F.col("end_snap_id").alias("tie"), "value", F.lit(0.0).alias("low"), "high", "read_at")
+    at = [F.col("db_id").cast("bigint").alias("db_id"), F.col("instance_num").cast("int").alias("instance_num")]
+    order = [F.col("begin_snap_id").alias("place"), F.col("end_snap_id").alias("tie")]
+    load = profile.join(cpus, ["db_id", "instance_num"], "left").where("stat_name is not null").select("row_id", *at, F.xxhash64(F.lit(0), "stat_name").alias("src"), *order, F.lit(0).alias("kind"), F.col("per_second").alias("v1"), F.when(F.col("stat_name") == "DB CPU(s)", F.col("cpus")).alias("v2"))
+    wait = waits.where("event is not null").select("row_id", *at, F.xxhash64(F.lit(1), "wait_kind", "event").alias("src"), *order, F.lit(1).alias("kind"), F.col("total_wait_time_s").alias("v1"), F.col("pct_dbtime").alias("v2"))
+    times = snaps.select(*at, *order, F.unix_seconds(F.try_to_timestamp("end_snap_time", F.lit("yyyy-MM-dd HH:mm:ss"))).alias("at"))
+    return load.unionByName(wait), times

@@ -99,7 +99,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_faulty(spark: SparkSession, d: str) -> DataFrame:
-    return spikes.faulty(spikes.snapshot_readings(load(spark, d, "load_profile"), load(spark, d, "wait_events"), load(spark, d, "db_instance"), load(spark, d, "snap_info")))
+    return spikes.faulty(*spikes.snapshot_readings(load(spark, d, "load_profile"), load(spark, d, "wait_events"), load(spark, d, "db_instance"), load(spark, d, "snap_info")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
