@@ -271,12 +271,15 @@ def mined_layouts(scanned: DataFrame) -> DataFrame:
 
 
 def mined_keys(scanned: DataFrame) -> DataFrame:
-    """``key, role`` (time, level or component) of the keys of JSON and key=value lines, by the type of their values."""
+    """``key, role`` (time, level or component) of the keys of JSON and key=value lines, by the type of their values.
+
+    Where a line has several keys of a role, the one of least ``weakness`` counts: names throughout, then short ones.
+    """
     pairs = scanned.where("keys is not null").select(F.explode(F.arrays_zip("keys", "values")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.values").alias("v"))
     words = "|".join(sorted(LEVELS))
-    stats = pairs.groupBy("key").agg(F.avg(F.col("v").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$").cast("int")).alias("time"), F.avg(F.upper("v").rlike(f"^({words})$").cast("int")).alias("level"), F.avg(F.col("v").rlike(r"^[A-Za-z_][\w.$-]*$").cast("int")).alias("component"))
+    stats = pairs.groupBy("key").agg(F.avg(F.col("v").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$").cast("int")).alias("time"), F.avg(F.upper("v").rlike(f"^({words})$").cast("int")).alias("level"), F.avg((F.col("v").rlike(r"^[A-Za-z_][\w.$-]*$") & ~F.col("v").rlike(r"(?i)^(ORA|TNS)-\d+$")).cast("int")).alias("component"), F.avg(F.length("v")).alias("length"))
     role = F.when(F.col("time") >= SHARE, "time").when(F.col("level") >= SHARE, "level").when(F.col("component") >= SHARE, "component")
-    return stats.select("key", role.alias("role")).where("role is not null")
+    return stats.select("key", role.alias("role"), F.struct(-F.col("component"), "length", "key").alias("weakness")).where("role is not null")
 
 
 def level_of(word: F.Column) -> F.Column:
@@ -300,7 +303,7 @@ def entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     layouts, keys = mined_layouts(scanned), mined_keys(scanned)
     # what the keys of a line say
     pairs = scanned.where("keys is not null").select(*key, "line_no", F.explode(F.arrays_zip("keys", "values")).alias("x")).select(*key, "line_no", F.col("x.keys").alias("key"), F.col("x.values").alias("v"))
-    said = pairs.join(keys, "key").groupBy(*key, "line_no").agg(*(F.min(F.when(F.col("role") == r, F.col("v"))).alias(f"k_{r}") for r in ("time", "level", "component")))
+    said = pairs.join(keys, "key").groupBy(*key, "line_no").agg(*(F.min_by(F.when(F.col("role") == r, F.col("v")), F.when(F.col("role") == r, F.col("weakness"))).alias(f"k_{r}") for r in ("time", "level", "component")))
     s, k = scanned.alias("s"), said.alias("k")
     joined = s.join(layouts, "sequence", "left").join(k, (F.col("s.origin").eqNullSafe(F.col("k.origin"))) & F.col("s.log_name").eqNullSafe(F.col("k.log_name")) & (F.col("s.line_no") == F.col("k.line_no")), "left")
     is_head = F.col("kind") == "head"
