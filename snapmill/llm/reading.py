@@ -101,10 +101,10 @@ def curves(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Log odds by word, the words' languages, and each language's sum of odds by level.
+    """Log chances by word, the words' languages, and each language's sum of chances by level.
 
     The likelihood of a sentence is the one given how many words it has, as usual for Rasch models: long sentences aren't hard by
-    themselves.
+    themselves. Given their number, a word is each one's in proportion to its chance.
     """
 
     def __init__(self, words: list[str], counts: np.ndarray, spoken: np.ndarray, totals: np.ndarray) -> None:
@@ -112,14 +112,14 @@ class Model:
         self.place = {w: i for i, w in enumerate(words)}
         rate = (spoken + 0.01) / (totals.sum(1) + 1.0)
         own = rate / rate.sum(1, keepdims=True) if len(words) else rate
-        odds = curves(counts, own @ totals) if len(words) else np.zeros((0, 4))
-        self.base = np.log(own.T @ np.exp(odds) + 1e-300) if len(words) else np.zeros((len(totals), 4))
-        self.odds = np.vstack([odds, np.zeros(4)])
+        chance = -np.log1p(np.exp(-curves(counts, own @ totals))) if len(words) else np.zeros((0, 4))  # log of the chance
+        self.base = np.log(own.T @ np.exp(chance) + 1e-300) if len(words) else np.zeros((len(totals), 4))
+        self.chance = np.vstack([chance, np.zeros(4)])
         self.speech = np.vstack([np.log(own), np.zeros(len(totals))]) if len(words) else np.zeros((1, len(totals)))
 
     def difficulty(self) -> pd.DataFrame:
         """Per word the level at which it is most likely."""
-        return pd.DataFrame({"word": list(self.place), "level": 1 + self.odds[:-1].argmax(1), "reach": np.ptp(self.odds[:-1], axis=1)})
+        return pd.DataFrame({"word": list(self.place), "level": 1 + self.chance[:-1].argmax(1), "reach": np.ptp(self.chance[:-1], axis=1)})
 
     def likelihoods(self, docs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
         """Likelihood of each sentence by level (scaled to a maximum of 1), and the document of each."""
@@ -131,7 +131,7 @@ class Model:
         starts = np.concatenate(([0], np.cumsum([len(p) for p in places])[:-1]))
         known = np.add.reduceat((flat >= 0).astype(float), starts)
         language = np.add.reduceat(self.speech[flat], starts).argmax(1)
-        log = np.add.reduceat(self.odds[flat], starts) - known[:, None] * self.base[language]
+        log = np.add.reduceat(self.chance[flat], starts) - known[:, None] * self.base[language]
         return np.exp(log - log.max(1, keepdims=True)), owner
 
     def levels(self, docs: list[list[list[str]]], prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
