@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one key and block that a window sorts together. Order values are spread over blocks of this width.
@@ -29,9 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """The condition that all ``keys`` are equal, nulls equal to nulls."""
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on ``keys`` in which nulls are equal; the keys come out once, as the left side has them."""
+    other = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys))
+    return left.join(other, on, how).drop(*(f"_r_{k}" for k in keys))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], block: int = BLOCK) -> DataFrame:

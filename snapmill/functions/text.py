@@ -127,7 +127,7 @@ def safe_id(sql_id: Column) -> Column:
 
 def without_thoughts(text: Column) -> Column:
     """A model's answer without its thinking blocks and code fences."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), r"(?m)^```\w*\s*$", ""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), r"(?m)^```\w*\s*$", ""), r"^\s+|\s+$", "")
 
 
 def csv_field(text: Column) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snapmill.common import join_same
 from snapmill.operators import textscan
 from snapmill.sources.attachments import os_files, plans
 from snapmill.sources.collection import SECTIONS, histogram, metrics, section
@@ -35,7 +36,7 @@ def headers(reports: DataFrame) -> DataFrame:
     lead = section(reports, "foreground_wait_events").groupBy(*AT).agg(F.max_by("event", F.struct("pct_dbtime", "event")).alias("top_event"), F.max("pct_dbtime").alias("top_pct"))
     base = reports.select(*AT, "end_id", "begins", "ends", "file_name", "status")
     ratio = F.when(F.col("db_time_s") > 0, F.col("db_cpu_s") / F.nullif("db_time_s", F.lit(0.0))).otherwise(0.0)
-    return base.join(model, AT, "left").join(lead, AT, "left").withColumn("cpu_ratio", ratio)
+    return join_same(join_same(base, model, AT, "left"), lead, AT, "left").withColumn("cpu_ratio", ratio)
 
 
 def list_snapshots(reports: DataFrame, first: int | None = None, last: int | None = None, limit: int = 50) -> DataFrame:

@@ -200,6 +200,8 @@ def read_html(file_name: str, text: str) -> dict:
     for kind in ("foreground_wait_events", "background_wait_events"):
         for event in doc[kind]:
             event["waitevent_histogram_ms"] = buckets.get(event["event"], {})
+    block = re.search(r"Std Block Size:?\W+(\d+)K", re.sub(r"<[^>]*>", " ", text))
+    instance["db_block_size"] = int(block[1]) * 1024 if block else 8192
     return {"snapshot": doc, "instance": instance, "sql_text": texts, "parameters": parameters}
 
 
@@ -313,7 +315,19 @@ def read_text(file_name: str, text: str) -> dict:
             name, parameters[key] = key, end or begin
         elif not key and begin and name:
             parameters[name] += begin  # a wrapped value
-    return {"snapshot": doc, "instance": {}, "sql_text": {}, "parameters": parameters}
+    return {"snapshot": doc, "instance": instance_in(text), "sql_text": {}, "parameters": parameters}
+
+
+def instance_in(text: str) -> dict:
+    """What the head of a text report says of the instance."""
+    out: dict = {}
+    if m := re.search(r"^\s*(?:\S+\s+)?(\d{5,})\s+(\S+)\s+(\d+)\s+(\d\d-\w{3}-\d\d \d\d:\d\d)\s+([\d.]+)\s+(YES|NO)\s*$", text, re.MULTILINE):
+        out |= {"db_id": int(m[1]), "instance_num": int(m[3]), "startup_time": m[4], "release": m[5], "rac": m[6]}
+    for name, field in (("CPUs", "cpus"), ("Cores", "cores"), ("Sockets", "sockets"), (r"Memory \(G\w*\)", "memory")):
+        if m := re.search(rf"\b{name}\s*:?\s+(\d+)", text):
+            out[field] = int(m[1])
+    block = re.search(r"Std Block Size:\s*(\d+)([KM]?)", text)
+    return out | {"db_block_size": int(block[1]) * {"K": 1024, "M": 2**20, "": 1}[block[2]] if block else 8192}
 
 
 def read_report(file_name: str, text: str) -> dict:
