@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 
 import pandas as pd
@@ -45,6 +46,8 @@ TOKEN = re.compile("|".join(f"(?P<{k}>(?<![\\w.]){v}(?![\\w:]))" for k, v in TIM
 ANY_TIME = re.compile(f"(?:{TIMES['iso']}|{TIMES['dmy']}|{TIMES['ctime']}|{TIMES['yearless']})", re.IGNORECASE)
 CODE = re.compile(r"(?i)(?<![A-Za-z0-9_])(ORA|TNS)-(\d{1,5})(?!\d)")
 PARSE_ERROR = re.compile(r"PARSE ERROR:.*?\berror=(\d{1,5})(?!\d)")
+CLOCK = re.compile(r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d")
+NAME = re.compile(r"[A-Za-z_][\w.$-]*")
 KEYED = re.compile(r'\s*([\w.@-]+)=("(?:[^"\\]|\\.)*"|\S*)')
 INNER = re.compile(r'\s*"([^"]+)"\s*:\s*("(?:[^"\\]|\\.)*"|[^,{}\[\]]+?)\s*,?\s*$')
 #: Tokens of a line that are looked at for its layout; messages begin far earlier.
@@ -133,45 +136,135 @@ def first_code(line: str) -> str | None:
     return min(codes)[1] if codes else None
 
 
-def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per line: its kind (head, keyed, brace, inner or none), token classes and texts, keys and values, code."""
+Line = tuple[str, str | None, list[str] | None, str | None, list[tuple[str, str]], str | None, str | None, bool]
+
+
+def scan(line: str, closed: datetime | None) -> Line:
+    """Of a line: its kind (head, keyed, brace, inner or empty), token classes and texts, time, keys with values, code, what the level
+    would be if the line followed a bare time, and whether it is a bare time."""
+    kind, sequence, texts, at, pairs, alone = "", None, None, None, [], False
+    if line.startswith("{"):
+        if line.strip() == "{":
+            kind = "brace"
+        else:
+            try:
+                doc = json.loads(line)
+                pairs = [(k, str(v)) for k, v in doc.items() if isinstance(v, str | int | float)] if isinstance(doc, dict) else []
+                kind = "keyed"
+            except ValueError:
+                pass
+    elif m := INNER.match(line) if line[:1] in ' \t"' and line else None:
+        pairs, kind = [(m[1], m[2].strip('"'))], "inner"
+    elif KEYED.match(line) and ANY_TIME.search(line):
+        pairs, kind = [(k, v.strip('"')) for k, v in KEYED.findall(line)], "keyed"
+    elif found := head(line):
+        classes, tokens, place, form = found
+        at = clock(tokens[place], form, closed)
+        if at:
+            kind, sequence, texts = "head", " ".join(classes), tokens
+            alone = place == len(tokens) - 1 and all(t == "*" for t in tokens[:-1])
+    pairs = [(k, whole_time(v, closed) or v) for k, v in pairs]
+    if kind == "keyed" and not any(CLOCK.fullmatch(v) for _, v in pairs):
+        kind = ""
+    hint = "WARN" if line.startswith("WARNING") else "ERROR" if line.startswith("ERROR") else None
+    return kind, sequence, texts, at, pairs, first_code(line), hint, alone
+
+
+def moment(closed) -> datetime | None:
+    return None if pd.isna(closed) else closed.to_pydatetime()
+
+
+def survey(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What mining needs of a batch of lines: distinct token sequences, and per key how many of its values are of each type."""
     for f in frames:
-        rows = []
+        sequences: dict[str, int] = {}
+        keys: dict[str, list[int]] = {}
         for line, closed in zip(f["line"], f["closed_at"], strict=True):
-            line = line or ""
-            closed = None if pd.isna(closed) else closed.to_pydatetime()
-            kind, sequence, texts, place, at, keys, values = "", None, None, None, None, None, None
-            pairs = None
-            if line.startswith("{"):
-                if line.strip() == "{":
-                    kind = "brace"
-                else:
-                    try:
-                        doc = json.loads(line)
-                        pairs = [(k, v) for k, v in doc.items() if isinstance(v, str | int | float)] if isinstance(doc, dict) else None
-                        kind = "keyed"
-                    except ValueError:
-                        pass
-            elif m := INNER.match(line) if line[:1] in ' \t"' else None:
-                pairs, kind = [(m[1], m[2].strip('"'))], "inner"
-            elif KEYED.match(line) and ANY_TIME.search(line):
-                pairs, kind = [(k, v.strip('"')) for k, v in KEYED.findall(line)], "keyed"
-            elif found := head(line):
-                classes, texts, place, form = found
-                at = clock(texts[place], form, closed)
-                if at:
-                    kind, sequence = "head", " ".join(classes)
-            if pairs:
-                keys = [k for k, _ in pairs]
-                values = [whole_time(str(v), closed) or str(v) for _, v in pairs]
-            hint = "WARN" if line.startswith("WARNING") else "ERROR" if line.startswith("ERROR") else None
-            alone = kind == "head" and place == len(texts) - 1 and all(t == "*" for t in texts[:-1])
-            rows.append((kind, sequence, texts if kind == "head" else None, at, keys, values, first_code(line), hint, alone))
-        extra = pd.DataFrame(rows, columns=["kind", "sequence", "texts", "at", "keys", "values", "code", "hint", "alone"], index=f.index)
-        yield pd.concat([f[["origin", "log_name", "line_no"]], extra], axis=1)
-
-
-SCANNED = "origin string, log_name string, line_no bigint, kind string, sequence string, texts array<string>, at string, keys array<string>, values array<string>, code string, hint string, alone boolean"
+            kind, sequence, _, _, pairs, _, _, _ = scan(line or "", moment(closed))
+            if kind == "head":
+                sequences[sequence] = sequences.get(sequence, 0) + 1
+            for k, v in pairs if kind in ("keyed", "inner") else ():
+                n = keys.setdefault(k, [0] * 5)
+                for i, x in enumerate((1, CLOCK.fullmatch(v) is not None, v.upper() in LEVELS, NAME.fullmatch(v) is not None and not CODE.fullmatch(v), len(v))):
+                    n[i] += int(x)
+        rows = [("sequence", s, n, 0, 0, 0, 0) for s, n in sequences.items()] + [("key", k, *n) for k, n in keys.items()]
+        yield pd.DataFrame(rows, columns=["what", "name", "n", "times", "levels", "names", "length"])
+
+
+SURVEYED = "what string, name string, n bigint, times bigint, levels bigint, names bigint, length bigint"
+
+
+@dataclass
+class Entry:
+    """Lines of one block that belong together; kind ``rest`` for those before the block's first beginning."""
+
+    kind: str
+    first_line: int
+    last_line: int
+    at: str | None = None
+    sequence: str | None = None
+    texts: list[str] | None = None
+    pairs: list[tuple[str, str]] = field(default_factory=list)
+    code: str | None = None
+    hint: str | None = None
+    alone: bool = False
+    lines: int = 1
+
+    def add(self, other: Entry) -> None:
+        self.last_line, self.lines, self.code = other.last_line, self.lines + other.lines, self.code or other.code
+
+
+def read_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of blocks of lines, which come sorted; ``edge`` says that the lines of other blocks may belong to it."""
+    key, last, held = None, None, []
+    done: list[tuple] = []
+
+    def close() -> None:
+        """The block's entries: objects without a time join the entry before; the last ones and the rest are edges."""
+        out: list[Entry] = []
+        for e in held:
+            if e.kind == "brace" and e is not held[-1] and not any(CLOCK.fullmatch(v) for _, v in e.pairs) and out:
+                out[-1].add(e)
+            else:
+                out.append(e)
+        open_ = 1
+        while open_ < len(out) and out[-open_].kind == "brace":
+            open_ += 1
+        for i, e in enumerate(out):
+            edge = e.kind == "rest" or i >= len(out) - open_ or e.kind == "brace" and not any(CLOCK.fullmatch(v) for _, v in e.pairs)
+            done.append((*key[:2], e.kind, edge or (i == 0), e.first_line, e.last_line, e.at, e.sequence, e.texts, [k for k, _ in e.pairs] or None, [v for _, v in e.pairs] or None, e.code, e.hint, e.alone, e.lines == 1))
+
+    for f in frames:
+        for origin, name, block, no, line, closed in zip(f["origin"], f["log_name"], f["block"], f["line_no"], f["line"], f["closed_at"], strict=True):
+            if (origin, name, block) != key:
+                if key is not None:
+                    close()
+                key, last, held = (origin, name, block), None, []
+            if no == last:
+                continue  # the same line again
+            last = no
+            kind, sequence, texts, at, pairs, code, hint, alone = scan(line or "", moment(closed))
+            here = held[-1] if held else None
+            if kind in ("head", "keyed", "brace"):
+                held.append(Entry(kind, no, no, at, sequence, texts, pairs, code, None, alone))
+            elif here is None:
+                held.append(Entry("rest", no, no, pairs=pairs, code=code, hint=hint))
+            else:
+                if here.lines == 1 and here.alone:
+                    here.hint = hint
+                if kind == "inner" and here.kind in ("brace", "rest"):
+                    here.pairs += pairs
+                here.last_line, here.lines, here.code = no, here.lines + 1, here.code or code
+        if len(done) > 5000:
+            yield pd.DataFrame(done, columns=READ_COLUMNS)
+            done.clear()
+    if key is not None:
+        close()
+    yield pd.DataFrame(done, columns=READ_COLUMNS)
+
+
+READ = "origin string, log_name string, kind string, edge boolean, first_line bigint, last_line bigint, at string, sequence string, texts array<string>, keys array<string>, values array<string>, code string, hint string, alone boolean, single boolean"
+READ_COLUMNS = [c.split(" ")[0] for c in READ.split(", ")]
 
 
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -260,26 +353,25 @@ def mine(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(s, " ".join(templates[k]), *read[k]) for s, k in owner], columns=["sequence", "template", "layout", "level_at", "component_at"])
 
 
-def mined_layouts(scanned: DataFrame) -> DataFrame:
+def mined_layouts(surveyed: DataFrame) -> DataFrame:
     """``sequence, template, layout, level_at, component_at`` of the lines that begin with a time.
 
     Only distinct token sequences reach the clustering, which runs per lead (the tokens up to the time).
     """
-    distinct = scanned.where("kind = 'head'").groupBy("sequence").agg(F.count(F.lit(1)).alias("n"))
+    distinct = surveyed.where("what = 'sequence'").groupBy(F.col("name").alias("sequence")).agg(F.sum("n").alias("n"))
     lead = F.regexp_extract("sequence", r"^(.*?t:\w+)", 1)
     return distinct.withColumn("lead", lead).groupBy("lead").applyInPandas(mine, "sequence string, template string, layout string, level_at int, component_at int")
 
 
-def mined_keys(scanned: DataFrame) -> DataFrame:
+def mined_keys(surveyed: DataFrame) -> DataFrame:
     """``key, role`` (time, level or component) of the keys of JSON and key=value lines, by the type of their values.
 
     Where a line has several keys of a role, the one of least ``weakness`` counts: names throughout, then short ones.
     """
-    pairs = scanned.where("keys is not null").select(F.explode(F.arrays_zip("keys", "values")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.values").alias("v"))
-    words = "|".join(sorted(LEVELS))
-    stats = pairs.groupBy("key").agg(F.avg(F.col("v").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$").cast("int")).alias("time"), F.avg(F.upper("v").rlike(f"^({words})$").cast("int")).alias("level"), F.avg((F.col("v").rlike(r"^[A-Za-z_][\w.$-]*$") & ~F.col("v").rlike(r"(?i)^(ORA|TNS)-\d+$")).cast("int")).alias("component"), F.avg(F.length("v")).alias("length"))
-    role = F.when(F.col("time") >= SHARE, "time").when(F.col("level") >= SHARE, "level").when(F.col("component") >= SHARE, "component")
-    return stats.select("key", role.alias("role"), F.struct(-F.col("component"), "length", "key").alias("weakness")).where("role is not null")
+    sums = surveyed.where("what = 'key'").groupBy(F.col("name").alias("key")).agg(*(F.sum(c).alias(c) for c in ("n", "times", "levels", "names", "length")))
+    share = lambda c: F.col(c) / F.col("n")
+    role = F.when(share("times") >= SHARE, "time").when(share("levels") >= SHARE, "level").when(share("names") >= SHARE, "component")
+    return sums.select("key", role.alias("role"), F.struct((-share("names")).alias("a"), share("length").alias("b"), F.col("key").alias("c")).alias("weakness")).where("role is not null")
 
 
 def level_of(word: F.Column) -> F.Column:
@@ -294,34 +386,43 @@ def entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     ignored. Lines of one origin, name and number are taken once. Lines without a number are left out, null lines are empty ones.
     An entry begins at a line that begins with a time in the layout of its program, at a one-line JSON object with a time,
     or at the brace of one over several lines; a brace without a time before the next entry begins none. A time without a year in a log
-    without ``closed_at`` names no time. Empty and very long lines and an empty table need no care. The lines of a log are
-    numbered off in blocks, so no task holds a whole log.
+    without ``closed_at`` names no time. Empty and very long lines and an empty table need no care. Lines move
+    once, to blocks of ``block`` line numbers of a log, where entries are read; only the first and last ones of a block are joined over blocks.
     """
     key = ["origin", "log_name"]
     own = lines.select(F.col("origin").cast("string").alias("origin"), F.col("log_name").cast("string").alias("log_name"), F.col("line_no").cast("bigint").alias("line_no"), F.col("line").cast("string").alias("line"), F.col("closed_at").cast("timestamp_ntz").alias("closed_at")).where("line_no is not null")
-    scanned = cut(own.dropDuplicates([*key, "line_no"]).mapInPandas(scan, SCANNED))
-    layouts, keys = mined_layouts(scanned), mined_keys(scanned)
-    # what the keys of a line say
-    pairs = scanned.where("keys is not null").select(*key, "line_no", F.explode(F.arrays_zip("keys", "values")).alias("x")).select(*key, "line_no", F.col("x.keys").alias("key"), F.col("x.values").alias("v"))
-    said = pairs.join(keys, "key").groupBy(*key, "line_no").agg(*(F.min_by(F.when(F.col("role") == r, F.col("v")), F.when(F.col("role") == r, F.col("weakness"))).alias(f"k_{r}") for r in ("time", "level", "component")))
-    s, k = scanned.alias("s"), said.alias("k")
-    joined = s.join(layouts, "sequence", "left").join(k, (F.col("s.origin").eqNullSafe(F.col("k.origin"))) & F.col("s.log_name").eqNullSafe(F.col("k.log_name")) & (F.col("s.line_no") == F.col("k.line_no")), "left")
-    is_head = F.col("kind") == "head"
-    slot = lambda c: F.when(is_head & (F.col(c) >= 0), F.col("texts")[F.col(c)])
-    starts = is_head | ((F.col("kind") == "keyed") & F.col("k_time").isNotNull()) | (F.col("kind") == "brace")
-    read = joined.select("s.origin", "s.log_name", "s.line_no", "kind", F.coalesce(starts, F.lit(False)).cast("int").alias("starts"), F.when(is_head, F.col("at")).otherwise(F.col("k_time")).alias("t"), F.when(is_head, slot("level_at")).otherwise(F.col("k_level")).alias("l"), F.when(is_head, slot("component_at")).otherwise(F.col("k_component")).alias("c"), "code", "hint", F.coalesce("alone", F.lit(False)).alias("alone"))
-    numbered = running(read, key, "line_no", {"e": "starts"}, block).where("e > 0")
-    first = F.col("starts") == 1
-    of_start = lambda c: F.min(F.when(first, F.struct("line_no", F.col(c).alias("v"))))["v"]
-    inside = lambda c: F.min(F.when(F.col("kind").isin("inner") & F.col(c).isNotNull(), F.struct("line_no", F.col(c).alias("v"))))["v"]
-    gathered = numbered.groupBy(*key, "e").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), *(of_start(c).alias(f"s_{c}") for c in ("kind", "t", "l", "c", "alone")), *(inside(c).alias(f"i_{c}") for c in ("t", "l", "c")), F.min(F.when(~first, F.struct("line_no", "hint")))["hint"].alias("hint"), F.min(F.when(F.col("code").isNotNull(), F.struct("line_no", "code"))).alias("code"))
-    brace = F.col("s_kind") == "brace"
-    pick = lambda c: F.when(brace, F.col(f"i_{c}")).otherwise(F.col(f"s_{c}"))
-    begun = gathered.select(*key, "e", "first_line", "last_line", pick("t").alias("t"), pick("l").alias("l"), pick("c").alias("c"), F.when(F.col("s_alone"), F.col("hint")).alias("hint"), "code").withColumn("real", F.col("t").isNotNull().cast("int"))
-    final = running(begun, key, "e", {"entry": "real"}, block).where("entry > 0")
-    at_start = lambda c: F.max(F.when(F.col("real") == 1, F.col(c)))
-    out = final.groupBy(*key, "entry").agg(at_start("first_line").alias("first_line"), F.max("last_line").alias("last_line"), at_start("t").alias("logged_at"), at_start("l").alias("l"), at_start("c").alias("c"), at_start("hint").alias("hint"), F.min("code")["code"].alias("code"))
-    return out.select(*key, "first_line", "last_line", "logged_at", F.coalesce(level_of(F.col("l")), F.col("hint"), F.lit("-")).alias("log_level"), F.coalesce("c", F.lit("-")).alias("component"), F.coalesce("code", F.lit("-")).alias("code"))
+    surveyed = cut(own.select("line", "closed_at").mapInPandas(survey, SURVEYED))
+    layouts, roles_ = mined_layouts(surveyed), mined_keys(surveyed)
+    blocked = own.withColumn("block", F.floor(F.col("line_no") / block)).repartition(*key, "block").sortWithinPartitions(*key, "block", "line_no", "line")
+    read = cut(blocked.select(*key, "block", "line_no", "line", "closed_at").mapInPandas(read_blocks, READ))
+    every = read.where("not edge").select(*(c for c in READ_COLUMNS if c not in ("edge", "single"))).unionByName(joined_edges(read.where("edge"), key, block))
+    # one row per entry from here: slots by layout, or keys by role
+    slot = lambda c: F.when(F.col(c) >= 0, F.col("texts")[F.col(c)])
+    rest = ["first_line", "last_line", F.when(F.col("alone"), F.col("hint")).alias("hint"), "code"]
+    heads = every.where("kind = 'head'").join(layouts, "sequence", "left").select(*key, *rest, F.col("at").alias("t"), slot("level_at").alias("l"), slot("component_at").alias("c"))
+    pairs = every.where("kind <> 'head'").select(*key, *rest, F.explode(F.arrays_zip("keys", "values")).alias("x")).select(*key, "first_line", "last_line", "hint", "code", F.col("x.keys").alias("key"), F.col("x.values").alias("v"))
+    of = lambda r: F.min_by(F.when(F.col("role") == r, F.col("v")), F.when(F.col("role") == r, F.col("weakness")))
+    any_time = F.min(F.when(F.col("v").rlike(f"^{CLOCK.pattern}$"), F.col("v")))
+    keyed = pairs.join(roles_, "key", "left").groupBy(*key, "first_line", "last_line", "hint", "code").agg(F.coalesce(of("time"), any_time).alias("t"), of("level").alias("l"), of("component").alias("c"))
+    out = heads.unionByName(keyed.select(heads.columns)).where("t is not null")
+    return out.select(*key, "first_line", "last_line", F.col("t").alias("logged_at"), F.coalesce(level_of(F.col("l")), F.col("hint"), F.lit("-")).alias("log_level"), F.coalesce("c", F.lit("-")).alias("component"), F.coalesce("code", F.lit("-")).alias("code"))
+
+
+def joined_edges(edges: DataFrame, key: list[str], block: int) -> DataFrame:
+    """Entries that may go on in another block, joined with what goes on: few rows per block."""
+    numbered = running(edges.withColumn("starts", (F.col("kind") != "rest").cast("int")), key, "first_line", {"e": "starts"}, block).where("e > 0")
+    start = F.col("kind") != "rest"
+    of_start = [F.max(F.when(start, F.col(c))).alias(c) for c in ("kind", "at", "sequence", "texts", "alone")]
+    line_up = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("first_line", c)))), lambda x: x[c])).alias(c)
+    follow = F.min(F.when(~start, F.struct("first_line", "hint")))["hint"]
+    hint = F.when(F.max(F.when(start, F.col("single"))), follow).otherwise(F.max(F.when(start, F.col("hint")))).alias("hint")
+    first_code_ = F.min(F.when(F.col("code").isNotNull(), F.struct("first_line", "code"))).alias("code")
+    begun = numbered.groupBy(*key, "e").agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), *of_start, line_up("keys"), line_up("values"), hint, first_code_)
+    real = (F.col("kind") != "brace") | F.exists("values", lambda v: v.rlike(f"^{CLOCK.pattern}$"))
+    final = running(begun.withColumn("real", real.cast("int")), key, "first_line", {"entry": "real"}, block).where("entry > 0")
+    kept = ["first_line", "kind", "at", "sequence", "texts", "keys", "values", "hint", "alone"]
+    whole = final.groupBy(*key, "entry").agg(F.max(F.when(F.col("real") == 1, F.struct(*kept))).alias("s"), F.max("last_line").alias("last_line"), F.min("code")["code"].alias("code"))
+    return whole.select(*key, "s.*", "last_line", "code")
 
 
 def with_messages(lines: DataFrame, found: DataFrame) -> DataFrame:

@@ -81,16 +81,16 @@ def valid(column: pa.Array, kind: str) -> np.ndarray:
     else:
         good = pc.match_substring_regex(column, NUMBER).to_numpy(zero_copy_only=False).copy()
         at = np.flatnonzero(good)
-        values = np.array([float(x) for x in column.take(pa.array(at)).to_pylist()], float)
+        values = np.array(column.take(pa.array(at)).to_pylist(), str).astype(float) if len(at) else np.zeros(0)
         good[at] = np.isfinite(values) & ((values <= 100) if kind == "pct" else True)
     return good | empty if optional else good & ~empty
 
 
-def read_batch(lines: pa.Array, sections: pa.Array, layouts: dict[str, Layout]) -> tuple[np.ndarray, list]:
-    """Reason codes (index into REASONS, -1 if readable) and, for readable records, the cells."""
+def read_batch(lines: pa.Array, sections: pa.Array, layouts: dict[str, Layout]) -> tuple[np.ndarray, pa.Array]:
+    """Reason codes (index into REASONS, -1 if readable) and lists of the cells, null for records that aren't readable."""
     lines = pc.fill_null(lines.cast(pa.large_string()), "")
     n = len(lines)
-    reason, cells_out = np.full(n, 1), [None] * n
+    reason, place, parts = np.full(n, 1), np.zeros(n, np.int64), [pa.array([None], pa.list_(pa.large_string()))]
     names = pc.fill_null(sections.cast(pa.string()), "").to_numpy(zero_copy_only=False)
     for name in set(names) - set(layouts):  # no layout, so no number of cells can be right
         at = np.flatnonzero(names == name)
@@ -117,10 +117,9 @@ def read_batch(lines: pa.Array, sections: pa.Array, layouts: dict[str, Layout])
         for k, (_, kind) in enumerate(layout.cells):
             fine &= valid(flat.take(pa.array(np.arange(k, len(flat), width))), kind)
         reason[good[~fine]] = 2
-        table = np.array(flat.to_pylist(), object).reshape(len(good), width)
-        for i in np.flatnonzero(fine):
-            cells_out[good[i]] = table[i].tolist()
-    return reason, cells_out
+        place[good[fine]] = sum(map(len, parts)) + np.flatnonzero(fine)
+        parts.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width), pa.int32()), flat))
+    return reason, pa.concat_arrays(parts).take(pa.array(place))
 
 
 def buffer(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +143,7 @@ def parse_records(df: DataFrame, layouts: dict[str, Layout] = LAYOUTS, *, id_col
         for batch in batches:
             reason, cells = read_batch(batch.column(3), batch.column(1), layouts)
             words = pa.array([None if r < 0 else REASONS[r] for r in reason], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), words, pa.array(cells, pa.list_(pa.string()))], ["row_id", "section_name", "file_name", "reason", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), words, cells.cast(pa.list_(pa.string()))], ["row_id", "section_name", "file_name", "reason", "cells"])
 
     own = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(section_col).cast("string").alias("section_name"), F.col(file_col).cast("string").alias("file_name"), F.col(line_col).cast("string").alias("line"))
     return own.mapInArrow(run, "row_id bigint, section_name string, file_name string, reason string, cells array<string>")

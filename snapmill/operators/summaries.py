@@ -84,3 +84,43 @@ def tracked(series: DataFrame, specs: Sequence[tuple[str, str, str, float]], key
 def cpu_changes(hosts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Keys whose number of processors changed."""
     return hosts.groupBy(*keys).agg(F.count_distinct("cpus").alias("values"), F.min("cpus").alias("least"), F.max("cpus").alias("most")).where(F.col("values") > 1)
+
+
+def rank_ids(rows: DataFrame, top: int = 10) -> DataFrame:
+    """Statement ids (``sql_id, elapsed, place``) by how often they are listed, then elapsed time, then who came first."""
+    ranked = rows.groupBy("sql_id").agg(F.count(F.lit(1)).alias("n"), F.sum("elapsed").alias("elapsed"), F.min("place").alias("first_seen"))
+    return ranked.orderBy(F.col("n").desc(), F.col("elapsed").desc(), "first_seen", "sql_id").limit(top)
+
+
+def merged_ids(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Ids of two lists (``id, place``), those of the first before those of the second, each once."""
+    both = first.select("id", F.struct(F.lit(0).alias("list"), "place").alias("o")).unionByName(second.select("id", F.struct(F.lit(1).alias("list"), "place").alias("o")))
+    return both.groupBy("id").agg(F.min("o").alias("o")).orderBy("o").select("id")
+
+
+def modules(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Per statement the module that its first snapshot names (``sql_id, module, snap_id``)."""
+    return rows.where("module is not null").groupBy(*keys, "sql_id").agg(F.min_by("module", F.struct("snap_id", "module")).alias("module"))
+
+
+def precedence(weak: DataFrame, strong: DataFrame, key: str) -> DataFrame:
+    """Rows of either table by ``key``; where both have it, those of the stronger."""
+    return strong.unionByName(weak.join(strong.select(key).distinct(), key, "left_anti"))
+
+
+def box(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Per name the numbers of a box chart: count, mean, deviation, quartiles, ends, and the last values within 1.5 quartile ranges."""
+    q = series.groupBy(*keys, "name").agg(F.count("value").alias("n"), F.min("value").alias("least"), F.avg("value").alias("mean"), F.max("value").alias("most"), F.var_pop("value").alias("variance"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    wide = series.join(q, [*keys, "name"])
+    reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
+    inside = lambda c: F.when(c, F.col("value"))
+    out = wide.groupBy(*keys, "name", "n", "least", "mean", "most", "variance", "q").agg(F.min(inside(F.col("value") >= F.col("q")[0] - reach)).alias("lower"), F.max(inside(F.col("value") <= F.col("q")[2] + reach)).alias("upper"))
+    return out.select(*keys, "name", "n", "least", "lower", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "upper", "most", "mean", "variance", F.sqrt("variance").alias("spread"))
+
+
+def buckets(series: DataFrame, bins: int = 20, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Per name a histogram of its values in bins of one width."""
+    ends = series.groupBy(*keys, "name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    bin_ = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(0)
+    return series.join(ends, [*keys, "name"]).withColumn("bin", bin_).groupBy(*keys, "name", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))

@@ -263,3 +263,43 @@ def json_rows(spark, d):
 def budget_prefix(spark, d):
     names = views.stats(spark, d).select("name").distinct()
     return series.prefix_within(names, text.token_estimate(F.col("name")), 12, [F.col("name")])
+
+
+@query(with_views("waits", f"SELECT {K}, name, n, round(least, 6) AS least, round(min(CASE WHEN value >= q1 - 1.5 * (q3 - q1) THEN value END), 6) AS lower, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(max(CASE WHEN value <= q3 + 1.5 * (q3 - q1) THEN value END), 6) AS upper, round(most, 6) AS most, round(mean, 6) AS mean FROM waits JOIN q USING ({K}, name) GROUP BY {K}, name, n, least, q1, median, q3, most, mean", f"q AS (SELECT {K}, name, count(value) AS n, min(value) AS least, quantile_cont(value, 0.25) AS q1, median(value) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS most, avg(value) AS mean FROM waits GROUP BY ALL)"))
+def event_boxes(spark, d):
+    return r6(summaries.box(views.waits(spark, d)), "least", "lower", "q1", "median", "q3", "upper", "most", "mean").drop("variance", "spread")
+
+
+@query(with_views("waits", f"SELECT {K}, name, bin, count(*) AS n, min(value) AS least, max(value) AS most FROM (SELECT *, CASE WHEN hi > lo THEN least(CAST(floor((value - lo) / nullif((hi - lo) / 20, 0)) AS BIGINT), 19) ELSE 0 END AS bin FROM waits JOIN (SELECT {K}, name, min(value) AS lo, max(value) AS hi FROM waits GROUP BY ALL) USING ({K}, name)) GROUP BY ALL"))
+def event_buckets(spark, d):
+    return summaries.buckets(views.waits(spark, d))
+
+
+@query("SELECT event AS sql_id, count(*) AS n, round(sum(total_wait_time_s), 4) AS elapsed, min(row_id) AS first_seen FROM wait_events WHERE total_wait_time_s IS NOT NULL GROUP BY ALL ORDER BY n DESC, sum(total_wait_time_s) DESC, first_seen, sql_id LIMIT 10")
+def id_ranking(spark, d):
+    rows = load(spark, d, "wait_events").where("total_wait_time_s is not null").select(F.col("event").alias("sql_id"), F.col("total_wait_time_s").alias("elapsed"), F.col("row_id").alias("place"))
+    return summaries.rank_ids(rows).withColumn("elapsed", F.round("elapsed", 4))
+
+
+@query("WITH f AS (SELECT DISTINCT event AS id, min(row_id) AS place, 0 AS l FROM wait_events WHERE wait_kind = 'foreground' GROUP BY ALL), b AS (SELECT DISTINCT event AS id, min(row_id) AS place, 1 AS l FROM wait_events WHERE wait_kind = 'background' GROUP BY ALL) SELECT DISTINCT id FROM (SELECT * FROM f UNION ALL SELECT * FROM b)")
+def merged_ids(spark, d):
+    rows = load(spark, d, "wait_events")
+    of = lambda kind: rows.where(F.col("wait_kind") == kind).groupBy(F.col("event").alias("id")).agg(F.min("row_id").alias("place"))
+    return summaries.merged_ids(of("foreground"), of("background"))
+
+
+@query("SELECT db_id, CAST(instance_num AS BIGINT) AS instance_num, event AS sql_id, arg_min(wait_kind, {'s': begin_snap_id, 'm': wait_kind}) AS module FROM wait_events WHERE wait_kind IS NOT NULL GROUP BY ALL")
+def first_modules(spark, d):
+    rows = load(spark, d, "wait_events").select("db_id", F.col("instance_num").cast("bigint").alias("instance_num"), F.col("event").alias("sql_id"), F.col("wait_kind").alias("module"), F.col("begin_snap_id").alias("snap_id"))
+    return summaries.modules(rows)
+
+
+@query("SELECT event AS name, 'foreground' AS kind FROM (SELECT DISTINCT event FROM wait_events WHERE wait_kind = 'foreground') UNION ALL SELECT event, 'background' FROM (SELECT DISTINCT event FROM wait_events WHERE wait_kind = 'background' AND event NOT IN (SELECT event FROM wait_events WHERE wait_kind = 'foreground'))")
+def stronger_list(spark, d):
+    rows = load(spark, d, "wait_events").select(F.col("event").alias("name"), F.col("wait_kind").alias("kind")).distinct()
+    return summaries.precedence(rows.where("kind = 'background'"), rows.where("kind = 'foreground'"), "name")
+
+
+@query("SELECT DISTINCT stat_name AS name FROM load_profile WHERE lower(trim(stat_name)) IN ('" + "', '".join(n.replace("'", "''") for n in (*dims.COUNTERS, "user calls")) + "')")
+def stat_group_filter(spark, d):
+    return dims.of_group(load(spark, d, "load_profile").select(F.col("stat_name").alias("name")).distinct(), "counters")

@@ -17,10 +17,11 @@ def entries(spark, lines, closed=datetime(2024, 1, 10), **kwargs):
     return sorted((r.first_line, r.logged_at, r.log_level, r.component, r.code) for r in logentries.entries(df, **kwargs).collect())
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
-def test_same_as_listed_layouts(spark, sf):
+@pytest.mark.parametrize(("sf", "block"), [("sf0.001", None), ("sf0.01", None), ("sf0.001", 3), ("sf0.01", 16)])
+def test_same_as_listed_layouts(spark, sf, block):
     d = f"{DATA}/{sf}"
-    got = sorted(tuple(r) for r in p2_found(spark, d).collect())
+    found = logentries.entries(p2_lines(spark, d), block).select("log_name", "first_line", "logged_at", "log_level", "component", "code") if block else p2_found(spark, d)
+    got = sorted(tuple(r) for r in found.collect())
     logs, want = {}, []
     for r in load(spark, d, "alert_lines").orderBy("log_name", "line_no").collect():
         logs.setdefault(r.log_name, []).append((r.line_no, r.line, r.closed_at))
@@ -49,13 +50,16 @@ def test_years_and_gaps(spark):
 
 def test_json_over_lines(spark):
     lines = ["{", '  "lvl": "Warn",', '  "logger": "a.b",', '  "ts": "2024-01-02T03:04:05Z"', "}", "tail ORA-00942", "{", '  "no": "time"', "}", '{"ts": "2024-01-02T03:04:06+01:00", "lvl": "ERR", "logger": "c", "msg": "TNS-12535"}']
-    assert entries(spark, lines) == [(1, "2024-01-02 03:04:05", "WARN", "a.b", "ORA-00942"), (10, "2024-01-02 03:04:06", "ERROR", "c", "TNS-12535")]
+    want = [(1, "2024-01-02 03:04:05", "WARN", "a.b", "ORA-00942"), (10, "2024-01-02 03:04:06", "ERROR", "c", "TNS-12535")]
+    for block in (4096, 2, 3, 5):
+        assert entries(spark, lines, block=block) == want
 
 
 def test_blocks_and_edges(spark):
     lines = ["2024-01-01T00:00:00+01:00", "WARNING: too many", "x" * 100_000, "", None, "  2024-01-01T00:00:01 indented", "> 2024-01-01 00:00:02 ERROR [q] quoted", "2024-13-01T00:00:00", "2024-01-01T00:00:05Z"]
     want = [(1, "2024-01-01 00:00:00", "WARN", "-", "-"), (9, "2024-01-01 00:00:05", "-", "-", "-")]
-    assert entries(spark, lines) == want == entries(spark, lines, block=2)
+    for block in (4096, 1, 2, 4):
+        assert entries(spark, lines, block=block) == want
     df = spark.createDataFrame([("o", None, 1, "2024-01-01T00:00:00Z", None), ("o", None, 1, "2024-01-01T00:00:00Z", None), (None, "l", 1, "2024-01-01T00:00:00Z", None), ("o", "l", None, "2024-01-01T00:00:00Z", None)], TYPES)
     clash = df.withColumn("code", F.lit(1)).withColumn("entry", F.lit(2)).withColumn("kind", F.lit("x"))
     assert logentries.entries(clash).count() == 2
