@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one key and block that a window sorts together. Order values are spread over blocks of this width.
@@ -29,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def utc_time(text: str) -> Column:
+    """``YYYY-MM-DD HH:MM:SS`` as an instant of UTC, whatever the session's time zone; null for anything else."""
+    return F.try_to_timestamp(F.concat(F.col(text), F.lit(" +00:00")), F.lit("yyyy-MM-dd HH:mm:ss XXX"))
+
+
+def utc_text(at: str) -> Column:
+    """An instant as UTC's ``YYYY-MM-DD HH:MM:SS``, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(F.col(at), F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """A join on ``keys`` in which nulls are equal; the keys come out once, as the left side has them."""
     other = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snapmill.common import join_same
 from snapmill.operators.series import KEYS, of
 
 THRESHOLD, TOP = 7.0, 10
@@ -49,11 +50,14 @@ def mad_sliding(series: DataFrame, percent: float, snapshots: int, threshold: fl
     if not full:
         return mad_global(series, threshold, top, keys).limit(0)
     w = of(keys, "name").orderBy("snap_id")
-    i = F.row_number().over(w) - 1
-    around = F.collect_list("value").over(w.rowsBetween(-half, half - 1))
-    head = F.collect_list(F.when(F.col("i") < full, F.col("value"))).over(of(keys, "name"))
-    framed = series.withColumn("i", i).withColumn("around", around).withColumn("frame", F.array_sort(F.when(F.col("i") < half, head).otherwise(F.col("around"))))
-    scored = framed.withColumn("m", middle(F.col("frame"))).withColumn("mad", middle(F.array_sort(F.transform("frame", lambda x: F.abs(x - F.col("m"))))))
+    placed = series.withColumn("i", F.row_number().over(w) - 1).withColumn("around", F.collect_list("value").over(w.rowsBetween(-half, half - 1)))
+    heads = placed.where(F.col("i") < full).groupBy(*keys, "name").agg(F.array_sort(F.collect_list("value")).alias("head"))
+    head = join_same(placed.where(F.col("i") < half), heads, [*keys, "name"]).withColumn("frame", F.col("head")).drop("head")
+    framed = placed.where(F.col("i") >= half).withColumn("frame", F.array_sort("around")).unionByName(head)
+    # lambda variables hold what is used twice, and the explosion keeps the optimiser from writing it out again
+    with_middle = F.transform(F.array("frame"), lambda f: F.struct(f.alias("f"), middle(f).alias("m")))
+    stats = F.transform(with_middle, lambda s: F.struct(s["m"].alias("m"), middle(F.array_sort(F.transform(s["f"], lambda x: F.abs(x - s["m"])))).alias("mad")))
+    scored = framed.select(*keys, "snap_id", "name", "value", F.explode(stats).alias("s")).select(*keys, "snap_id", "name", "value", "s.*")
     return best(scored.withColumn("score", F.abs(F.col("value") - F.col("m")) / F.nullif("mad", F.lit(0.0))), threshold, top, keys)
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snapmill.common import utc_time
+
 #: Periods in hours of the harmonics.
 PERIODS = (24, 12, 168)
 YEAR = 24 * 365.25
@@ -93,6 +95,6 @@ def readings_at_ends(profile: DataFrame, snaps: DataFrame) -> DataFrame:
     Re-delivered rows of either table count once. Rows without such a report or time are left out.
     """
     at = ["db_id", "instance_num", "begin_snap_id", "end_snap_id"]
-    times = snaps.select(*at, F.try_to_timestamp("end_snap_time", F.lit("yyyy-MM-dd HH:mm:ss")).alias("read_at")).where("read_at is not null").distinct()
+    times = snaps.select(*at, utc_time("end_snap_time").alias("read_at")).where("read_at is not null").distinct()
     values = profile.select(*at, "stat_name", "per_second").where("per_second is not null").distinct()
     return values.join(times, at).withColumn("instance_num", F.col("instance_num").cast("bigint"))

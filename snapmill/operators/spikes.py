@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapmill.common import BLOCK, cut
+from snapmill.common import BLOCK, cut, utc_time
 
 LEVELS = (1, 2, 4, 8)
 #: A detail this many robust scales large makes its readings candidates.
@@ -284,5 +284,5 @@ def snapshot_readings(profile: DataFrame, waits: DataFrame, instances: DataFrame
     order = [F.col("begin_snap_id").alias("place"), F.col("end_snap_id").alias("tie")]
     load = profile.join(cpus, ["db_id", "instance_num"], "left").where("stat_name is not null").select("row_id", *at, F.xxhash64(F.lit(0), "stat_name").alias("src"), *order, F.lit(0).alias("kind"), F.col("per_second").alias("v1"), F.when(F.col("stat_name") == "DB CPU(s)", F.col("cpus")).alias("v2"))
     wait = waits.where("event is not null").select("row_id", *at, F.xxhash64(F.lit(1), "wait_kind", "event").alias("src"), *order, F.lit(1).alias("kind"), F.col("total_wait_time_s").alias("v1"), F.col("pct_dbtime").alias("v2"))
-    times = snaps.select(*at, *order, F.unix_seconds(F.try_to_timestamp("end_snap_time", F.lit("yyyy-MM-dd HH:mm:ss"))).alias("at"))
+    times = snaps.select(*at, *order, F.unix_seconds(utc_time("end_snap_time")).alias("at"))
     return load.unionByName(wait), times

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapmill.common import load
+from snapmill.common import load, utc_text
 from snapmill.operators import drift, instants, intervals, logentries, regular, rejects, spikes
 
 ENTITY = ["db_id", "instance_num"]
@@ -95,7 +95,7 @@ def p6_series(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     missing = p6_series(spark, d).where(F.col("status").isin("filled", "marked"))
-    return missing.select(*ENTITY, "stat_name", F.date_format("hour_start", "yyyy-MM-dd HH:mm:ss").alias("hour_start"))
+    return missing.select(*ENTITY, "stat_name", utc_text("hour_start").alias("hour_start"))
 
 
 def p7_faulty(spark: SparkSession, d: str) -> DataFrame:
