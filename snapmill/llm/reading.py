@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapmill.common import cut
+from snapmill.llm.tokens import spread
 
 GRADES = np.arange(1, 5)
 #: Labelled documents that the model is fitted on, at most about so many.
@@ -37,7 +38,9 @@ HOLD = 4.0
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 BULLET = re.compile(r"^\s*(?:[-*•–]|\d+[.)])\s+")
 END = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+(?=\S)")
-CLOSED = re.compile(r"[.!?…][\"'”’)]*$")
+CLOSERS, MARKS = "\"'”’)", ".,;:!?…\"'“”„’()[]"
+#: Pieces of text between blanks whose words a worker keeps at hand.
+KEPT = 200_000
 
 
 def near(share: float) -> np.ndarray:
@@ -50,6 +53,21 @@ def near(share: float) -> np.ndarray:
 SENTENCE_OF, LABEL_OF = near(OWN), near(READER)
 
 
+def words_of(piece: str, kept: dict[str, tuple[tuple[str, ...], bool]] = {}) -> tuple[tuple[str, ...], bool]:  # noqa: B006 - kept between calls
+    """The lower-case words of a piece of text between blanks, and whether it is a word and nothing else."""
+    found = kept.get(piece)
+    if found is None:
+        if len(kept) >= KEPT:
+            kept.clear()
+        found = kept[piece] = (tuple(w.lower() for w in WORD.findall(piece)), WORD.fullmatch(piece.strip(MARKS)) is not None)
+    return found
+
+
+def closed(text: str) -> bool:
+    """Whether a text ends as a sentence does."""
+    return text.rstrip(CLOSERS)[-1:] in (".", "!", "?", "…") if text else False
+
+
 def sentences(text: str | None) -> list[list[str]]:
     """The prose sentences of a text, each as its distinct lower-case words.
 
@@ -60,19 +78,18 @@ def sentences(text: str | None) -> list[list[str]]:
     out = []
     for line in (text or "").splitlines():
         bare = line.strip()
-        if not bare or "\t" in bare or "  " in bare and not CLOSED.search(bare):
+        if not bare or "\t" in bare or "  " in bare and not closed(bare):
             continue
         bullet = BULLET.match(line)
         body = line[bullet.end() :] if bullet else bare
         for part in END.split(body):
             part = part.strip()
-            if not part or not (bullet or CLOSED.search(part)):
+            if not part or not (bullet or closed(part)):
                 continue
-            pieces = part.split()
-            words = WORD.findall(part)
-            plain = sum(bool(WORD.fullmatch(p.strip(".,;:!?…\"'“”„’()[]"))) for p in pieces)
+            pieces = [words_of(p) for p in part.split()]
+            plain = sum(p[1] for p in pieces)
             if plain >= 2 and 2 * plain > len(pieces):
-                out.append(sorted({w.lower() for w in words}))
+                out.append(sorted({w for p in pieces for w in p[0]}))
     return out
 
 
@@ -147,7 +164,8 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """``prior, sentences`` of a sample of the documents with readable labels; prior is what the readers say of the level."""
+    """``prior, lang, sentences`` of a sample of the documents with readable labels; prior is what the readers say of the level,
+    sentences are lines of words."""
     votes = labels.where(F.col("read_level").between(1, 4)).groupBy("doc_id").agg(*(F.count_if(F.col("read_level") == g).alias(f"v{g}") for g in range(1, 5)))
     n = votes.count()
     votes = votes.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(min(1.0, train_docs / max(n, 1)) * 1_000_000))
@@ -156,10 +174,10 @@ def labelled(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
         for f in frames:
             log = f[["v1", "v2", "v3", "v4"]].to_numpy(float) @ np.log(LABEL_OF).T
             prior = np.exp(log - log.max(1, keepdims=True))
-            yield pd.DataFrame({"prior": (prior / prior.sum(1, keepdims=True)).tolist(), "lang": f["lang"], "sentences": [sentences(t) for t in f["text"]]})
+            yield pd.DataFrame({"prior": (prior / prior.sum(1, keepdims=True)).tolist(), "lang": f["lang"], "sentences": ["\n".join(map(" ".join, sentences(t))) for t in f["text"]]})
 
     own = docs.select("doc_id", "text", F.coalesce(F.lower(F.substring("lang", 1, 2)), F.lit("")).alias("lang"))
-    return votes.join(own, "doc_id").select("v1", "v2", "v3", "v4", "lang", "text").mapInPandas(run, "prior array<double>, lang string, sentences array<array<string>>").where("size(sentences) > 0")
+    return votes.join(own, "doc_id").select("v1", "v2", "v3", "v4", "lang", "text").mapInPandas(run, "prior array<double>, lang string, sentences string").where("sentences <> ''")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> Model:
@@ -176,24 +194,23 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, rounds
 
         def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             for f in frames:
-                texts = [[list(s) for s in doc] for doc in f["sentences"]]
+                texts = [[line.split(" ") for line in doc.split("\n")] for doc in f["sentences"]]
                 prior = np.array(f["prior"].tolist()).reshape(-1, 4)
-                if held.value is None:  # at first each sentence has the level that the readers gave its document
-                    owner = np.array([d for d, doc in enumerate(texts) for _ in doc], np.int64)
-                    each = prior[owner]
-                else:
-                    _, each, _ = held.value.levels(texts, prior)
-                flat = [(lang, s) for lang, doc in zip(f["lang"], texts, strict=True) for s in doc]
-                sums: dict[tuple[str, str], np.ndarray] = {}
-                for (lang, s), r in zip(flat, each, strict=True):
-                    for w in ("", *s):  # the empty word counts sentences
-                        if (have := sums.get((w, lang))) is None:
-                            sums[w, lang] = np.array([*r, 1.0])
-                        else:
-                            have[:4] += r
-                            have[4] += 1
-                if sums:
-                    yield pd.DataFrame(np.vstack([*sums.values()]), columns=["n1", "n2", "n3", "n4", "n"]).assign(word=[w for w, _ in sums], lang=[g for _, g in sums])
+                owner = np.array([d for d, doc in enumerate(texts) for _ in doc], np.int64)
+                if not len(owner):
+                    continue
+                # at first each sentence has the level that the readers gave its document
+                each = prior[owner] if held.value is None else held.value.levels(texts, prior)[1]
+                flat = [s for doc in texts for s in doc]
+                sentence = np.repeat(np.arange(len(flat)), [len(s) + 1 for s in flat])
+                word, words = pd.factorize(np.array([w for s in flat for w in ("", *s)], object))  # the empty word counts sentences
+                tongue, tongues = pd.factorize(f["lang"].to_numpy(object)[owner])
+                key = tongue[sentence] * len(words) + word
+                size = len(words) * len(tongues)
+                sums = [np.bincount(key, each[sentence, k], size) for k in range(4)]
+                n = np.bincount(key, minlength=size).astype(float)
+                at = np.flatnonzero(n)
+                yield pd.DataFrame({f"n{k + 1}": sums[k][at] for k in range(4)} | {"n": n[at], "word": words[at % len(words)], "lang": tongues[at // len(words)]})
 
         kinds = "n1 double, n2 double, n3 double, n4 double, n double, word string, lang string"
         counted = sample.mapInPandas(run, kinds).groupBy("word", "lang").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "n")))
@@ -234,4 +251,4 @@ def levels(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS)
             out = pd.DataFrame({"doc_id": f["doc_id"].to_numpy(), "read_level": (doc.argmax(1) + 1).astype(np.int32), "certainty": doc.max(1).round(6), "n_sentences": n})
             yield out[n > 0]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, read_level int, certainty double, n_sentences bigint")
+    return spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id bigint, read_level int, certainty double, n_sentences bigint")

@@ -59,6 +59,13 @@ def ids(text: str | None, folder: str = FOLDER, file: str = FILE) -> list[int]:
     return [i for piece in pieces(text) for i in encode(piece)]
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over as many tasks as run at once, if the table is so small that it is read in fewer; a larger one is left as it is
+    read, so that only tables of some input splits are ever moved for this."""
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(tasks) if docs.rdd.getNumPartitions() < tasks else docs
+
+
 def sized(docs: DataFrame, folder: str = FOLDER, file: str = FILE) -> DataFrame:
     """``doc_id, source, n_tokens`` of ``docs`` (``doc_id, source, text``); a null or empty text has 0 tokens."""
 
@@ -66,4 +73,4 @@ def sized(docs: DataFrame, folder: str = FOLDER, file: str = FILE) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "source": f["source"], "n_tokens": np.array([len(ids(t, folder, file)) for t in f["text"]], np.int64)})
 
-    return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, n_tokens bigint")
+    return spread(docs.select("doc_id", "source", "text")).mapInPandas(run, "doc_id bigint, source string, n_tokens bigint")
