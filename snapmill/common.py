@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 #: Rows of one key and block that a window sorts together. Order values are spread over blocks of this width.
 BLOCK = 4096
@@ -46,6 +47,16 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(other, on, how).drop(*(f"_r_{k}" for k in keys))
 
 
+def _by_block(df: DataFrame, keys: Sequence[str], order: str, block: int) -> DataFrame:
+    """``df`` with ``_k`` (the keys as one value, nulls equal to nulls) and ``_block``, by which sums, joins and windows share one
+    exchange."""
+    return df.withColumn("_k", F.struct(*keys)).withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+
+
+def _before() -> WindowSpec:
+    return Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], block: int = BLOCK) -> DataFrame:
     """Adds running totals per key in ``order`` without sorting a whole key in one task.
 
@@ -53,14 +64,11 @@ def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str]
     sorts one block of one key, which thus holds ``block`` rows at most, and a second one runs over the block totals only.
     ``sums`` maps a new column to the column whose total it holds, the row itself included.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
-    at = [*keys, "_block"]
-    totals = blocked.groupBy(*at).agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*(F.col(k).alias(f"_o_{k}") for k in at), *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in sums))
-    joined = blocked.join(offsets, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in at)))
-    within = Window.partitionBy(*at).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.select(*df.columns, *((F.sum(c).over(within) + F.col(f"_t_{n}")).alias(n) for n, c in sums.items()))
+    blocked = _by_block(df, keys, order, block)
+    totals = blocked.groupBy("_k", "_block").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
+    offsets = totals.select("_k", "_block", *(F.coalesce(F.sum(f"_t_{n}").over(_before()), F.lit(0)).alias(f"_t_{n}") for n in sums))
+    within = Window.partitionBy("_k", "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return blocked.join(offsets, ["_k", "_block"]).select(*df.columns, *((F.sum(c).over(within) + F.col(f"_t_{n}")).alias(n) for n, c in sums.items()))
 
 
 def carried(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
@@ -69,26 +77,7 @@ def carried(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str
     ``df`` holds one row per key and order value (an integer).
     """
     last = F.when(F.col(value).isNotNull(), F.struct(F.col(order), F.col(value)))
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block))).withColumn("_last", last)
-    at = [*keys, "_block"]
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = blocked.groupBy(*at).agg(F.max("_last").alias("_t"))
-    offsets = totals.select(*(F.col(k).alias(f"_o_{k}") for k in at), F.max("_t").over(before).alias("_t"))
-    joined = blocked.join(offsets, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in at)))
-    within = Window.partitionBy(*at).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.select(*df.columns, F.coalesce(F.max("_last").over(within), F.col("_t"))[value].alias(out))
-
-
-def ranked(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], out: str = "rank", block: int = BLOCK) -> DataFrame:
-    """Adds each row's place (from 1) within its key by ``order`` (an integer), then ``ties``.
-
-    A window sorts the rows of one key and ``block`` order values; offsets come from the block totals.
-    """
-    at = [*keys, "_block"]
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
-    placed = blocked.withColumn("_place", F.row_number().over(Window.partitionBy(*at).orderBy(order, *ties)))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = blocked.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = totals.select(*(F.col(k).alias(f"_o_{k}") for k in at), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
-    joined = placed.join(offsets, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in at)))
-    return joined.select(*df.columns, (F.col("_place") + F.col("_n")).alias(out))
+    blocked = _by_block(df, keys, order, block).withColumn("_last", last)
+    offsets = blocked.groupBy("_k", "_block").agg(F.max("_last").alias("_t")).select("_k", "_block", F.max("_t").over(_before()).alias("_t"))
+    within = Window.partitionBy("_k", "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return blocked.join(offsets, ["_k", "_block"]).select(*df.columns, F.coalesce(F.max("_last").over(within), F.col("_t"))[value].alias(out))

@@ -60,19 +60,18 @@ def hourly_series(readings: DataFrame, keys: Sequence[str], at: str, value: str)
     own = [f"_k{i}" for i in range(len(keys))]
     rows = readings.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / 3600).alias("h"), F.col(value).cast("double").alias("y")).where(F.col("h").isNotNull() & F.col("y").isNotNull())
     hours = rows.groupBy(*own, "h").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy(*own)
-    hours = hours.withColumn("first", F.min("h").over(whole))
+    # one value for the keys, nulls equal to nulls, so that windows, sums and the join share one exchange
+    hours = hours.withColumn("k", F.struct(*own)).drop(*own).withColumn("first", F.min("h").over(Window.partitionBy("k")))
     x = basis(F.col("h"), F.col("first"))
     width = len(x)
     held = hours.select("*", F.array(*x).alias("x"))
     gram = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"g{i}_{j}") for i in range(width) for j in range(i, width)]
-    sums = held.groupBy(*own).agg(*gram, *(F.sum(F.col("x")[i] * F.col("y")).alias(f"r{i}") for i in range(width)))
+    sums = held.groupBy("k").agg(*gram, *(F.sum(F.col("x")[i] * F.col("y")).alias(f"r{i}") for i in range(width)))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    model = sums.mapInPandas(lambda frames: solve(frames, width, own), ", ".join(f"{o} {kinds[o]}" for o in own) + ", beta array<double>")
-    model = model.select(*(F.col(o).alias(f"_m{o}") for o in own), "beta")
-    joined = hours.join(model, [F.col(o).eqNullSafe(F.col(f"_m{o}")) for o in own])
+    model = sums.select("k.*", *sums.columns[1:]).mapInPandas(lambda frames: solve(frames, width, own), ", ".join(f"{o} {kinds[o]}" for o in own) + ", beta array<double>")
+    joined = hours.join(model.select(F.struct(*own).alias("k"), "beta"), "k")
     predict = lambda h: sum((F.col("beta")[i] * c for i, c in enumerate(basis(h, F.col("first")))), F.lit(0.0))
-    order = Window.partitionBy(*own).orderBy("h")
+    order = Window.partitionBy("k").orderBy("h")
     fitted = joined.withColumn("res", F.col("y") - predict(F.col("h"))).withColumn("h2", F.lead("h").over(order)).withColumn("res2", F.lead("res").over(order))
     # each observed hour brings itself and the missing hours up to the next observed one
     reach = fitted.withColumn("g", F.explode(F.sequence("h", F.coalesce(F.col("h2") - 1, F.col("h")))))
@@ -81,7 +80,7 @@ def hourly_series(readings: DataFrame, keys: Sequence[str], at: str, value: str)
     seen = F.col("g") == F.col("h")
     guess = F.when(~F.isnan(guess) & (F.abs(guess) != F.lit(float("inf"))), guess)
     return reach.select(
-        *(F.col(o).alias(k) for k, o in zip(keys, own, strict=True)),
+        *(F.col(f"k.{o}").alias(k) for k, o in zip(keys, own, strict=True)),
         F.timestamp_seconds(F.col("g") * 3600).alias("hour_start"),
         F.when(seen, "observed").when(guess.isNotNull(), "filled").otherwise("marked").alias("status"),
         F.when(seen, F.col("n")).otherwise(0).alias("n"),
