@@ -2,17 +2,16 @@
 
 A classifier of the labelled documents gives each document posteriors over the sources. Projected-gradient least squares finds a
 rate per document, between 0 and its source's repeats, whose expected totals by source meet the targets. The rates are rows of
-a table; an iteration moves one vector of as many numbers as there are sources.
+a table; a round moves one vector of as many numbers as there are sources.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapmill.common import cut
@@ -26,7 +25,10 @@ FEATURES = 1 << 14
 TRUST = 0.9
 #: Tokens at which the classifier's evidence is held, so that long documents aren't all certain.
 EVIDENCE = 50.0
-ITERATIONS, ENOUGH = 25, 1e-5
+#: Rounds at most, and the movement of all sums, as a share of the size, at which the soft and the own totals are met.
+ITERATIONS, ENOUGH_SOFT, ENOUGH = 25, 1e-3, 1e-5
+#: Tokens whose weights are summed at once.
+AT_ONCE = 100_000
 #: Documents of one source that one task brings to whole repeats, about.
 GROUP_DOCS = 1 << 15
 
@@ -58,51 +60,114 @@ def classifier(docs: DataFrame, sources: list[str], folder: str, file: str, trai
             s, k = np.nonzero(table)
             yield pd.DataFrame({"s": s.astype(np.int32), "k": k.astype(np.int32), "n": table[s, k]})
 
-    sums = sample.select("source", "text").mapInPandas(run, "s int, k int, n bigint").groupBy("s", "k").agg(F.sum("n").alias("n")).toPandas()
+    sums = tokens.spread(sample.select("source", "text")).mapInPandas(run, "s int, k int, n bigint").groupBy("s", "k").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((len(sources), FEATURES), 0.5)
     table[sums["s"], sums["k"]] += sums["n"]
     return np.log(table / table.sum(1, keepdims=True))
 
 
+def scores(texts: pd.Series, weights: np.ndarray, folder: str, file: str) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the sums of its tokens' weights by source, and its size."""
+    out, sizes = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts), np.int64)
+    held: list[np.ndarray] = []
+    first = 0
+    for i, text in enumerate(texts):
+        held.append(np.array(tokens.ids(text, folder, file), np.int64))
+        sizes[i] = len(held[-1])
+        if sizes[first : i + 1].sum() < AT_ONCE and i + 1 < len(texts):
+            continue
+        full = np.flatnonzero(sizes[first : i + 1])
+        if len(full):
+            starts = np.cumsum(sizes[first : i + 1])[full] - sizes[first + full]
+            out[first + full] = np.add.reduceat(weights[np.concatenate(held) % FEATURES], starts)
+        held, first = [], i + 1
+    return out, sizes
+
+
 def members(docs: DataFrame, sources: list[str], weights: np.ndarray, folder: str, file: str, trust: float = TRUST) -> DataFrame:
-    """``doc_id, source, n_tokens, p``: the posterior of each source, the recorded one weighed with the classifier's."""
-    held = docs.sparkSession.sparkContext.broadcast(weights)  # sources x FEATURES numbers
+    """``doc_id, code, n_tokens, p0, p1, ...``: the place of the recorded source in ``sources``, and the posterior of each source, the
+    recorded one weighed with the classifier's."""
+    held = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(weights.T))  # FEATURES x sources numbers
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows, sizes = [], []
-            for source, text in zip(f["source"], f["text"], strict=True):
-                which, n, size = features(text, folder, file)
-                score = held.value[:, which] @ n * (min(1.0, EVIDENCE / size) if size else 0.0)
-                p = np.exp(score - score.max())
-                p *= (1 - trust) / p.sum()
-                p[sources.index(source)] += trust
-                rows.append(p.tolist())
-                sizes.append(size)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "source": f["source"], "n_tokens": sizes, "p": rows})
+            score, sizes = scores(f["text"], held.value, folder, file)
+            score *= np.minimum(1.0, EVIDENCE / np.maximum(sizes, 1))[:, None]
+            table = np.exp(score - score.max(1, keepdims=True))
+            table *= (1 - trust) / table.sum(1, keepdims=True)
+            code = pd.Index(sources).get_indexer(f["source"])
+            table[np.arange(len(f)), code] += trust
+            yield pd.DataFrame({"doc_id": f["doc_id"], "code": code, "n_tokens": sizes} | {f"p{k}": table[:, k] for k in range(len(sources))})
 
-    return docs.where(F.col("source").isin(sources)).select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, n_tokens bigint, p array<double>")
+    kinds = "doc_id bigint, code int, n_tokens bigint, " + ", ".join(f"p{k} double" for k in range(len(sources)))
+    return tokens.spread(docs.where(F.col("source").isin(sources)).select("doc_id", "source", "text")).mapInPandas(run, kinds)
 
 
-def descend(table: DataFrame, rate: Column, member: str, most: Column, goal: np.ndarray, size: float, rounds: int = ITERATIONS) -> Column:
-    """The rates after projected-gradient steps on the squared differences of ``sum(rate * tokens * member)`` and ``goal``.
+class Descent:
+    """Projected-gradient steps on the squared differences of ``sum(rate * tokens * membership)`` and the goal.
 
-    Steps are scaled by the diagonal of the normal matrix. A round is one aggregate; rates are the expression of all steps so
-    far, so nothing but sums is moved.
+    A round gathers one vector of sums from all documents; the steps so far, which are as few numbers, go out with the next. Steps
+    are scaled by the diagonal of the normal matrix. ``own``: membership is the recorded source rather than the posteriors.
     """
-    k = len(goal)
-    weight = table.agg(*(F.sum(F.col("n_tokens") * F.col(member)[i] * F.col(member)[i]).alias(str(i)) for i in range(k))).first()
-    scale = np.array([weight[i] or 0.0 for i in range(k)])
-    last = np.zeros(k)
-    for _ in range(rounds):
-        sums = table.agg(*(F.sum(rate * F.col("n_tokens") * F.col(member)[i]).alias(str(i)) for i in range(k))).first()
-        now = np.array([sums[i] or 0.0 for i in range(k)])
-        if np.abs(now - last).sum() < ENOUGH * max(size, 1.0):  # at the goal, or at the bounds
-            break
-        last, step = now, (now - goal) / np.where(scale > 0, scale, np.inf)
-        new = F.least(F.greatest(rate - reduce(lambda a, b: a + b, (F.lit(float(s)) * F.col(member)[i] for i, s in enumerate(step))), F.lit(0.0)), most)
-        table, rate = table.withColumn("rate", new), F.col("rate")
-    return table
+
+    def __init__(self, table: DataFrame, sources: list[str], most: np.ndarray, goal: np.ndarray, size: float) -> None:
+        self.table, self.sources, self.most, self.goal, self.size = table, sources, most, goal, size
+        self.steps: list[tuple[bool, np.ndarray]] = []
+
+    def rated(self):
+        """Gives the rates of a frame after all steps."""
+        steps, k, most = list(self.steps), len(self.sources), self.most
+
+        def run(f: pd.DataFrame) -> np.ndarray:
+            code = f["code"].to_numpy()
+            soft = f[[f"p{i}" for i in range(k)]].to_numpy(float) if any(not own for own, _ in steps) else None
+            top = most[code]
+            rate = np.minimum(1.0, top)
+            for own, step in steps:
+                rate = np.clip(rate - (step[code] if own else soft @ step), 0.0, top)
+            return rate
+
+        return run
+
+    def sums(self, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Totals by source, and the diagonal of the normal matrix."""
+        k, rated = len(self.sources), self.rated()
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(2 * k)
+            for f in frames:
+                n = f["n_tokens"].to_numpy(float)
+                size = n * rated(f)
+                if own:
+                    total += np.concatenate([np.bincount(f["code"], w, k) for w in (size, n)])
+                else:
+                    member = f[[f"p{i}" for i in range(k)]].to_numpy(float)
+                    total += np.concatenate((size @ member, n @ member**2))
+            yield pd.DataFrame([total], columns=[f"s{i}" for i in range(2 * k)])
+
+        names = [f"s{i}" for i in range(2 * k)]
+        row = self.table.drop("doc_id").mapInPandas(run, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n).alias(n) for n in names)).first()
+        values = np.array([row[n] or 0.0 for n in names])
+        return values[:k], values[k:]
+
+    def go(self, own: bool, enough: float, rounds: int = ITERATIONS) -> None:
+        last = None
+        for _ in range(rounds):
+            now, scale = self.sums(own)
+            if last is not None and np.abs(now - last).sum() < enough * max(self.size, 1.0):  # at the goal, or at the bounds
+                break
+            last = now
+            self.steps.append((own, (now - self.goal) / np.where(scale > 0, scale, np.inf)))
+
+    def rates(self) -> DataFrame:
+        rated = self.rated()
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield f[["doc_id", "code", "n_tokens"]].assign(rate=rated(f).round(9))
+
+        named = F.element_at(F.array(*map(F.lit, self.sources)), F.col("code") + 1).alias("source")
+        return self.table.mapInPandas(run, "doc_id bigint, code int, n_tokens bigint, rate double").select("doc_id", named, "n_tokens", "rate")
 
 
 def mixed(docs: DataFrame, targets: DataFrame, *, folder: str = tokens.FOLDER, file: str = tokens.FILE, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -121,13 +186,11 @@ def mixed(docs: DataFrame, targets: DataFrame, *, folder: str = tokens.FOLDER, f
     weights = classifier(docs, sources, folder, file, train_docs)
     table = cut(members(docs, sources, weights, folder, file))
     most = F.create_map(*(F.lit(x) for r in wanted for x in (r["source"], float(r["most"]))))[F.col("source")]
-    own = F.array(*((F.col("source") == s).cast("double") for s in sources))
     size = float(table.agg(F.sum("n_tokens")).first()[0] or 0)
-    goal = size * np.array([r["share"] for r in wanted])
-    table = table.withColumn("rate", F.least(F.lit(1.0), most))
-    table = cut(descend(table, F.col("rate"), "p", most, goal, size))
-    table = descend(table.withColumn("own", own), F.col("rate"), "own", most, goal, size)
-    table = cut(table.select("doc_id", "source", "n_tokens", F.round("rate", 9).alias("rate"), F.monotonically_increasing_id().alias("row")))
+    descent = Descent(table, sources, np.array([float(r["most"]) for r in wanted]), size * np.array([r["share"] for r in wanted]), size)
+    descent.go(own=False, enough=ENOUGH_SOFT)
+    descent.go(own=True, enough=ENOUGH)
+    table = cut(descent.rates().withColumn("row", F.monotonically_increasing_id()))
     # whole repeats per hash group of a source, so that its tokens stay
     groups = {r["source"]: max(1, r["n"] // GROUP_DOCS) for r in table.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per target
     number = F.create_map(*(F.lit(x) for s, n in groups.items() for x in (s, n)))[F.col("source")] if groups else F.lit(1)

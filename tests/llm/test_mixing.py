@@ -38,9 +38,9 @@ def test_classifier_tells_sources_apart(spark):
     weights = mixing.classifier(docs, ["a", "b"], mixing.tokens.FOLDER, mixing.tokens.FILE)
     swapped = docs.withColumn("text", F.lit(" ".join([words["a"]] * 20)))
     p = mixing.members(swapped, ["a", "b"], weights, mixing.tokens.FOLDER, mixing.tokens.FILE, trust=0.0)
-    assert all(r.p[0] > 0.99 for r in p.collect())
+    assert all(r.p0 > 0.99 for r in p.collect())
     uneven = mixing.members(docs, ["a", "b"], weights, mixing.tokens.FOLDER, mixing.tokens.FILE, trust=0.9)
-    assert all(r.p["ab".index(r.source)] > 0.9 for r in uneven.collect())
+    assert all((r.p0, r.p1)[r.code] > 0.9 for r in uneven.collect())
 
 
 def test_edges(spark):
