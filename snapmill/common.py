@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -30,6 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def collapsed(df: DataFrame) -> DataFrame:
+    """``df`` with equal rows of a batch once: copies that would meet in one task don't travel there. Equal rows of different
+    batches stay, so what follows must still drop them. Columns are of plain types."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            yield from pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([]).select(names).combine_chunks().to_batches()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def utc_time(text: str) -> Column:
     """``YYYY-MM-DD HH:MM:SS`` as an instant of UTC, whatever the session's time zone; null for anything else."""
     return F.try_to_timestamp(F.concat(F.col(text), F.lit(" +00:00")), F.lit("yyyy-MM-dd HH:mm:ss XXX"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapmill.common import BLOCK, cut, running
+from snapmill.common import BLOCK, collapsed, cut, running
 
 # Level words and what they count as.
 LEVELS = {
@@ -393,7 +393,7 @@ def entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     own = lines.select(F.col("origin").cast("string").alias("origin"), F.col("log_name").cast("string").alias("log_name"), F.col("line_no").cast("bigint").alias("line_no"), F.col("line").cast("string").alias("line"), F.col("closed_at").cast("timestamp_ntz").alias("closed_at")).where("line_no is not null")
     surveyed = cut(own.select("line", "closed_at").mapInPandas(survey, SURVEYED))
     layouts, roles_ = mined_layouts(surveyed), mined_keys(surveyed)
-    blocked = own.withColumn("block", F.floor(F.col("line_no") / block)).repartition(*key, "block").sortWithinPartitions(*key, "block", "line_no", "line")
+    blocked = collapsed(own).withColumn("block", F.floor(F.col("line_no") / block)).repartition(*key, "block").sortWithinPartitions(*key, "block", "line_no", "line")
     read = cut(blocked.select(*key, "block", "line_no", "line", "closed_at").mapInPandas(read_blocks, READ))
     every = read.where("not edge").select(*(c for c in READ_COLUMNS if c not in ("edge", "single"))).unionByName(joined_edges(read.where("edge"), key, block))
     # one row per entry from here: slots by layout, or keys by role

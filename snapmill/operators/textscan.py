@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapmill.common import carried, running
+from snapmill.common import carried
 from snapmill.functions.text import alert_event
 
 ISO = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(?:\.\d+)?(?:[+-]\d{2}:\d{2}|Z)?"
@@ -52,17 +52,18 @@ def between_days(events: DataFrame, first: str | None = None, last: str | None =
 
 
 def parse_error_blocks(lines: DataFrame, keys: Sequence[str] = ("log_name",), most: int = 6) -> DataFrame:
-    """What follows a line on too many parse errors, up to ``most`` lines, a line with application and action, or a line with a time.
+    """What follows a line on too many parse errors, up to ``most`` line numbers, a line with application and action, or a line with a time.
 
     Returns per block ``keys, line_no, total, sql_hash, code, sqlid, username, application, action``.
     """
     opens = F.col("line").rlike(r"(?i)\bWARNING:\s*too many parse errors,\s*count=\d+\b")
-    numbered = running(lines.withColumn("_opens", opens.cast("int")), keys, "line_no", {"block": "_opens"}).where("block > 0")
+    own = lines.withColumn("_own", F.when(opens, F.col("line_no")))
+    started = carried(own, keys, "line_no", "_own", "_last").withColumn("block", F.coalesce("_own", "_last"))
+    near = started.where(F.col("line_no") - F.col("block") <= most)  # few lines follow each opening, whatever comes after them
     w = Window.partitionBy(*keys, "block").orderBy("line_no")
     app = r"(?i)\.\.\.Application:\s*(.*?)\s+Action:\s*(.*)$"
     ends = (F.col("line").rlike(app) | line_time(F.col("line")).isNotNull()).cast("int")
-    # only the block's own lines are kept, ``most`` at best, so a block is small whatever follows it
-    kept = numbered.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most + 1).withColumn("_ended", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_ended = 0").where(line_time(F.col("line")).isNull())
+    kept = near.withColumn("_ended", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_ended = 0").where(line_time(F.col("line")).isNull())
     part = lambda pattern, group=1: F.max(F.nullif(F.regexp_extract("line", pattern, group), F.lit("")))
     return kept.groupBy(*keys, "block").agg(
         F.min("line_no").alias("line_no"), part(r"(?i)parse errors,\s*count=(\d+)").cast("bigint").alias("total"), part(r"(?i)\bSQL hash=(0x[0-9a-f]+)\b").alias("sql_hash"),

@@ -66,6 +66,12 @@ def test_blocks_and_edges(spark):
     assert logentries.entries(df.limit(0)).count() == 0
 
 
+def test_many_copies_of_a_line(spark):
+    lines = ["2024-01-01T00:00:00Z", "ERROR: x ORA-1", "2024-01-01T00:00:05Z"]
+    df = spark.createDataFrame([("o", "l", i + 1, x, None) for i, x in enumerate(lines) for _ in range(5000)], TYPES)
+    assert sorted(tuple(r)[2:] for r in logentries.entries(df).collect()) == [(1, 2, "2024-01-01 00:00:00", "ERROR", "-", "ORA-00001"), (3, 3, "2024-01-01 00:00:05", "-", "-", "-")]
+
+
 def test_merge_of_templates():
     a = "t L [ w ] w w".split()
     t = logentries.merge(a, "t L [ w ] w n w".split())
