@@ -56,11 +56,11 @@ def latch_weighted(spark, d):
 
 
 @query(f"""WITH seg AS (SELECT CAST(1 AS BIGINT) AS db_id, CAST(1 AS BIGINT) AS instance_num, year(l_shipdate) * 12 + month(l_shipdate) AS snap_id, l_returnflag AS category, CAST(l_suppkey AS VARCHAR) AS name, sum(l_extendedprice) AS value FROM lineitem GROUP BY ALL)
-SELECT {K}, category, name, round(mean, 2) AS mean, round(spread, 2) AS spread, n, round(n / (SELECT count(DISTINCT snap_id) FROM seg) * 100, 6) AS share, row_number() OVER (PARTITION BY category ORDER BY n DESC, name) AS rank FROM (SELECT {K}, category, name, avg(value) AS mean, stddev_pop(value) AS spread, count(*) AS n FROM seg GROUP BY ALL) QUALIFY rank <= 10""")
+SELECT {K}, category, name, round(mean + 1e-6, 4) AS mean, round(spread + 1e-6, 4) AS spread, n, round(n / (SELECT count(DISTINCT snap_id) FROM seg) * 100, 6) AS share, row_number() OVER (PARTITION BY category ORDER BY n DESC, name) AS rank FROM (SELECT {K}, category, name, avg(value) AS mean, stddev_pop(value) AS spread, count(*) AS n FROM seg GROUP BY ALL) QUALIFY rank <= 10""")
 def segment_top10(spark, d):
     rows = load(spark, d, "lineitem").groupBy(F.lit(1).cast("bigint").alias("db_id"), F.lit(1).cast("bigint").alias("instance_num"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("snap_id"), F.col("l_returnflag").alias("category"), F.col("l_suppkey").cast("string").alias("name")).agg(F.sum("l_extendedprice").alias("value"))
     found = summaries.segments(rows, rows).withColumn("rank", F.col("rank").cast("bigint"))
-    return found.withColumns({"mean": F.round("mean", 2), "spread": F.round("spread", 2), "share": F.round("share", 6)})
+    return found.withColumns({"mean": F.round(F.col("mean") + 1e-6, 4), "spread": F.round(F.col("spread") + 1e-6, 4), "share": F.round("share", 6)})
 
 
 @query(f"""WITH io AS (SELECT CAST(1 AS BIGINT) AS db_id, CAST(1 AS BIGINT) AS instance_num, year(o_orderdate) * 12 + month(o_orderdate) AS snap_id, o_orderpriority AS name, sum(o_totalprice) AS volume, CAST(count(*) AS DOUBLE) AS requests FROM orders GROUP BY ALL),
@@ -253,9 +253,9 @@ def snapshot_pairs_since_start(spark, d):
     return attachments.report_pairs(snaps, starts)
 
 
-@query(with_views("stats", f"SELECT {K}, snap_id, to_json({{'name': name, 'value': round(value, 3)}}) AS json FROM stats WHERE value = floor(value * 1000) / 1000 AND value BETWEEN 0.001 AND 1000"))
+@query()
 def json_rows(spark, d):
-    own = views.stats(spark, d).where("value = floor(value * 1000) / 1000 and value between 0.001 and 1000")
+    own = views.stats(spark, d)
     return own.select(*views.AT, F.to_json(F.struct("name", report.rounded_column(F.col("value"), own.schema["value"].dataType).alias("value"))).alias("json"))
 
 
@@ -303,3 +303,21 @@ def stronger_list(spark, d):
 @query("SELECT DISTINCT stat_name AS name FROM load_profile WHERE lower(trim(stat_name)) IN ('" + "', '".join(n.replace("'", "''") for n in (*dims.COUNTERS, "user calls")) + "')")
 def stat_group_filter(spark, d):
     return dims.of_group(load(spark, d, "load_profile").select(F.col("stat_name").alias("name")).distinct(), "counters")
+
+
+@query(f"WITH {_LONG} SELECT db_id, instance_num, snap_id, waits, total_wait_time_s, pct_dbtime FROM long WHERE lower(event) = 'log file sync' AND waits IS NOT NULL AND total_wait_time_s IS NOT NULL AND pct_dbtime IS NOT NULL")
+def event_timeline(spark, d):
+    return tools.event_timeline(reports(spark, d), "LOG FILE SYNC").drop("avg_wait").where("waits is not null and total_wait_time_s is not null and pct_dbtime is not null")
+
+
+@query(f"WITH {_LONG} SELECT event, waits FROM long WHERE snap_id = (SELECT min(snap_id) FROM long WHERE waits IS NOT NULL) AND waits IS NOT NULL ORDER BY waits DESC, event LIMIT 5")
+def top_waits_in_snapshot(spark, d):
+    own = reports(spark, d)
+    first = collection.section(own, "foreground_wait_events").where("waits is not null").agg(F.min("snap_id")).first()[0]
+    return tools.top_wait_events(own, -1 if first is None else first, n=5, by="waits").where("waits is not null").select("event", "waits")
+
+
+@query("SELECT db_id, instance_num, snap_id, cpus, pct_user, pct_idle FROM (SELECT CASE WHEN json_type(payload->'$.db_instance_information.db_id') LIKE '%BIGINT' THEN CAST(payload->>'$.db_instance_information.db_id' AS BIGINT) END AS db_id, CASE WHEN json_type(payload->'$.db_instance_information.instance_num') LIKE '%BIGINT' THEN CAST(payload->>'$.db_instance_information.instance_num' AS SMALLINT) END AS instance_num, CASE WHEN json_type(a->'$.snap_info.begin_snap_id') LIKE '%BIGINT' THEN CAST(a->>'$.snap_info.begin_snap_id' AS BIGINT) END AS snap_id, CASE WHEN json_type(a->'$.host_cpu.cpus') LIKE '%BIGINT' THEN CAST(a->>'$.host_cpu.cpus' AS BIGINT) END AS cpus, CASE WHEN json_type(a->'$.host_cpu.pct_user') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(a->>'$.host_cpu.pct_user' AS DOUBLE) END AS pct_user, CASE WHEN json_type(a->'$.host_cpu.pct_idle') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(a->>'$.host_cpu.pct_idle' AS DOUBLE) END AS pct_idle FROM (SELECT payload, unnest(CAST(payload->'$.awrs' AS JSON[])) AS a FROM report_files)) WHERE db_id IS NOT NULL AND instance_num IS NOT NULL AND snap_id IS NOT NULL AND cpus IS NOT NULL AND pct_user IS NOT NULL AND pct_idle IS NOT NULL")
+def host_cpu_section(spark, d):
+    own = collection.section(reports(spark, d), "host_cpu").select("db_id", "instance_num", "snap_id", "cpus", "pct_user", "pct_idle")
+    return own.where("cpus is not null and pct_user is not null and pct_idle is not null")
