@@ -216,12 +216,13 @@ def whole(sizes: np.ndarray, rates: np.ndarray, most: np.ndarray) -> np.ndarray:
 def reached(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: ``source, target_share, share`` (of the mix), ``share_of_s``, ``tokens, documents, short``.
 
-    ``short`` says that every document at its most repeats stays below the target's share of S.
+    ``short`` says that the fit ended below the target and that, exactly, every document at its most repeats does so as well: whole
+    repeats may leave any source a document's size below.
     """
-    by = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.sum("n_tokens").alias("own"), F.count_if(F.col("repeats") > 0).alias("documents"), F.min("rate").alias("least"))
+    by = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.sum("n_tokens").alias("own"), F.count_if(F.col("repeats") > 0).alias("documents"))
     totals = by.agg(F.sum("tokens").alias("all"), F.sum("own").alias("s")).first()
     every, s = float(totals["all"] or 0), float(totals["s"] or 0)
     want = targets.where("source is not null and target_share is not null and max_repeats is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     have = F.coalesce("tokens", F.lit(0))
-    full = F.col("least").isNull() | (F.col("least") >= F.col("max_repeats") - 1e-6)  # the fit ran every document up to its bound
-    return want.join(by, "source", "left").select("source", "target_share", F.round(have / max(every, 1.0), 6).alias("share"), F.round(have / max(s, 1.0), 6).alias("share_of_s"), have.alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), (full & (have < F.col("target_share") * s)).alias("short"))
+    goal = F.col("target_share") * s
+    return want.join(by, "source", "left").select("source", "target_share", F.round(have / max(every, 1.0), 6).alias("share"), F.round(have / max(s, 1.0), 6).alias("share_of_s"), have.alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), ((have < goal) & (F.coalesce("own", F.lit(0)) * F.col("max_repeats") < goal)).alias("short"))
