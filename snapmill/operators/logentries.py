@@ -44,6 +44,8 @@ TIMES = {
 }
 TOKEN = re.compile("|".join(f"(?P<{k}>(?<![\\w.]){v}(?![\\w:]))" for k, v in TIMES.items()) + r"|(?P<word>[A-Za-z_][\w.@$/-]*\w|[A-Za-z_])|(?P<number>\d+)|(?P<mark>\S)", re.IGNORECASE)
 ANY_TIME = re.compile(f"(?:{TIMES['iso']}|{TIMES['dmy']}|{TIMES['ctime']}|{TIMES['yearless']})", re.IGNORECASE)
+#: What any form of a time holds.
+TIMELIKE = re.compile(r"\d\d:\d\d:\d\d|^[^A-Za-z]{0,8}\d{10}")
 CODE = re.compile(r"(?i)(?<![A-Za-z0-9_])(ORA|TNS)-(\d{1,5})(?!\d)")
 PARSE_ERROR = re.compile(r"PARSE ERROR:.*?\berror=(\d{1,5})(?!\d)")
 CLOCK = re.compile(r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d")
@@ -131,6 +133,9 @@ def head(line: str) -> tuple[list[str], list[str], int, str] | None:
 
 
 def first_code(line: str) -> str | None:
+    lower = line.lower()
+    if "ora-" not in lower and "tns-" not in lower and "PARSE ERROR" not in line:
+        return None
     codes = [(m.start(), f"{m[1].upper()}-{int(m[2]):05d}") for m in (CODE.search(line),) if m]
     codes += [(m.start(1), f"ORA-{int(m[1]):05d}") for m in (PARSE_ERROR.search(line),) if m]
     return min(codes)[1] if codes else None
@@ -139,7 +144,7 @@ def first_code(line: str) -> str | None:
 Line = tuple[str, str | None, list[str] | None, str | None, list[tuple[str, str]], str | None, str | None, bool]
 
 
-def scan(line: str, closed: datetime | None) -> Line:
+def scan(line: str, closed: datetime | None, codes: bool = True) -> Line:
     """Of a line: its kind (head, keyed, brace, inner or empty), token classes and texts, time, keys with values, code, what the level
     would be if the line followed a bare time, and whether it is a bare time."""
     kind, sequence, texts, at, pairs, alone = "", None, None, None, [], False
@@ -155,6 +160,8 @@ def scan(line: str, closed: datetime | None) -> Line:
                 pass
     elif m := INNER.match(line) if line[:1] in ' \t"' and line else None:
         pairs, kind = [(m[1], m[2].strip('"'))], "inner"
+    elif not TIMELIKE.search(line):
+        pass
     elif KEYED.match(line) and ANY_TIME.search(line):
         pairs, kind = [(k, v.strip('"')) for k, v in KEYED.findall(line)], "keyed"
     elif found := head(line):
@@ -167,7 +174,7 @@ def scan(line: str, closed: datetime | None) -> Line:
     if kind == "keyed" and not any(CLOCK.fullmatch(v) for _, v in pairs):
         kind = ""
     hint = "WARN" if line.startswith("WARNING") else "ERROR" if line.startswith("ERROR") else None
-    return kind, sequence, texts, at, pairs, first_code(line), hint, alone
+    return kind, sequence, texts, at, pairs, first_code(line) if codes else None, hint, alone
 
 
 def moment(closed) -> datetime | None:
@@ -180,7 +187,7 @@ def survey(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sequences: dict[str, int] = {}
         keys: dict[str, list[int]] = {}
         for line, closed in zip(f["line"], f["closed_at"], strict=True):
-            kind, sequence, _, _, pairs, _, _, _ = scan(line or "", moment(closed))
+            kind, sequence, _, _, pairs, _, _, _ = scan(line or "", moment(closed), codes=False)
             if kind == "head":
                 sequences[sequence] = sequences.get(sequence, 0) + 1
             for k, v in pairs if kind in ("keyed", "inner") else ():
