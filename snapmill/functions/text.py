@@ -24,6 +24,11 @@ SPECIAL = (
     ("PROCESS_TERMINATING", r"(?i)\bterminating (?:the )?instance\b|\bterminating process\b"),
     ("FAILED", r"(?i)\bfailed\b"),
 )
+# Patterns of alert-log lines, and of what names a table in a statement.
+TOO_MANY = r"(?i)\bWARNING:\s*too many parse errors,\s*count=(\d+)\b"
+PARSE_ERROR = r"(?i)\bPARSE\s+ERROR:\s*ospid=\d+,\s*error=(\d+)\b"
+ORA_CODE, TNS_CODE = r"(?i)\b(ORA-\d{4,5})\b", r"(?i)\b(TNS-\d{5})\b"
+TABLE_NAME = r"\b(?:FROM|JOIN|UPDATE|INTO|MERGE\s+INTO|DELETE(?:\s+FROM)?)\s+([A-Z_$#][A-Z0-9_$#]*(?:\.[A-Z_$#][A-Z0-9_$#]*)*)"
 # Units of sizes in MB, of counts, of waits in ms.
 SIZE_UNITS = {"K": 1 / 1024, "M": 1.0, "G": 1024.0, "T": 1024.0**2}
 COUNT_UNITS = {"k": 1e3, "m": 1e6, "g": 1e9, "t": 1e12, "p": 1e15}
@@ -76,7 +81,7 @@ def tables(sql: Column) -> Column:
     """
     flat = F.regexp_replace(sql, r"[\n\r\t]", " ")
     bare = reduce(lambda c, p: F.regexp_replace(c, p, " "), (r"--[^\n]*", r"/\*[\s\S]*?\*/", "'[^']*'", r"\s+"), flat)
-    found = F.regexp_extract_all(F.upper(bare), F.lit(r"\b(?:FROM|JOIN|UPDATE|INTO|MERGE\s+INTO|DELETE(?:\s+FROM)?)\s+([A-Z_$#][A-Z0-9_$#]*(?:\.[A-Z_$#][A-Z0-9_$#]*)*)"), F.lit(1))
+    found = F.regexp_extract_all(F.upper(bare), F.lit(TABLE_NAME), F.lit(1))
     last = lambda x: F.element_at(F.split(x, r"\."), -1)
     keep = lambda x: ~last(x).isin(*NO_TABLE) & ~reduce(lambda a, b: a | b, (x.startswith(s) for s in NO_SCHEMA)) & (x.contains(".") | (F.length(x) > 1))
     return F.array_sort(F.array_distinct(F.filter(found, keep)))
@@ -88,9 +93,8 @@ def ora_code(digits: Column) -> Column:
 
 def alert_event(line: Column) -> Column:
     """Kind of an alert-log line: too many parse errors, a parse error's number, an ORA or TNS code, or a special event; else null."""
-    parse = F.regexp_extract(line, r"(?i)\bPARSE\s+ERROR:\s*ospid=\d+,\s*error=(\d+)\b", 1)
-    ora, tns = F.regexp_extract(line, r"(?i)\b(ORA-\d{4,5})\b", 1), F.regexp_extract(line, r"(?i)\b(TNS-\d{5})\b", 1)
-    out = F.when(line.rlike(r"(?i)\bWARNING:\s*too many parse errors,\s*count=\d+\b"), "WARNING_TOO_MANY_PARSE_ERRORS")
+    parse, ora, tns = (F.regexp_extract(line, p, 1) for p in (PARSE_ERROR, ORA_CODE, TNS_CODE))
+    out = F.when(line.rlike(TOO_MANY), "WARNING_TOO_MANY_PARSE_ERRORS")
     out = out.when(parse != "", F.concat(F.lit("PARSE_ERROR_"), ora_code(parse))).when(ora != "", F.upper(ora)).when(tns != "", F.upper(tns))
     return reduce(lambda c, kv: c.when(line.rlike(kv[1]), kv[0]), SPECIAL, out)
 

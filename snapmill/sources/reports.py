@@ -118,7 +118,7 @@ def _cpu(c: list[str]) -> dict:
     return ids | dict(zip(("load_avg_begin", "load_avg_end", "pct_user", "pct_system", "pct_wio", "pct_idle"), n[-6:], strict=True))
 
 
-#: HTML: beginning of the summary after "This table displays ", section, how many cells a row has, what it becomes. A section
+#: Fixed values and rules. HTML: beginning of the summary after "This table displays ", section, how many cells a row has, what it becomes. A section
 #: with ``key`` is a map by that cell; of equal keys the first holds. Of a table that is given twice the last holds.
 RULES: tuple[tuple[str, str, Callable[[int], bool], Callable[[list[str]], dict | None], int | None], ...] = (
     ("load profile", "load_profile", lambda n: n == 5, lambda c: {"stat_name": c[0].rstrip(":"), "per_second": num(c[1]), "per_transaction": num(c[2])}, None),
@@ -214,7 +214,7 @@ def instance_of(header: list[str], rows: list[list[str]]) -> dict:
 
 # Text reports: lines between a section's marker and the next marker.
 
-#: Marker at the beginning of a line (a form feed may stand before), name.
+# Marker at the beginning of a line (a form feed may stand before), name.
 MARKERS = (("Snapshot       Snap Id", "snap_info"), ("Host CPU", "host_cpu"), ("Instance CPU", ""), ("Load Profile", "load_profile"), ("Instance Efficiency", "instance_efficiency"), ("Foreground Wait Events", "foreground_wait_events"), ("Background Wait Events", "background_wait_events"), ("Wait Events (fg and bg)", ""), ("Wait Event Histogram", "histogram"), ("Time Model", "time_model_stats"), ("SQL ordered by CPU", "sql_cpu_time"), ("SQL ordered by Elapsed", "sql_elapsed_time"), ("SQL ordered by Gets", "sql_gets"), ("SQL ordered by Reads", "sql_reads"), ("Instance Activity Stats", "instance_stats"), ("Dictionary Cache Stats", "dictionary_cache"), ("Library Cache Activity", "library_cache"), ("Latch Activity", "latch_activity"), ("init.ora Parameters", "parameters"), ("Top ADDM Findings", ""), ("Cache Sizes", ""), ("End of Report", ""))
 
 
