@@ -123,9 +123,16 @@ def error_classify(spark, d):
     return load(spark, d, "alert_lines").withColumn("event", text.alert_event(F.col("line"))).where("event is not null").groupBy("event").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_TIMED = f"(regexp_matches(line, '{textscan.ISO}') OR regexp_matches(line, '{textscan.LEGACY}'))"
+_SAYS = "max(nullif(regexp_extract(line, '{}', {}), '')) AS {}"
+
+
+@query(f"""WITH s AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '{text.TOO_MANY}') THEN line_no END IGNORE NULLS) OVER (PARTITION BY log_name ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS block FROM alert_lines),
+k AS (SELECT *, coalesce(sum(CASE WHEN {_TIMED} OR regexp_matches(line, '{textscan.APPLICATION}') THEN 1 ELSE 0 END) OVER (PARTITION BY log_name, block ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM s WHERE line_no - block <= 6)
+SELECT log_name, min(line_no) AS line_no, CAST(max(nullif(regexp_extract(line, '{text.TOO_MANY}', 1), '')) AS BIGINT) AS total, {_SAYS.format(textscan.SQL_HASH, 1, "sql_hash")}, {_SAYS.format(text.PARSE_ERROR, 1, "code")}, {_SAYS.format(textscan.SQLID, 1, "sqlid")}, {_SAYS.format(textscan.USERNAME, 1, "username")}, {_SAYS.format(textscan.APPLICATION, 1, "application")}, {_SAYS.format(textscan.APPLICATION, 2, "action")}
+FROM k WHERE ended = 0 AND NOT {_TIMED} GROUP BY log_name, block""")
 def block_sessionize(spark, d):
-    return textscan.parse_error_blocks(load(spark, d, "alert_lines"))
+    return textscan.parse_error_blocks(load(spark, d, "alert_lines")).withColumn("code", F.col("code").cast("string"))
 
 
 @query(r"SELECT doc_id, t AS table_name FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\n\r\t]', ' ', 'g'), '--[^\n]*', ' ', 'g'), '/\*[\s\S]*?\*/', ' ', 'g'), '''[^'']*''', ' ', 'g'), '\s+', ' ', 'g')), '\b(?:FROM|JOIN|UPDATE|INTO|MERGE\s+INTO|DELETE(?:\s+FROM)?)\s+([A-Z_$#][A-Z0-9_$#]*(?:\.[A-Z_$#][A-Z0-9_$#]*)*)', 1), lambda x: NOT list_contains(string_split('" + " ".join(text.NO_TABLE) + r"', ' '), list_extract(string_split(x, '.'), -1)) AND NOT starts_with(x, 'SYS.') AND NOT starts_with(x, 'SYSTEM.') AND (contains(x, '.') OR length(x) > 1)))) AS t FROM documents WHERE text LIKE '%SELECT %' OR text LIKE '%UPDATE %')")
