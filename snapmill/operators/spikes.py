@@ -5,8 +5,8 @@ readings whose details against both neighbouring blocks have one sign and are la
 level. Runs without any detail are stuck. Spikes are then checked exactly against the range of the ordinary readings, which
 holds peaks that recur at one hour of the day.
 
-All readings move once: to the block of snapshots of their instance, where each source is decomposed and its candidates are found. What leaves
-a block is its ordinary range, its candidates, and the ends of its first and last run, so that ranges and runs of a source join over all its blocks.
+All readings move once: to a group of sources of their instance. A source is never divided: scales, quartiles, hours, ranges and runs are those
+of all its readings. What leaves a group is its faulty readings.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapmill.common import BLOCK, cut, utc_time
 
 LEVELS = (1, 2, 4, 8)
+#: Groups of sources that an instance is divided into at most.
+PARTS = 32
 #: A detail this many robust scales large makes its readings candidates.
 DETAIL = 4.0
 #: A candidate this many widths of the ordinary range outside of it is faulty.
@@ -122,7 +124,7 @@ def recurring(x: np.ndarray, odd: np.ndarray, at: np.ndarray, usual: np.ndarray,
 
 
 def judge(f: pd.DataFrame) -> pd.DataFrame:
-    """Telling readings of whole blocks: candidates, impossible and stuck ones, ends of runs, each with its block's ordinary range."""
+    """Faulty readings of whole sources, with the place of why in ``WHY``."""
     entity = f["entity"].to_numpy()
     marks = f["src"].isna().to_numpy()
     times = f.loc[marks].groupby(["entity", "place", "tie"], sort=False)["at"].max().reset_index()
@@ -170,24 +172,25 @@ def judge(f: pd.DataFrame) -> pd.DataFrame:
     ordinary = np.where(odd, np.nan, x)
     low, top = np.fmin.reduceat(ordinary, g.starts)[g.seg], np.fmax.reduceat(ordinary, g.starts)[g.seg]
     most = np.fmax.reduceat(np.abs(v), g.starts)[g.seg]
-    breaks = np.cumsum(~equal)
-    breaks -= breaks[g.starts[g.seg]] - 1
-    last = breaks[g.starts + g.sizes - 1][g.seg]
-    edge = ((breaks == 1) | (breaks == last)) & ((g.pos + 1 < STUCK) | (g.pos + 1 > g.size - STUCK + 1))
-    tell = np.flatnonzero(np.isnan(x) | stuck | edge | odd)
-    out = {"entity": group // 3, "src": src, "f": group % 3, "low": low, "high": top, "most": most, "place": place, "tie": tie, "v": v, "fine": ~np.isnan(x), "row_id": row_id, "copies": copies, "stuck": stuck, "odd": odd, "edge": edge, "i": g.pos + 1, "n": g.size}
+    with np.errstate(invalid="ignore"):
+        outside = np.maximum(x - top, low - x)
+        spike = odd & (outside > 0) & (outside >= WIDTHS * (top - low))
+    why = np.select([np.isnan(x), stuck, spike], [0, 1, 2], -1)
+    tell = np.flatnonzero((why >= 0) & (most != 0))
+    out = {"entity": group // 3, "src": src, "f": group % 3, "place": place, "tie": tie, "v": v, "row_id": row_id, "copies": copies, "why": why}
     return pd.DataFrame({k: a[tell] for k, a in out.items()})
 
 
-JUDGED = ["entity", "src", "f", "low", "high", "most", "place", "tie", "v", "fine", "row_id", "copies", "stuck", "odd", "edge", "i", "n"]
-JUDGED_TYPES = "db_id bigint, instance_num int, block bigint, src bigint, f int, low double, high double, most double, place bigint, tie bigint, v double, fine boolean, row_id bigint, copies bigint, stuck boolean, odd boolean, edge boolean, i bigint, n bigint"
-#: Rows that are judged at once, whole blocks of instances; one larger block is judged by itself.
+WHY = ("impossible", "stuck", "spike")
+JUDGED = ["entity", "src", "f", "place", "tie", "v", "row_id", "copies", "why"]
+JUDGED_TYPES = "db_id bigint, instance_num int, part bigint, src bigint, f int, place bigint, tie bigint, v double, row_id bigint, copies bigint, why int"
+#: Rows that are judged at once, whole groups of sources; one larger group is judged by itself.
 ROWS = 200_000
 
 
 def judge_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``judge`` over a partition that is sorted by instance and block."""
-    names = ["db_id", "instance_num", "block"]
+    """``judge`` over a partition that is sorted by instance and group of sources."""
+    names = ["db_id", "instance_num", "part"]
 
     def run(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
@@ -212,7 +215,7 @@ def judge_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         table = pa.Table.from_batches(held)
         keys = [table[n].to_numpy() for n in names]
         starts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        if len(starts):  # the last block may go on in the next batch
+        if len(starts):  # the last group may go on in the next batch
             yield run(table.slice(0, int(starts[-1])))
             held = table.slice(int(starts[-1])).to_batches()
         else:
@@ -243,27 +246,23 @@ def faulty(rows: DataFrame, times: DataFrame, *, block: int = BLOCK) -> DataFram
     ``why`` is ``impossible`` (outside the bounds or not finite), ``stuck`` or ``spike``, the first that holds. Null readings are
     none; rows with a null in the instance, source or place hold none. Repeated rows (equal but for ``row_id``) count once in the course and are each
     returned. A source that only reads 0 is idle and has no faulty readings. Readings without a time have the hour between their neighbours'.
-    Other columns are ignored. An empty table gives an empty result. A task holds ``block`` snapshots of one instance at a time; copies are collapsed before they move.
+    Other columns are ignored. An empty table gives an empty result. The sources of an instance are judged together, in as many groups as its
+    snapshots fill blocks of ``block``, at most ``PARTS``; the result doesn't depend on it. A task holds one group at a time, a source whole;
+    copies are collapsed before they move.
     """
-    entity = ["db_id", "instance_num", "block"]
+    entity = ["db_id", "instance_num", "part"]
     given = rows.where("db_id is not null and instance_num is not null and src is not null and place is not null and (v1 is not null or (kind = 1 and v2 is not null))").select("db_id", "instance_num", "src", "place", F.coalesce("tie", F.lit(-1)).alias("tie"), F.col("kind").cast("int").alias("kind"), F.col("v1").cast("double").alias("v1"), F.col("v2").cast("double").alias("v2"), "row_id")
     single = given.withColumn("copies", F.lit(1).cast("bigint"))
     moved = single.mapInArrow(collapse, single.schema)
     marks = times.where("at is not null").select("db_id", "instance_num", F.lit(None).cast("bigint").alias("src"), "place", F.coalesce("tie", F.lit(-1)).alias("tie"), "at")
-    together = moved.unionByName(marks, allowMissingColumns=True).withColumn("block", F.floor(F.col("place") / block)).repartition(*entity).sortWithinPartitions(*entity)
+    longest = times.groupBy("db_id", "instance_num").count().agg(F.max("count")).first()[0] or 1
+    parts = min(-(-longest // block), PARTS)
+    placed = moved.withColumn("part", F.pmod(F.xxhash64("src"), F.lit(parts))).unionByName(marks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))), allowMissingColumns=True)
+    together = placed.repartition(*entity).sortWithinPartitions(*entity)
     seen = together.select(*entity, "src", "place", "tie", "kind", "v1", "v2", "row_id", "copies", F.col("at").cast("double").alias("at")).mapInArrow(judge_partition, JUDGED_TYPES)
     whole = ["db_id", "instance_num", "src", "f"]
-    source = Window.partitionBy(*whole)
-    seen = seen.withColumns({"low": F.min("low").over(source), "high": F.max("high").over(source), "most": F.max("most").over(source)}).where("most > 0").withColumn("x", F.when(F.col("fine"), F.col("v")))
-    # runs over the ends of blocks: the marked ends of a source follow each other, but for those inside a block with others between
-    line = Window.partitionBy(*whole, "edge").orderBy("place", "tie", "v")
-    follows = (F.col("v") == F.lag("v").over(line)) & ((F.col("block") != F.lag("block").over(line)) | (F.col("i") == F.lag("i").over(line) + 1)) & F.when(F.col("block") != F.lag("block").over(line), (F.col("i") == 1) & (F.lag("i").over(line) == F.lag("n").over(line))).otherwise(True)
-    seen = seen.withColumn("next", F.when(F.col("edge"), F.coalesce(follows.cast("int"), F.lit(0))).otherwise(0))
-    seen = seen.withColumn("run", F.sum("next").over(line.rowsBetween(2 - STUCK, 0)))
-    seen = seen.withColumn("stuck", F.col("stuck") | (F.col("edge") & (F.max("run").over(line.rowsBetween(0, STUCK - 1)) >= STUCK - 1)))
-    outside = F.greatest(F.col("x") - F.col("high"), F.col("low") - F.col("x"))
-    why = F.when(F.col("x").isNull(), "impossible").when(F.col("stuck"), "stuck").when(F.col("odd") & (outside > 0) & (outside >= WIDTHS * (F.col("high") - F.col("low"))), "spike")
-    verdict = cut(seen.withColumn("why", why).where("why is not null").select(*whole, "place", "tie", "v", "row_id", "copies", "why"))
+    why = F.element_at(F.array(*map(F.lit, WHY)), F.col("why") + 1)
+    verdict = cut(seen.select(*whole, "place", "tie", "v", "row_id", "copies", why.alias("why")))
     named = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in FIELDS)), F.col("f") + 1)
     result = lambda df: df.select(named(0).alias("source_table"), named(1).alias("field_name"), "row_id", "why")
     # copies, which are few, by their keys

@@ -84,3 +84,20 @@ def test_details_stay_within_segments():
         alone = details(x[own], Segments(codes[own]))
         for k in range(4):
             assert np.allclose(sizes[k][own], alone[0][k], equal_nan=True) and np.allclose(reach[k][own], alone[1][k])
+
+
+def test_blocks_change_nothing_for_spikes(spark):
+    x = noisy(240, 4)
+    for day in range(10):
+        x[day * 24 + 3] = 300.0 + day  # a peak every day
+    x[65], x[130], x[239] = 2600.0, 2500.0, 2700.0  # beside ends of blocks and at the end of the course
+    for block in (4096, 64, 16, 3):
+        assert found(spark, x, block=block) == dict.fromkeys((65, 130, 239), "spike")
+
+
+def test_spikes_over_a_multiple_of_the_block(spark):
+    x = noisy(100, 5)
+    x[98], x[40] = 5000.0, 900.0
+    df = spark.createDataFrame([(i, 1, 1, s, 4000 + i - 2, i, 0, v, None) for s in range(3) for i, v in enumerate(x)], TYPES)  # two readings from id 4096 on
+    times = spark.createDataFrame([(1, 1, 4000 + i - 2, i, i * 3600) for i in range(100)], TIMES)
+    assert sorted((r.row_id, r.why) for r in faulty(df, times).collect()) == [(40, "spike")] * 3 + [(98, "spike")] * 3
