@@ -34,7 +34,7 @@ def kind(value: Column) -> Column:
 def _objects(at: str, steps: list[str], section: str, places: tuple[str, ...]) -> str:
     """SQL of the array of a section's objects below a VARIANT, each with its place in the lists; lambda variables hold what is
     used more than once, so that nothing is read twice."""
-    n = len(places) + len(steps)
+    n = len(steps)  # differs at every level: an inner variable of one name would hide the outer one
     if not steps:
         record = f"array({', '.join(places)})" if places else "cast(array() as array<int>)"
         return f"transform(filter(array(try_variant_get({at}, '$', 'map<string,variant>')), m -> m is not null), m -> struct('{section}' as section, {record} as record, m as fields))"
@@ -162,21 +162,51 @@ def other_names(changed: DataFrame) -> DataFrame:
     return cut(found.groupBy("section", "field").agg(F.min_by("declared", F.struct("hops", "declared")).alias("declared")))  # few rows, read once per section
 
 
+def records(files: DataFrame, renamed: DataFrame, sections: tuple[str, ...] = tuple(SECTIONS)) -> DataFrame:
+    """Every record of the sections: ``file_id, section, record``, ``declared`` (declared name to value) and ``others`` (name to value of all
+    other fields). Values are JSON texts, null for a JSON null. Where a record has several fields of one declared name, a value
+    goes before a null and the declared name before another one; the rest are ``others``, under their own names."""
+    at = ["file_id", "section", "record"]
+    long = values(files.select("file_id", "payload")).where(F.col("section").isin(*sections)).withColumn("value", F.when(F.col("kind").isNotNull(), F.to_json("value")))
+    cells = long.repartition(*at).groupBy(*at, "field").agg(F.max("value").alias("value")).join(renamed, ["section", "field"], "left")
+    cell = F.struct("declared", F.col("value").isNull().alias("none"), (F.col("field") != F.col("declared")).alias("other"), "field", "value")
+    held = cells.groupBy(*at).agg(F.sort_array(F.collect_list(cell)).alias("c"))
+    first = lambda x, i: x["declared"].isNotNull() & ~F.get("c", i - 1)["declared"].eqNullSafe(x["declared"])
+    entries = lambda found, name: F.map_from_entries(F.transform(found, lambda x: F.struct(x[name], x["value"])))
+    return held.select(*at, entries(F.filter("c", first), "declared").alias("declared"), entries(F.filter("c", lambda x, i: x["field"].isNotNull() & ~first(x, i)), "field").alias("others"))
+
+
+def _read(name: str, sql: str) -> tuple[Column, Column]:
+    """A declared field of ``records`` under its type, and what to say if it can't be cast."""
+    raw = F.col("declared")[name]
+    plain = F.when(raw.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"]).otherwise(raw)
+    cast = F.from_json(F.when(raw.startswith("{"), raw), sql) if sql.startswith("map") else F.try_cast(plain, sql) if hasattr(F, "try_cast") else plain.try_cast(sql)
+    return cast, F.when(raw.isNotNull() & cast.isNull(), F.concat(F.lit(f"{name}="), raw))
+
+
 def consistent(files: DataFrame, section: str, renamed: DataFrame) -> DataFrame:
     """All records of a section under the declared names and types, whatever the shape of their file.
 
-    Returns ``file_id, record``, the declared fields, and ``failed``: the fields whose value is not null but can't be cast, as
-    ``field=value``. Fields that aren't declared, under no known other name, stay out. ``renamed`` is from ``other_names``.
+    Returns ``file_id, record``, the declared fields, ``others``: the fields that aren't declared, under no known other name, as a map of name
+    to JSON text, and ``failed``: the fields whose value is not null but can't be cast, as ``field=value``. ``renamed`` is from
+    ``other_names``.
     """
-    long = values(files.select("file_id", "payload")).where(F.col("section") == section)
-    mapped = long.join(renamed, ["section", "field"]).where("kind is not null")
-    cells = mapped.groupBy("file_id", "record", "declared").agg(F.max(F.to_json("value")).alias("value"))
-    rows = cells.groupBy("file_id", "record").agg(F.map_from_entries(F.collect_list(F.struct("declared", "value"))).alias("m"))
-    typed, failed = [], []
-    for name, sql in DECLARED[section].items():
-        raw = F.col("m")[name]
-        plain = F.when(raw.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"]).otherwise(raw)
-        cast = F.from_json(F.when(raw.startswith("{"), raw), sql) if sql.startswith("map") else F.try_cast(plain, sql) if hasattr(F, "try_cast") else plain.try_cast(sql)
-        typed.append(cast.alias(name))
-        failed.append(F.when(raw.isNotNull() & cast.isNull(), F.concat(F.lit(f"{name}="), raw)))
-    return rows.select("file_id", "record", *typed, F.array_compact(F.array(*failed)).alias("failed"))
+    read = {name: _read(name, sql) for name, sql in DECLARED[section].items()}
+    return records(files, renamed, (section,)).select("file_id", "record", *(cast.alias(n) for n, (cast, _) in read.items()), "others", F.array_compact(F.array(*(bad for _, bad in read.values()))).alias("failed"))
+
+
+def table(files: DataFrame, renamed: DataFrame) -> DataFrame:
+    """All records of all sections as one table: ``file_id, section, record``, the declared fields of every section, ``others`` and ``failed`` as in
+    ``consistent``. A field that several sections declare has the widest of their types; those that a section doesn't declare are
+    null in its rows."""
+    widths = ["smallint", "int", "bigint"]
+    types, casts, failed = {}, {}, []
+    for section, fields in DECLARED.items():
+        own = F.col("section") == section
+        for name, sql in fields.items():
+            cast, bad = _read(name, sql)
+            types[name] = max(types.get(name, sql), sql, key=lambda t: widths.index(t) if t in widths else 0)
+            casts.setdefault(name, []).append(F.when(own, cast))
+            failed.append(F.when(own, bad))
+    fields = [F.coalesce(*(c.cast(types[n]) for c in own)).alias(n) for n, own in casts.items()]
+    return records(files, renamed).select("file_id", "section", "record", *fields, "others", F.array_compact(F.array(*failed)).alias("failed"))

@@ -71,7 +71,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent(load(spark, d, "report_files"), "awrs.foreground_wait_events", drift.other_names(p4_changes(spark, d)))
+    return drift.table(load(spark, d, "report_files"), drift.other_names(p4_changes(spark, d)))
 
 
 def p4_failed_casts(spark: SparkSession, d: str) -> DataFrame:

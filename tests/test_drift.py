@@ -86,3 +86,42 @@ def test_consistent_table(spark):
     names = drift.other_names(spark.createDataFrame([(2, "awrs.host_cpu", "cpus", "renamed", "num_cpus")], "file_id bigint, section string, field string, change_kind string, new_field string"))
     got = rows(drift.consistent(files, "awrs.host_cpu", names).select("file_id", "cpus", "pct_idle", "failed"))
     assert got == [(1, 4, 1.0, []), (2, 4, None, ['pct_idle="n/a"']), (3, 4, None, [])]
+
+
+RENAMED = "file_id bigint, section string, field string, change_kind string, new_field string"
+
+
+def test_table_holds_all_sections(spark):
+    instance = {"db_id": 7, "cpus": 3_000_000_000, "edition": "EE"}
+    files = spark.createDataFrame([(1, "c", 1, doc(instance, [{"cpus": 4, "pct_steal": 0.5, "numa_nodes": None}], [[{"event": "x", "con_id": 3}, {"event": None}]], [{"begin_snap_id": "12", "sessions": [1]}])), (2, "c", 2, doc(hosts=[{"cpus": None, "num_cpus": 8}, {"cpus": 2, "num_cpus": 9}, {}]))], TYPES)
+    names = drift.other_names(spark.createDataFrame([(2, "awrs.host_cpu", "cpus", "renamed", "num_cpus")], RENAMED))
+    got = drift.table(files, names)
+    assert got.select("cpus", "event", "waits", "release", "load_avg_end").dtypes == [("cpus", "bigint"), ("event", "string"), ("waits", "bigint"), ("release", "string"), ("load_avg_end", "double")]
+    told = sorted((r.file_id, r.section.split(".")[-1], r.record, r.cpus, r.event, r.begin_snap_id, sorted(r.others.items()), r.failed) for r in got.collect())
+    assert told == [
+        (1, "db_instance_information", [], None, None, None, [("edition", '"EE"')], ["cpus=3000000000"]),
+        (1, "foreground_wait_events", [2, 0], None, "x", None, [("con_id", "3")], []),
+        (1, "foreground_wait_events", [2, 1], None, None, None, [], []),
+        (1, "host_cpu", [0], 4, None, None, [("numa_nodes", None), ("pct_steal", "0.5")], []),
+        (1, "snap_info", [1], None, None, 12, [("sessions", "[1]")], []),
+        (2, "host_cpu", [0], 8, None, None, [("cpus", None)], []),
+        (2, "host_cpu", [1], 2, None, None, [("num_cpus", "9")], []),
+        (2, "host_cpu", [2], None, None, None, [], []),
+    ]
+
+
+def test_table_loses_no_value(spark):
+    files = load(spark, f"{DATA}/sf0.01", "report_files")
+    got = drift.table(files, drift.other_names(drift.changes(files)))
+    declared = sorted({n for fields in drift.DECLARED.values() for n in fields})
+    held = sum((F.col(n).isNotNull().cast("int") for n in declared), F.size("failed")) + F.size(F.filter(F.map_values("others"), lambda v: v.isNotNull()))
+    n = got.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.sum(held).alias("held")).collect()
+    want = dict.fromkeys(drift.DECLARED, (0, 0))
+    for f in files.collect():
+        top = json.loads(f.payload)
+        awrs = top.get("awrs") or []
+        of = {"db_instance_information": [top.get("db_instance_information")], "awrs.snap_info": [a.get("snap_info") for a in awrs], "awrs.host_cpu": [a.get("host_cpu") for a in awrs], "awrs.foreground_wait_events": [e for a in awrs for e in a.get("foreground_wait_events") or []]}
+        for section, objects in of.items():
+            objects = [o for o in objects if o is not None]
+            want[section] = (want[section][0] + len(objects), want[section][1] + sum(v is not None for o in objects for v in o.values()))
+    assert {r.section: (r.n, r.held) for r in n} == want
