@@ -201,7 +201,7 @@ long AS (SELECT * FROM every WHERE db_id IS NOT NULL AND instance_num IS NOT NUL
 
 @query(f"WITH {_LONG} SELECT db_id, instance_num, snap_id, event, waits, total_wait_time_s, pct_dbtime FROM long WHERE lower(event) = 'db file sequential read' AND pct_dbtime >= 5 AND waits IS NOT NULL AND total_wait_time_s IS NOT NULL")
 def find_snapshots_with_event(spark, d):
-    return tools.snapshots_with_event(reports(spark, d), " DB file sequential read", min_pct=5.0).where("waits is not null and total_wait_time_s is not null")
+    return tools.snapshots_with_event(reports(spark, d), " DB file sequential read", min_pct=5.0)
 
 
 @query(f"WITH {_LONG} SELECT event, round(sum(total_wait_time_s), 4) AS time_s, CAST(sum(waits) AS BIGINT) AS waits FROM long GROUP BY ALL ORDER BY sum(total_wait_time_s) DESC, event LIMIT 10")
@@ -314,7 +314,7 @@ def stat_group_filter(spark, d):
 
 @query(f"WITH {_LONG} SELECT db_id, instance_num, snap_id, waits, total_wait_time_s, pct_dbtime FROM long WHERE lower(event) = 'log file sync' AND waits IS NOT NULL AND total_wait_time_s IS NOT NULL AND pct_dbtime IS NOT NULL")
 def event_timeline(spark, d):
-    return tools.event_timeline(reports(spark, d), "LOG FILE SYNC").drop("avg_wait").where("waits is not null and total_wait_time_s is not null and pct_dbtime is not null")
+    return tools.event_timeline(reports(spark, d), "LOG FILE SYNC").drop("avg_wait")
 
 
 @query(f"WITH {_LONG} SELECT event, waits FROM long WHERE snap_id = (SELECT min(snap_id) FROM long WHERE waits IS NOT NULL) AND waits IS NOT NULL ORDER BY waits DESC, event LIMIT 5")
@@ -326,5 +326,4 @@ def top_waits_in_snapshot(spark, d):
 
 @query("SELECT db_id, instance_num, snap_id, cpus, pct_user, pct_idle FROM (SELECT CASE WHEN json_type(payload->'$.db_instance_information.db_id') LIKE '%BIGINT' THEN CAST(payload->>'$.db_instance_information.db_id' AS BIGINT) END AS db_id, CASE WHEN json_type(payload->'$.db_instance_information.instance_num') LIKE '%BIGINT' THEN CAST(payload->>'$.db_instance_information.instance_num' AS SMALLINT) END AS instance_num, CASE WHEN json_type(a->'$.snap_info.begin_snap_id') LIKE '%BIGINT' THEN CAST(a->>'$.snap_info.begin_snap_id' AS BIGINT) END AS snap_id, CASE WHEN json_type(a->'$.host_cpu.cpus') LIKE '%BIGINT' THEN CAST(a->>'$.host_cpu.cpus' AS BIGINT) END AS cpus, CASE WHEN json_type(a->'$.host_cpu.pct_user') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(a->>'$.host_cpu.pct_user' AS DOUBLE) END AS pct_user, CASE WHEN json_type(a->'$.host_cpu.pct_idle') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(a->>'$.host_cpu.pct_idle' AS DOUBLE) END AS pct_idle FROM (SELECT payload, unnest(CAST(payload->'$.awrs' AS JSON[])) AS a FROM report_files)) WHERE db_id IS NOT NULL AND instance_num IS NOT NULL AND snap_id IS NOT NULL AND cpus IS NOT NULL AND pct_user IS NOT NULL AND pct_idle IS NOT NULL")
 def host_cpu_section(spark, d):
-    own = collection.section(reports(spark, d), "host_cpu").select("db_id", "instance_num", "snap_id", "cpus", "pct_user", "pct_idle")
-    return own.where("cpus is not null and pct_user is not null and pct_idle is not null")
+    return collection.section(reports(spark, d), "host_cpu").select("db_id", "instance_num", "snap_id", "cpus", "pct_user", "pct_idle")
