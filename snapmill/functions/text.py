@@ -74,6 +74,10 @@ def statement(sql: Column) -> Column:
     return plain.when(reduce(lambda x, y: x | y, (start.startswith(k) for k in BLOCKS)), "PL/SQL").otherwise("SELECT")
 
 
+#: The beginning of a statement; prose has FROM and INTO without it.
+STATEMENT = r"(?is)\bselect\b.+?\bfrom\b|\binsert\s+into\b|\bupdate\s+\S+(\s+\S+)?\s+set\b|\bmerge\s+into\b|\bdelete\s+(from\b|\S+\s+where\b)"
+
+
 def tables(sql: Column) -> Column:
     """Names of tables in a statement, sorted.
 
@@ -87,6 +91,12 @@ def tables(sql: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, keep)))
 
 
+def has_statement(text: Column) -> Column:
+    """Whether a text holds an SQL statement that names tables, in any case, over any line ends and comments."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"/\*[\s\S]*?\*/", " "), r"--[^\n]*", " ")
+    return bare.rlike(STATEMENT)
+
+
 def ora_code(digits: Column) -> Column:
     return F.concat(F.lit("ORA-"), F.lpad(digits, 5, "0"))
 

@@ -15,3 +15,10 @@ def test_drifted_fields_are_null(spark, tmp_path):
     assert got["find_snapshots_with_event"] == [(1, 1, 5, "db file sequential read", None, 1.5, 9.0)]
     assert got["event_timeline"] == [(1, 1, 5, 3, None, None)]
     assert got["host_cpu_section"] == [(1, 1, 5, None, 10.0, None)]
+
+
+def test_tables_of_all_statements(spark, tmp_path):
+    texts = ["INSERT INTO STOCK_MOVE (ID, STATE) VALUES (1, 'A');", "MERGE INTO METER_READ T USING STAGE S ON (T.ID = S.ID);", "select a\nfrom orders o join lines l on o.id = l.id", "SELECT\n  A\nFROM PRICE_HIST", "Delete from claim_doc where id = 1", "INSERT /*+ append */ INTO seat_plan SELECT 1", "update route_leg r set r.state = 1", "The notes come from the harbour, into the town.", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = [(0, "STOCK_MOVE"), (1, "METER_READ"), (2, "LINES"), (2, "ORDERS"), (3, "PRICE_HIST"), (4, "CLAIM_DOC"), (5, "SEAT_PLAN"), (6, "ROUTE_LEG")]
+    assert rows(reference.QUERIES["table_name_extract"](spark, str(tmp_path))) == want
