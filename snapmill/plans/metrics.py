@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -387,9 +388,13 @@ findings AS (SELECT {K}, c.name, c.was_mean, c.now_mean, c.rise, c.percent, c.z,
 
 
 def findings(spark, d) -> DataFrame:
+    """Of all domains that the tables hold; SQL statements, instance statistics and the time model are in none of them."""
     target = views.named(spark, d, "DB Time(s)")
-    dense = series.densify(views.waits(spark, d), 0.0, snaps=target)
-    return degradation.findings(dense, target, "foreground")
+    parts = {"foreground": views.waits(spark, d), "background": views.waits(spark, d, "background"), "load_profile": views.stats(spark, d)}
+    # names are compared by themselves, so that all domains go through one plan under names that begin with their domain
+    rows = reduce(DataFrame.unionByName, (own.select(*views.AT, F.concat(F.lit(f"{domain} "), "name").alias("name"), "value") for domain, own in parts.items()))
+    found = degradation.findings(series.densify(rows, 0.0, snaps=target), target, "")
+    return found.withColumn("domain", F.substring_index("name", " ", 1)).withColumn("name", F.expr("substring(name, length(domain) + 2)"))
 
 
 @query(with_views("stats dbtime waits", f"SELECT {K}, 'foreground' AS domain, name, {_NUMBERS}, round(r, 6) AS r, round(share, 6) AS share, row_number() OVER (PARTITION BY {K} ORDER BY share DESC, z DESC, name) AS rank FROM findings QUALIFY rank <= 10", _FINDINGS))
