@@ -186,7 +186,7 @@ def alert_errors(lines: DataFrame, first: str | None = None, last: str | None =
 
 
 def cpu_entitlement(files: DataFrame) -> DataFrame:
-    """How near systems run to their entitlement, of ``os_files``."""
+    """How near systems run to their entitlement, of ``os_texts``; of ``os_files`` only the readings in its excerpts count."""
     from snapmill.functions.text import cpu_bound
 
     stats = textscan.reading_stats(textscan.aix_readings(files))

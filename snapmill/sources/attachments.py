@@ -26,6 +26,11 @@ def os_files(spark: SparkSession, folder: str, pattern: str = "", most_bytes: in
     return rows.where(safe_path(F.col("path")) & (F.size(F.split("path", "/")) <= 4) & F.lower("path").contains(pattern.lower()))
 
 
+def os_texts(spark: SparkSession, folder: str, pattern: str = "") -> DataFrame:
+    """``os_files`` with whole texts, for what reads all their readings."""
+    return os_files(spark, folder, pattern, most_bytes=2**31 - 1)
+
+
 def links(mapping: DataFrame, names: DataFrame) -> DataFrame:
     """Links of the entities that occur: ``mapping`` has ``entity`` and ``links`` (JSON, a list of action and url)."""
     known = mapping.select("entity", F.explode(F.from_json("links", "array<struct<action:string,url:string>>")).alias("l"))

@@ -149,6 +149,14 @@ def test_attachments(spark, tmp_path):
     assert rows(attachments.links(mapping, spark.createDataFrame([("e",)], "name string"))) == [("e", "read", "u")]
 
 
+def test_entitlement_of_whole_files(spark, tmp_path):
+    (tmp_path / "lparstat.out").write_text("Entc%=10 idle=90\n" * 6000 + "Entc%=99 idle=1\n")
+    files = attachments.os_texts(spark, str(tmp_path))
+    assert rows(files.select("path", "truncated")) == [("lparstat.out", False)]
+    found = tools.cpu_entitlement(files).first()
+    assert (found.most, found.assessment) == (99.0, "confirmed")
+
+
 def test_tools(spark, folder):
     own = reports.snapshots_of(reports.read_reports(spark, folder)).cache()
     head = tools.list_snapshots(own.where("snap_id = 11")).first()
