@@ -151,15 +151,25 @@ def changes(files: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def other_names(changed: DataFrame) -> DataFrame:
-    """Declared names of renamed fields: ``section, field, declared``, through up to three renamings."""
-    edges = changed.where("change_kind = 'renamed'").select("section", F.explode(F.array(F.struct(F.col("field").alias("a"), F.col("new_field").alias("b")), F.struct(F.col("new_field").alias("a"), F.col("field").alias("b")))).alias("e")).select("section", "e.*").distinct()
-    session = changed.sparkSession
-    found = session.createDataFrame([(s, f, f, 0) for s, fields in DECLARED.items() for f in fields], "section string, field string, declared string, hops int")
-    for hop in range(1, 4):
-        f, e = found.alias("f"), edges.alias("e")
-        step = f.join(e, (F.col("f.section") == F.col("e.section")) & (F.col("f.field") == F.col("e.a"))).select("f.section", F.col("e.b").alias("field"), "f.declared", F.lit(hop).alias("hops"))
-        found = found.unionByName(step)
-    return cut(found.groupBy("section", "field").agg(F.min_by("declared", F.struct("hops", "declared")).alias("declared")))  # few rows, read once per section
+    """Declared names of renamed fields: ``section, field, declared``, through any number of renamings, the nearest declared name first.
+
+    The distinct renamings, which are few, come to the driver.
+    """
+    pairs = changed.where("change_kind = 'renamed'").select("section", "field", "new_field").distinct().collect()
+    beside: dict[tuple[str, str], set[str]] = {}
+    for section, old, new in pairs:
+        beside.setdefault((section, old), set()).add(new)
+        beside.setdefault((section, new), set()).add(old)
+    found = {(section, f): f for section, fields in DECLARED.items() for f in fields}
+    last = found
+    while last:  # one renaming further; of several declared names at one distance the least holds
+        step: dict[tuple[str, str], str] = {}
+        for (section, f), declared in last.items():
+            for name in beside.get((section, f), ()):
+                if (section, name) not in found:
+                    step[section, name] = min(declared, step.get((section, name), declared))
+        found, last = found | step, step
+    return changed.sparkSession.createDataFrame([(*at, declared) for at, declared in found.items()], "section string, field string, declared string")
 
 
 def records(files: DataFrame, renamed: DataFrame, sections: tuple[str, ...] = tuple(SECTIONS)) -> DataFrame:

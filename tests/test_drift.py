@@ -125,3 +125,11 @@ def test_table_loses_no_value(spark):
             objects = [o for o in objects if o is not None]
             want[section] = (want[section][0] + len(objects), want[section][1] + sum(v is not None for o in objects for v in o.values()))
     assert {r.section: (r.n, r.held) for r in n} == want
+
+
+def test_names_through_many_renamings(spark):
+    chain = ["cpus", "num_cpus", "cpu_num", "cpu_total", "total_cpu", "cpu_sum"]
+    changed = spark.createDataFrame([(i, "awrs.host_cpu", a, "renamed", b) for i, (a, b) in enumerate(zip(chain, chain[1:]))], RENAMED)
+    names = {(r.section, r.field): r.declared for r in drift.other_names(changed).collect()}
+    assert {names["awrs.host_cpu", n] for n in chain} == {"cpus"}
+    assert names["db_instance_information", "cpus"] == "cpus" and len(names) == sum(map(len, drift.DECLARED.values())) + 5
