@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,8 @@ TRAIN_DOCS = 20_000
 LEAST_SENTENCES = 5
 #: Share of the sample's sentences from which a language is one of its own.
 LEAST_LANGUAGE = 0.002
-ROUNDS = 5
+#: Rounds at most, and the mean movement of the words' log chances below which the rounds have converged.
+ROUNDS, SETTLED = 12, 0.1
 #: Share of a document's sentences that have its own level; neighbouring levels have most of the rest.
 OWN = 0.85
 #: Chance that a reader gives the right level; neighbouring ones have most of the rest.
@@ -35,10 +37,17 @@ READER = 0.8
 #: A word's influence is held within these log odds between levels.
 HOLD = 4.0
 
-WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+#: A word: letters with their marks; a character where words are written without blanks.
+WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]\p{M}*|\p{L}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+")
+WORDS = regex.compile(rf"(?:{WORD.pattern})+")
 BULLET = re.compile(r"^\s*(?:[-*•–]|\d+[.)])\s+")
-END = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+(?=\S)")
-CLOSERS, MARKS = "\"'”’)", ".,;:!?…\"'“”„’()[]"
+#: Marks that close a sentence before a blank, and those of scripts that put none after them.
+ENDS, FULL_ENDS = ".!?…", "。！？｡।॥؟۔"
+END = re.compile(rf"(?<=[{ENDS}])[\"'”’)]*\s+(?=\S)|(?<=[{FULL_ENDS}])[\"'”’)」』】]*\s*(?=\S)")
+PIECE = re.compile(r"\s+|(?<=[，、；：])")
+CLOSERS, MARKS = "\"'”’)」』】", ".,;:!?…\"'“”„’()[]，、；：「」『』【】" + FULL_ENDS
+#: Where nothing is closed: the least words of a line of prose, and their share of its pieces.
+LINE_WORDS, LINE_SHARE = 5, 0.8
 #: Pieces of text between blanks whose words a worker keeps at hand.
 KEPT = 200_000
 
@@ -59,23 +68,24 @@ def words_of(piece: str, kept: dict[str, tuple[tuple[str, ...], bool]] = {}) ->
     if found is None:
         if len(kept) >= KEPT:
             kept.clear()
-        found = kept[piece] = (tuple(w.lower() for w in WORD.findall(piece)), WORD.fullmatch(piece.strip(MARKS)) is not None)
+        found = kept[piece] = (tuple(w.lower() for w in WORD.findall(piece)), WORDS.fullmatch(piece.strip(MARKS)) is not None)
     return found
 
 
 def closed(text: str) -> bool:
     """Whether a text ends as a sentence does."""
-    return text.rstrip(CLOSERS)[-1:] in (".", "!", "?", "…") if text else False
+    return text.rstrip(CLOSERS)[-1:] in (*ENDS, *FULL_ENDS) if text else False
 
 
 def sentences(text: str | None) -> list[list[str]]:
     """The prose sentences of a text, each as its distinct lower-case words.
 
-    Prose is a sentence that is closed, or a line with a bullet, of at least two words, most of whose tokens are words; lines
+    Prose is a sentence that is closed, or a line with a bullet, of at least two words, most of whose tokens are words; in a text without
+    either, a line of ``LINE_WORDS`` words or more, nearly all of whose tokens are words. Lines
     with columns (blanks in a row, tabs) are tables. Headings, placeholders, SQL, log and table pieces fall out, or hold words
     that tell nothing.
     """
-    out = []
+    out, open_ = [], []
     for line in (text or "").splitlines():
         bare = line.strip()
         if not bare or "\t" in bare or "  " in bare and not closed(bare):
@@ -84,13 +94,17 @@ def sentences(text: str | None) -> list[list[str]]:
         body = line[bullet.end() :] if bullet else bare
         for part in END.split(body):
             part = part.strip()
-            if not part or not (bullet or closed(part)):
+            if not part:
                 continue
-            pieces = [words_of(p) for p in part.split()]
-            plain = sum(p[1] for p in pieces)
-            if plain >= 2 and 2 * plain > len(pieces):
-                out.append(sorted({w for p in pieces for w in p[0]}))
-    return out
+            pieces = [words_of(p) for p in PIECE.split(part) if p]
+            words, plain = sorted({w for p in pieces for w in p[0]}), sum(p[1] for p in pieces)
+            count = sum(len(p[0]) for p in pieces if p[1])
+            if bullet or closed(part):
+                if count >= 2 and 2 * plain > len(pieces):
+                    out.append(words)
+            elif not out and count >= LINE_WORDS and plain >= LINE_SHARE * len(pieces):
+                open_.append(words)
+    return out or open_
 
 
 def curves(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -133,6 +147,7 @@ class Model:
         self.base = np.log(own.T @ np.exp(chance) + 1e-300) if len(words) else np.zeros((len(totals), 4))
         self.chance = np.vstack([chance, np.zeros(4)])
         self.speech = np.vstack([np.log(own), np.zeros(len(totals))]) if len(words) else np.zeros((1, len(totals)))
+        self.usual = totals.sum(0) / totals.sum()  # the share of each level, for texts of which no word is known
 
     def difficulty(self) -> pd.DataFrame:
         """Per word the level at which it is most likely."""
@@ -151,6 +166,12 @@ class Model:
         log = np.add.reduceat(self.chance[flat], starts) - known[:, None] * self.base[language]
         return np.exp(log - log.max(1, keepdims=True)), owner
 
+    def moved(self, other: Model | None) -> float:
+        """The mean difference of the words' log chances from those of a model of the same words."""
+        if other is None or self.chance.shape != other.chance.shape:
+            return np.inf
+        return float(np.abs(self.chance - other.chance).mean())
+
     def levels(self, docs: list[list[list[str]]], prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Posteriors of documents and of sentences by level, and the document of each sentence."""
         like, owner = self.likelihoods(docs)
@@ -181,7 +202,7 @@ def labelled(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> Model:
-    """The model by alternating optimisation.
+    """The model by alternating optimisation, until the words settle.
 
     A round's counts are gathered by Spark. The words that reach the driver are those of a sample of ``train_docs`` documents
     that are in ``LEAST_SENTENCES`` sentences of it or more, which bounds the model that is then sent out.
@@ -216,7 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, rounds
         counted = sample.mapInPandas(run, kinds).groupBy("word", "lang").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "n")))
         rows = counted.where(F.col("n") >= LEAST_SENTENCES).toPandas().sort_values(["word", "lang"], ignore_index=True)
         held.unpersist()
-        model = of_counts(rows)
+        model, last = of_counts(rows), model
+        if model.moved(last) < SETTLED:
+            break
     return model
 
 
@@ -238,7 +261,8 @@ def levels(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS)
 
     Documents without prose (null, empty, blank, placeholders, tables) have no row. Repeated rows each have one. Labels that are null or outside
     1 to 4 are ignored, as are labels of unknown documents; several of one document are weighed together. Other columns are ignored. Without any
-    label all levels are equally likely and the level is 1 with certainty 0.25. Empty documents give an empty result.
+    label all levels are equally likely and the level is 1 with certainty 0.25. A text without any word of the model has the level of most
+    sentences of the labelled documents, with certainty 0.25. Empty documents give an empty result.
     """
     model = fit(docs, labels, train_docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -246,7 +270,7 @@ def levels(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             texts = [sentences(t) for t in f["text"]]
-            doc, _, _ = held.value.levels(texts, np.full((len(texts), 4), 0.25))
+            doc, _, _ = held.value.levels(texts, np.tile(0.25 + 1e-9 * (held.value.usual - 0.25), (len(texts), 1)))
             n = np.array([len(t) for t in texts], np.int64)
             out = pd.DataFrame({"doc_id": f["doc_id"].to_numpy(), "read_level": (doc.argmax(1) + 1).astype(np.int32), "certainty": doc.max(1).round(6), "n_sentences": n})
             yield out[n > 0]

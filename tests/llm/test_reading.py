@@ -24,6 +24,21 @@ def test_prose():
     assert reading.sentences(table) == reading.sentences(None) == reading.sentences("") == []
 
 
+def test_prose_of_any_script():
+    assert [len(s) for s in reading.sentences("服务器很慢。请检查日志，然后重启数据库！")] == [5, 12]
+    assert len(reading.sentences("डेटाबेस धीमा है। कृपया लॉग देखें।")) == 2
+    assert reading.sentences("डेटाबेस धीमा है।") == [sorted(["डेटाबेस", "धीमा", "है"])]
+    assert len(reading.sentences("the disk was full last night\nso we moved the old files away")) == 2
+    assert reading.sentences("(attachment removed)") == reading.sentences("Event   Waits  Time(s)") == reading.sentences("SELECT A, B FROM T WHERE ID = 3") == []
+
+
+def test_unknown_words_have_the_usual_level(spark):
+    docs = spark.createDataFrame([(i, "Every cat sleeps here." if i % 5 else "Some axiom holds there.") for i in range(60)] + [(99, "Quux frob blarg zork.")], "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, 2 if i % 5 else 4) for i in range(60)], "doc_id bigint, read_level int")
+    got = {r.doc_id: (r.read_level, r.certainty) for r in reading.levels(docs, labels).collect()}
+    assert got[99] == (2, 0.25) and got[1][1] > 0.5
+
+
 def test_neighbouring_sentences_dont_change_a_level(spark):
     words = {1: ["cat", "dog", "sun"], 2: ["disk", "index", "query"], 3: ["latency", "contention", "threshold"], 4: ["paradigm", "axiom", "lemma"]}
     text = lambda level, n, other=1, more=0: " ".join(f"{w.capitalize()} and {w} are here." for w in [*(words[level] * n)[:n], *(words[other] * 9)[:more]])
