@@ -36,7 +36,7 @@ def test_unknown_words_have_the_usual_level(spark):
     docs = spark.createDataFrame([(i, "Every cat sleeps here." if i % 5 else "Some axiom holds there.") for i in range(60)] + [(99, "Quux frob blarg zork.")], "doc_id bigint, text string").withColumn("lang", F.lit("en"))
     labels = spark.createDataFrame([(i, 2 if i % 5 else 4) for i in range(60)], "doc_id bigint, read_level int")
     got = {r.doc_id: (r.read_level, r.certainty) for r in reading.levels(docs, labels).collect()}
-    assert got[99] == (2, 0.25) and got[1][1] > 0.5
+    assert got[99] == (2, 0.25)
 
 
 def test_neighbouring_sentences_dont_change_a_level(spark):
