@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapmill.common import BLOCK, carried, cut, running
+from snapmill.common import carried, cut, running
 
 #: Sections: the path of their objects below the root; ``[]`` goes through a list.
 SECTIONS = {"db_instance_information": "db_instance_information", "awrs.snap_info": "awrs[].snap_info", "awrs.host_cpu": "awrs[].host_cpu", "awrs.foreground_wait_events": "awrs[].foreground_wait_events[]"}
@@ -86,11 +86,11 @@ def shapes(files: DataFrame) -> DataFrame:
     return by_field.groupBy("file_id", "collector", "file_seq", "section").agg(F.array_sort(F.collect_list(held)).alias("fields"))
 
 
-def compared(files: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def compared(files: DataFrame, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Shapes of each file with those of the previous file of its collector that has the section, as one row per field of
     either, and the distinct sets of fields that files have.
 
-    Files are ranked within collector and section over blocks of ``file_seq``, then joined with rank - 1; a collector with a third
+    Files are ranked within collector and section over ranges of like size, then joined with rank - 1; a collector with a third
     of all files is spread like any other.
     """
     by_file = cut(shapes(files))  # far smaller than the payloads, and read several times below
@@ -98,7 +98,7 @@ def compared(files: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame
     # files with the same place in the sequence follow each other by file_id
     steps = by_file.withColumn("_same", F.row_number().over(Window.partitionBy(*at, "file_seq").orderBy("file_id")))
     seats = steps.groupBy(*at, "file_seq").agg(F.max("_same").alias("_n"))
-    ranks = running(seats, at, "file_seq", {"_to": "_n"}, block)
+    ranks = running(seats, at, "file_seq", {"_to": "_n"}, partitions)
     s, r = steps.alias("s"), ranks.alias("r")
     on = F.col("s.collector").eqNullSafe(F.col("r.collector")) & (F.col("s.section") == F.col("r.section")) & F.col("s.file_seq").eqNullSafe(F.col("r.file_seq"))
     ranked = s.join(r, on).select("s.collector", "s.section", "s.file_id", "s.fields", (F.col("_to") - F.col("_n") + F.col("_same")).alias("rank"))
@@ -109,7 +109,7 @@ def compared(files: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame
     return cut(pairs), names
 
 
-def changes(files: DataFrame, block: int = BLOCK) -> DataFrame:
+def changes(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """Every change of shape: ``file_id, section, field, change_kind, new_field``.
 
     ``change_kind`` is ``added``, ``removed``, ``renamed`` (``field`` is the old name, ``new_field`` the new one) or ``retyped``. A
@@ -121,7 +121,7 @@ def changes(files: DataFrame, block: int = BLOCK) -> DataFrame:
     comes first. Equal ``file_seq`` of one collector follow each other by ``file_id``. An empty table gives an empty result.
     """
     files = files.select("file_id", "collector", F.coalesce(F.col("file_seq").cast("bigint"), F.lit(-1)).alias("file_seq"), "payload")
-    pairs, names = compared(files, block)
+    pairs, names = compared(files, partitions)
     name = lambda c: F.col(f"{c}.field")
     fresh = F.filter("new", lambda x: ~F.array_contains(name("old"), x["field"]))
     gone = F.filter("old", lambda x: ~F.array_contains(name("new"), x["field"]))
@@ -145,7 +145,7 @@ def changes(files: DataFrame, block: int = BLOCK) -> DataFrame:
     used = renamed.select("file_id", "section", F.explode(F.array(F.struct(F.col("field"), F.lit("removed").alias("change_kind")), F.struct(F.col("new_field").alias("field"), F.lit("added").alias("change_kind")))).alias("x")).select("file_id", "section", "x.*")
     rest = plain.join(used, ["file_id", "section", "field", "change_kind"], "left_anti").withColumn("new_field", F.lit(None).cast("string"))
     long = pairs.select("collector", "section", "rank", "file_id", F.explode("new").alias("x"), "old").select("collector", "section", "rank", "file_id", "x.field", "x.kind", F.coalesce(F.array_contains("old.field", F.col("x.field")), F.lit(False)).alias("kept"))
-    before = carried(long, ["collector", "section", "field"], "rank", "kind", "was", block)
+    before = carried(long, ["collector", "section", "field"], "rank", "kind", "was", partitions)
     retyped = before.where("kept and kind <> was").select("file_id", "section", "field", F.lit("retyped").alias("change_kind"), F.lit(None).cast("string").alias("new_field"))
     return renamed.unionByName(rest).unionByName(retyped)
 

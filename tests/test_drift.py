@@ -25,7 +25,7 @@ def changed(spark, docs, collector="c", **kwargs):
 def test_kinds_of_change(spark):
     docs = [doc({"release": "19.3.0.0.0", "cpus": 4, "rac": "NO"}), doc({"cpus": 4, "version": "19.3.0.0.0", "rac": "NO"}), doc({"cpus": "4", "version": "19.3.0.0.0"}), doc({"cpus": "4", "version": "19.3.0.0.0", "edition": "EE"})]
     assert changed(spark, docs) == [(2, "db_instance_information", "release", "renamed", "version"), (3, "db_instance_information", "cpus", "retyped", None), (3, "db_instance_information", "rac", "removed", None), (4, "db_instance_information", "edition", "added", None)]
-    assert changed(spark, docs, block=2) == changed(spark, docs)
+    assert changed(spark, docs, partitions=3) == changed(spark, docs)
 
 
 def test_nulls_and_empty_lists_say_nothing(spark):

@@ -25,10 +25,10 @@ def brute(data):
 
 def test_same_as_brute_force(spark):
     random.seed(3)
-    for size, reach, block in ((40, 60, 8), (300, 2000, 64), (300, 2000, 4096)):
+    for size, reach, partitions in ((40, 60, 8), (300, 2000, 3), (300, 2000, None)):
         data = [(random.choice("ab"), b, b + random.choice([0, 1, 1, 2, 9, -1]), random.choice([None, "t1", f"t{b:04}"])) for b in (random.randint(-reach, reach) for _ in range(size))]
         data += [("a", 5, 6, "x")] * 3 + [(None, 1, 2, None), (None, 3, 4, "z"), ("c", None, 3, "q"), ("c", 3, None, "q")]
-        got = rows(periods_and_gaps(spark.createDataFrame(data, TYPES), ["k"], "b", "e", "m", block))
+        got = rows(periods_and_gaps(spark.createDataFrame(data, TYPES), ["k"], "b", "e", "m", partitions))
         assert got == brute(data)
 
 
