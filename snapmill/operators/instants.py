@@ -2,15 +2,17 @@
 
 A text's shape mask replaces digits by ``9`` and letters by ``a``. Each distinct mask of a batch is mapped to a reader once; the
 reader's slices then apply to all rows of that mask as one byte matrix. Wall clocks become UTC by searching zone transition
-tables, which carry the version of the time zone data they were made from.
+tables, made for the years that occur from the one version of the time zone data that the driver sends to all workers.
 """
 
 from __future__ import annotations
 
+import importlib.resources
+import io
 import re
 import zoneinfo
 from collections.abc import Iterator
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 from functools import cache
 from pathlib import Path
 
@@ -19,13 +21,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: No form is longer; longer texts name no time.
+#: No form is longer but for the digits of its fraction, which longer texts lose from the tenth on.
 LONGEST = 64
+FRACTION = re.compile(r"(?<=[.,]\d{9})\d+")
 MONTHS = {m: i + 1 for i, m in enumerate(["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"])}
 UNIVERSAL = ("UTC", "GMT", "Z", "UT")
 MONTH_FIRST = "AMERICA"
-#: Zone tables cover these years.
-YEARS = (1970, 2050)
+#: A zone table covers the years of a span; spans are so long.
+SPAN = 32
+#: Spans in which an abbreviation is looked for that the time's own span doesn't know: standard time is younger, and later years repeat the last rule.
+SPANS = range(1850 // SPAN, 2100 // SPAN + 1)
 
 _TIME = r"(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:[.,]9+)?)?"
 _DOTS = r"(?P<h>99?)\.(?P<mi>99)\.(?P<s>99)(?:\.9+)?"
@@ -48,6 +53,28 @@ SHAPE[65:91] = SHAPE[97:123] = 97
 SHAPE[128:] = 63
 
 
+class Zones:
+    """Time zone data by name, with its version: what the driver has, or what it sent."""
+
+    version: str | None = None
+    files: dict[str, bytes] | None = None
+
+    @classmethod
+    def use(cls, version: str, files: dict[str, bytes]) -> None:
+        if cls.files is None or cls.version != version:
+            cls.version, cls.files = version, files
+            transitions.cache_clear()
+
+    @classmethod
+    def get(cls, name: str) -> zoneinfo.ZoneInfo | None:
+        try:
+            if cls.files is None:
+                return zoneinfo.ZoneInfo(name)
+            return zoneinfo.ZoneInfo.from_file(io.BytesIO(cls.files[name]), key=name)
+        except (KeyError, zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
+            return None
+
+
 def zone_version() -> str:
     """The version of the time zone data that the zone tables are made from."""
     for folder in zoneinfo.TZPATH:
@@ -63,39 +90,88 @@ def zone_version() -> str:
         return "unknown"
 
 
+def zone_files() -> dict[str, bytes]:
+    """The files of all zones that this machine knows, about a megabyte."""
+    out = {}
+    for name in zoneinfo.available_timezones():
+        path = next((x for x in (Path(f, name) for f in zoneinfo.TZPATH) if x.is_file()), None)
+        try:
+            out[name] = (path or importlib.resources.files("tzdata").joinpath("zoneinfo", *name.split("/"))).read_bytes()
+        except (OSError, ModuleNotFoundError):
+            continue
+    return out
+
+
 @cache
-def transitions(zone: str) -> tuple[np.ndarray, np.ndarray, dict[str, int]] | None:
-    """Of a zone: wall clocks (seconds) from which each offset holds, the offsets, and the offset of each abbreviation.
+def transitions(zone: str, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of a zone in the years of a span: wall clocks (seconds) from which each offset holds, the offsets, and their abbreviations.
 
     At a change the earlier reading of a repeated hour and, for a skipped one, the offset before the change hold: either way the
     new offset begins at the instant of the change read with the larger of both offsets. None for an unknown zone.
     """
-    try:
-        info = zoneinfo.ZoneInfo(zone)
-    except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
+    info = Zones.get(zone)
+    if info is None:
         return None
+    epoch = datetime(1970, 1, 1, tzinfo=UTC)
 
     def at(second: int) -> tuple[int, str]:
-        t = datetime.fromtimestamp(second, info)
+        t = (epoch + timedelta(seconds=second)).astimezone(info)
         return int(t.utcoffset().total_seconds()), t.tzname()
 
-    begin, end = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in YEARS)
-    walls, offsets = [np.iinfo(np.int64).min], [at(begin)[0]]
-    names = {at(begin)[1]: at(begin)[0]}
+    first, last = max(span * SPAN, 1), min(span * SPAN + SPAN, 9999)
+    step = 5 * 86400
+    begin, end = (int((datetime(y, 1, 1, tzinfo=UTC) - epoch).total_seconds()) for y in (first, last))
+    begin, end = (begin - step if first > 1 else begin + 2 * 86400), end + (step if last < 9999 else 363 * 86400)
     here = at(begin)
-    for upper in range(begin + 5 * 86400, end, 5 * 86400):
-        there = at(upper)
+    walls, offsets, names = [np.iinfo(np.int64).min], [here[0]], [here[1]]
+    for lower in range(begin, end, step):
+        low, high = lower, min(lower + step, end)
+        there = at(high)
         if there == here:
             continue
-        low, high = upper - 5 * 86400, upper
         while high - low > 1:
             middle = (low + high) // 2
             low, high = (middle, high) if at(middle) == here else (low, middle)
+        there = at(high)
         walls.append(high + max(here[0], there[0]))
         offsets.append(there[0])
-        names[there[1]] = there[0]
+        names.append(there[1])
         here = there
-    return np.array(walls), np.array(offsets), names
+    return np.array(walls), np.array(offsets), np.array(names, object)
+
+
+def offsets_of(zone: str, wall: np.ndarray, year: np.ndarray) -> np.ndarray | None:
+    """The zone's offsets at wall clocks, None if the zone is unknown."""
+    out = np.zeros(len(wall), np.int64)
+    for span in np.unique(year // SPAN):
+        table, own = transitions(zone, int(span)), year // SPAN == span
+        if table is None:
+            return None
+        out[own] = table[1][np.searchsorted(table[0], wall[own], "right") - 1]
+    return out
+
+
+def offsets_named(zone: str | None, name: str, wall: np.ndarray, year: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets that an abbreviation stands for in a zone at wall clocks, and whether it stands for any: the one in force if it has
+    that name, else the nearest in time that has."""
+    out, known = np.zeros(len(wall), np.int64), np.zeros(len(wall), bool)
+    if name in UNIVERSAL:
+        return out, ~known
+    for span in np.unique(year // SPAN) if zone else ():
+        own = np.flatnonzero(year // SPAN == span)
+        table = None
+        for near in (int(span), *sorted(SPANS, key=lambda x: abs(x - span))):  # noqa: B023
+            table = transitions(zone, near)
+            if table is None or (table[2] == name).any():
+                break
+        if table is None or not (table[2] == name).any():
+            continue
+        starts = table[0].astype(float)
+        ends = np.append(starts[1:], np.inf)
+        has = np.flatnonzero(table[2] == name)
+        far = np.maximum(np.maximum(starts[has][None, :] - wall[own][:, None], wall[own][:, None] - ends[has][None, :] + 1), 0)
+        out[own], known[own] = table[1][has[far.argmin(1)]], True
+    return out, known
 
 
 @cache
@@ -129,7 +205,10 @@ def read_times(texts: pd.Series, zones: pd.Series, territories: pd.Series) -> tu
     n, none = len(texts), np.iinfo(np.int64).min
     out, masks, how = np.full(n, none), np.full(n, None, object), np.full(n, None, object)
     plain = texts.fillna("").astype(str).str.strip()
-    plain = plain.where(plain.str.len() <= LONGEST, "")
+    long = plain.str.len() > LONGEST
+    if long.any():
+        plain = plain.where(~long, plain[long].map(lambda t: FRACTION.sub("", t)))
+        plain = plain.where(plain.str.len() <= LONGEST, "")
     matrix = np.array([t.encode("ascii", "replace") for t in plain], f"S{LONGEST}").view(np.uint8).reshape(n, LONGEST) if n else np.zeros((0, LONGEST), np.uint8)
     shapes = words(SHAPE[matrix]) if n else np.zeros(0, "S1")
     zone_of, territory_of = zones.to_numpy(object), territories.fillna("").to_numpy(object)
@@ -190,13 +269,9 @@ def read_times(texts: pd.Series, zones: pd.Series, territories: pd.Series) -> tu
                 if name is None:
                     continue
                 if "name" in parts and (name.upper() in UNIVERSAL or "/" not in name):
-                    table = transitions(home) if home else None
-                    offsets = (table[2] if table else {}) | dict.fromkeys(UNIVERSAL, 0)
-                    if name.upper() in offsets:
-                        offset[at], known[at] = offsets[name.upper()], True
-                elif table := transitions(name):
-                    offset[at] = table[1][np.searchsorted(table[0], wall[at], "right") - 1]
-                    known[at] = True
+                    offset[at], known[at] = offsets_named(home, name.upper(), wall[at], year[at])
+                elif (found := offsets_of(name, wall[at], year[at])) is not None:
+                    offset[at], known[at] = found, True
         good &= known
         out[rows] = np.where(good, wall - offset, none)
         how[rows[good]] = means
@@ -207,7 +282,7 @@ def to_utc(times: DataFrame, instances: DataFrame) -> DataFrame:
     """Every row of ``times`` (``source_table, row_id, db_id, instance_num, text``) with the instant its text names.
 
     Returns ``source_table, row_id, utc_time, mask, how, tz_version``. ``utc_time`` (``YYYY-MM-DDTHH:MM:SSZ``) is null where the
-    text is null, empty, longer than any form, of no known form, no real calendar time, names a zone that is unknown, or has none
+    text is null, empty, of no known form, no real calendar time, names a zone that is unknown, or has none
     while the instance has none either. ``how`` says what gave the offset: epoch, offset, named or instance. ``instances`` gives
     ``time_zone`` and ``nls_territory`` by ``db_id, instance_num``; repeated rows of it count once and the greatest non-null value
     holds where they differ; a null key matches a null key. Repeated rows of ``times`` are each returned. Other columns are
@@ -218,14 +293,16 @@ def to_utc(times: DataFrame, instances: DataFrame) -> DataFrame:
     rows = times.select("source_table", "row_id", "db_id", "instance_num", F.col("text").cast("string").alias("text"))
     joined = rows.join(zones, F.col("db_id").eqNullSafe(F.col("_d")) & F.col("instance_num").eqNullSafe(F.col("_n")), "left").select("source_table", "row_id", "text", "time_zone", "nls_territory")
     version = zone_version()
+    sent = times.sparkSession.sparkContext.broadcast(zone_files())  # the zone database, about a megabyte
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        Zones.use(version, sent.value)
         for f in frames:
             seconds, masks, how = read_times(f["text"], f["time_zone"], f["nls_territory"])
             good = seconds != np.iinfo(np.int64).min
             stamp = np.full(len(f), None, object)
             stamp[good] = [f"{x}Z" for x in np.datetime_as_string(seconds[good].astype("datetime64[s]"))]
-            yield pd.DataFrame({"source_table": f["source_table"], "row_id": f["row_id"], "utc_time": stamp, "mask": masks, "how": how, "tz_version": zone_version() if len(f) else version})
+            yield pd.DataFrame({"source_table": f["source_table"], "row_id": f["row_id"], "utc_time": stamp, "mask": masks, "how": how, "tz_version": version})
 
     return joined.mapInPandas(run, "source_table string, row_id bigint, utc_time string, mask string, how string, tz_version string")
 

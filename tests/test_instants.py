@@ -1,4 +1,4 @@
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
 import numpy as np
@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from snapmill.operators.instants import read_times, to_utc, transitions
+from snapmill.operators.instants import Zones, offsets_of, read_times, to_utc, transitions, zone_files
 
 
 def utc(text, zone="Europe/Vienna", territory="AUSTRIA"):
@@ -47,16 +47,49 @@ def test_forms(text, zone, territory, want):
     assert utc(text, zone, territory) == want
 
 
-@pytest.mark.parametrize("zone", ["Europe/London", "America/Sao_Paulo", "Australia/Sydney", "America/Denver", "Asia/Kolkata", "Africa/Casablanca"])
-def test_zone_tables(zone):
+@pytest.mark.parametrize("zone", ["Europe/London", "America/Sao_Paulo", "Australia/Sydney", "America/New_York", "Asia/Kolkata", "Africa/Casablanca"])
+@pytest.mark.parametrize("first", [1966, 2016, 2045, 2399])
+def test_zone_tables(zone, first):
     """Every clock of some years reads as zoneinfo does, the first of two, the offset before a gap."""
-    walls, offsets, _ = transitions(zone)
     info = ZoneInfo(zone)
-    start = int(datetime(2016, 1, 1, tzinfo=UTC).timestamp())
-    for second in range(start, start + 9 * 366 * 86400, 1800):
-        naive = datetime.fromtimestamp(second, UTC).replace(tzinfo=None)
-        want = naive.replace(tzinfo=info).utcoffset().total_seconds()
-        assert offsets[np.searchsorted(walls, second, "right") - 1] == want, naive
+    start = int((datetime(first, 1, 1) - datetime(1970, 1, 1)).total_seconds())
+    wall = np.arange(start, start + 7 * 366 * 86400, 5400)
+    naive = [datetime(1970, 1, 1) + timedelta(seconds=int(x)) for x in wall]
+    want = np.array([int(t.replace(tzinfo=info).utcoffset().total_seconds()) for t in naive])
+    assert (offsets_of(zone, wall, np.array([t.year for t in naive])) == want).all()
+
+
+@pytest.mark.parametrize(
+    ("text", "zone", "want"),
+    [
+        ("2051-07-01 12:00:00", "America/New_York", "2051-07-01T16:00:00Z"),
+        ("1968-07-01 12:00:00", "America/New_York", "1968-07-01T16:00:00Z"),
+        ("1943-07-01 12:00:00", "Europe/London", "1943-07-01T10:00:00Z"),
+        ("0001-01-01 00:00:00", "UTC", "0001-01-01T00:00:00Z"),
+        ("9999-12-31 23:59:59", "UTC", "9999-12-31T23:59:59Z"),
+        ("2012-07-01 12:00:00 MSK", "Europe/Moscow", "2012-07-01T08:00:00Z"),
+        ("2008-01-01 12:00:00 MSK", "Europe/Moscow", "2008-01-01T09:00:00Z"),
+        ("2016-07-01 12:00:00 MSK", "Europe/Moscow", "2016-07-01T09:00:00Z"),
+        ("2016-07-01 12:00:00 MSD", "Europe/Moscow", "2016-07-01T08:00:00Z"),
+        ("2051-12-01 12:00:00 EDT", "America/New_York", "2051-12-01T16:00:00Z"),
+        ("2024-01-02 03:04:05." + "7" * 500 + "+02:00", "UTC", "2024-01-02T01:04:05Z"),
+    ],
+)
+def test_no_silent_bounds(text, zone, want):
+    seconds, _, _ = read_times(pd.Series([text]), pd.Series([zone]), pd.Series([None]))
+    assert f"{np.datetime64(int(seconds[0]), 's')}Z" == want
+
+
+def test_one_zone_version(monkeypatch):
+    """Workers read the zones that the driver sent, not their own."""
+    files = zone_files()
+    assert {"Europe/Vienna", "Asia/Tokyo", "UTC"} <= set(files) and sum(map(len, files.values())) < 4 << 20
+    try:
+        Zones.use("swapped", files | {"Europe/Vienna": files["Asia/Tokyo"]})
+        assert utc("2024-01-02 09:00:00") == "2024-01-02T00:00:00Z"
+    finally:
+        Zones.version, Zones.files = None, None
+        transitions.cache_clear()
 
 
 def test_edges(spark):
