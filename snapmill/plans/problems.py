@@ -45,8 +45,8 @@ def p2_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_layouts(spark: SparkSession, d: str) -> DataFrame:
-    surveyed = p2_lines(spark, d).select("line", F.col("closed_at").cast("timestamp_ntz").alias("closed_at")).mapInPandas(logentries.survey, logentries.SURVEYED)
-    return logentries.mined_layouts(surveyed).groupBy("layout").agg(F.count(F.lit(1)).alias("sequences"), F.max("level_at").alias("level_at"), F.max("component_at").alias("component_at"))
+    layouts = logentries.mined_layouts(logentries.read(p2_lines(spark, d)))
+    return layouts.groupBy("lead", "layout").agg(F.count(F.lit(1)).alias("sequences"), F.max("level_at").alias("level_at"), F.max("component_at").alias("component_at"))
 
 
 def p3_instants(spark: SparkSession, d: str) -> DataFrame:

@@ -78,3 +78,48 @@ def test_merge_of_templates():
     assert t == ["t", "L", "[", "w", "]", "w", "<*>", "w"]
     assert logentries.merge(t, "t L [ w ] n w".split())[:5] == a[:5]
     assert logentries.merge(a, ["x"] * 9) is None
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("01/02/2024 10:00:00 ERROR [app] disk is full", ("2024-01-02 10:00:00", "ERROR", "app")),
+        ("myapp 2024-01-01 10:00:00 INFO disk is full", ("2024-01-01 10:00:00", "INFO", "myapp")),
+        ("2024-01-01 10:00:00 INFO (worker.main) disk is full", ("2024-01-01 10:00:00", "INFO", "worker.main")),
+        ("2024-01-01 10:00:00 INFO worker.main - disk is full", ("2024-01-01 10:00:00", "INFO", "worker.main")),
+        ("2024-01-01 10:00:00 disk is full, WARN", ("2024-01-01 10:00:00", "-", "-")),
+        ("20240101T100000Z; db-sync; ERROR; disk is full", ("2024-01-01 10:00:00", "ERROR", "db-sync")),
+        ("01.02.2024 10:00:00 | ab | cd | ef | [1] | [2] | [3] | [4] | FATAL | disk is full", ("2024-01-02 10:00:00", "FATAL", "ab")),
+        ("[10.0.0.1] [17] [4] (02/Jan/2024:10:00:00 +0000) (x.y) SEVERE: disk is full", ("2024-01-02 10:00:00", "ERROR", "x.y")),
+    ],
+)
+def test_unlisted_layouts(spark, line, want):
+    """Layouts that no rule names."""
+    assert entries(spark, [line, "  and more", "> 2024-01-01 09:00:00 ERROR [q] quoted"]) == [(1, *want, "-")]
+
+
+def test_times_that_dont_run_on_begin_nothing(spark):
+    """The same lead begins entries where its times run on with the log, and none where they go back and forth or repeat the entry's."""
+    own = [f"2024-01-0{d} 10:00:00 INFO (x) step {d} is done" for d in range(1, 8)]
+    jumping = [y for d, x in enumerate(own) for y in (x, f"begun 20{10 + d * 3 % 7}-05-01 10:00:00 long ago")]
+    assert [e[0] for e in entries(spark, jumping)] == [1, 3, 5, 7, 9, 11, 13]
+    same = [y for x in own for y in (x, f"begun {x[:19]} (now)")]
+    assert [e[0] for e in entries(spark, same)] == [1, 3, 5, 7, 9, 11, 13]
+    own_program = [y for d, x in enumerate(own) for y in (x, f"begun 2024-01-0{d + 1} 10:30:00 (now)")]
+    assert len(entries(spark, own_program)) == 14
+
+
+def test_without_mining_there_are_no_entries(spark, monkeypatch):
+    lines = [f"2024-01-0{d} 10:00:00 INFO (x) step {d} is done" for d in range(1, 8)]
+    assert len(entries(spark, lines)) == 7
+    whole = logentries.mined_layouts
+    monkeypatch.setattr(logentries, "mined_layouts", lambda read: whole(read).limit(0))
+    assert entries(spark, lines) == []
+
+
+def test_templates_of_tasks_are_merged(spark):
+    lines = [f"2024-01-0{d} 10:00:0{k} INFO [w.x] " + ("step", "step 4 is", "(all) done", "17 steps")[(d + k) % 4] for d in range(1, 9) for k in range(8)]
+    df = spark.createDataFrame([("o", f"l{i % 7}", i + 1, x, None) for i, x in enumerate(lines)], TYPES)
+    layouts = logentries.mined_layouts(logentries.read(df, 4)).collect()
+    assert {r.layout for r in layouts} == {"t:iso L [ w ]"} and {(r.level_at, r.component_at) for r in layouts} == {(1, 3)}
+    assert {r.component for r in logentries.entries(df, 4).collect()} == {"w.x"}
