@@ -88,13 +88,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.select("db_id", F.col("instance_num").cast("bigint").alias("instance_num"), "span_kind", F.col("from_id").alias("from_snap_id"), F.col("to_id").alias("to_snap_id"), F.coalesce("ends_at", F.lit("-")).alias("ends_at"))
 
 
-def p6_series(spark: SparkSession, d: str) -> DataFrame:
+def p6_hours(spark: SparkSession, d: str) -> DataFrame:
     readings = regular.readings_at_ends(load(spark, d, "load_profile"), load(spark, d, "snap_info"))
-    return regular.hourly_series(readings, [*ENTITY, "stat_name"], "read_at", "per_second")
+    return regular.hourly_series(readings, [*ENTITY, "stat_name"], "read_at", "per_second", least=0.0)
+
+
+def p6_filled(spark: SparkSession, d: str) -> DataFrame:
+    return p6_hours(spark, d).where("status <> 'observed'")
+
+
+def p6_series(spark: SparkSession, d: str) -> DataFrame:
+    """The observed hours of the series; those between them are ``p6_filled``."""
+    seen = p6_hours(spark, d).where("status = 'observed'")
+    return seen.select(*ENTITY, "stat_name", F.to_utc_timestamp("hour_start", F.current_timezone()).cast("timestamp_ntz").alias("hour_start"), "n", F.round("value", 6).alias("value"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    missing = p6_series(spark, d).where(F.col("status").isin("filled", "marked"))
+    missing = p6_hours(spark, d).where(F.col("status").isin("filled", "marked"))
     return missing.select(*ENTITY, "stat_name", utc_text("hour_start").alias("hour_start"))
 
 
@@ -110,7 +120,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return p7_faulty(spark, d).groupBy("source_table", "field_name", "why").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_host_cpu, p1_wait_events, p1_report, p2_found, p2_messages, p2_layouts, p3_found, p3_forms, p4_found, p4_table, p4_failed_casts, p5_found, p6_found, p6_series, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_host_cpu, p1_wait_events, p1_report, p2_found, p2_messages, p2_layouts, p3_found, p3_forms, p4_found, p4_table, p4_failed_casts, p5_found, p6_found, p6_series, p6_filled, p7_found, p7_report)}
 
 _CELL = '("([^"]|"")*"|[^",]*)'
 _P1_CELLS = f"""
@@ -162,6 +172,10 @@ p AS (SELECT db_id, instance_num, k, min(b) AS b, max(e) AS e, coalesce(max(t),
 n AS (SELECT *, lead(b) OVER (PARTITION BY db_id, instance_num ORDER BY k) AS next_b FROM p)
 SELECT db_id, instance_num, 'period' AS span_kind, b AS from_snap_id, e AS to_snap_id, t AS ends_at FROM n
 UNION ALL SELECT db_id, instance_num, 'gap', e, next_b, t FROM n WHERE next_b IS NOT NULL""",
+    "p6_series": """
+WITH s AS (SELECT DISTINCT db_id, instance_num, begin_snap_id, end_snap_id, try_strptime(end_snap_time, '%Y-%m-%d %H:%M:%S') AS t FROM snap_info),
+r AS (SELECT DISTINCT l.db_id, l.instance_num, l.stat_name, l.begin_snap_id, l.end_snap_id, l.per_second, s.t FROM load_profile l JOIN s USING (db_id, instance_num, begin_snap_id, end_snap_id) WHERE per_second IS NOT NULL AND s.t IS NOT NULL)
+SELECT db_id, CAST(instance_num AS BIGINT) AS instance_num, stat_name, date_trunc('hour', t) AS hour_start, count(*) AS n, round(avg(per_second), 6) AS value FROM r GROUP BY ALL""",
     "p6_found": """
 WITH s AS (SELECT DISTINCT db_id, CAST(instance_num AS BIGINT) AS instance_num, begin_snap_id, end_snap_id, date_trunc('hour', try_strptime(end_snap_time, '%Y-%m-%d %H:%M:%S')) AS h FROM snap_info),
 r AS (SELECT DISTINCT l.db_id, s.instance_num, l.stat_name, s.h FROM load_profile l JOIN s ON l.db_id = s.db_id AND l.instance_num = s.instance_num AND l.begin_snap_id = s.begin_snap_id AND l.end_snap_id = s.end_snap_id WHERE l.per_second IS NOT NULL AND s.h IS NOT NULL),

@@ -1,10 +1,12 @@
 import math
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
-from conftest import rows
+from conftest import DATA, rows
 from pyspark.sql import functions as F
 
+from snapmill.common import load
 from snapmill.operators.regular import hourly_series, readings_at_ends
 
 START = datetime(2024, 1, 1)
@@ -49,6 +51,30 @@ def test_readings_need_their_report(spark):
     assert rows(readings_at_ends(profile, snaps).select("per_second", "read_at")) == [(5.0, datetime(2024, 1, 1, 0, 10))]
 
 
+def test_fill_beats_the_line_on_held_out_hours(spark):
+    """Every tenth hour of the readings held out: the estimate is nearer than a straight line, is no negative rate, and stays in range."""
+    d = f"{DATA}/sf0.1"
+    readings = readings_at_ends(load(spark, d, "load_profile"), load(spark, d, "snap_info"))
+    keys = ["db_id", "instance_num", "stat_name"]
+    hours = readings.groupBy(*keys, F.date_trunc("hour", "read_at").alias("t")).agg(F.avg("per_second").alias("v")).toPandas().sort_values([*keys, "t"])
+    place, size = hours.groupby(keys).cumcount(), hours.groupby(keys)["t"].transform("size")
+    held = (place % 10 == 5) & (place < size - 1) & (size >= 20)
+    schema = "db_id bigint, instance_num bigint, stat_name string, t timestamp, v double"
+    got = hourly_series(spark.createDataFrame(hours[~held], schema), keys, "t", "v", least=0.0).where("status <> 'observed'").toPandas()
+    assert (got["value"] >= 0).all()
+    known = hours[~held].assign(s=hours["t"].astype("int64"))
+    sides = [pd.merge_asof(hours[held].sort_values("t"), hours[~held].assign(at=hours["t"]).sort_values("t"), on="t", by=keys, direction=way, suffixes=("", "_near")).set_index([*keys, "t"]) for way in ("backward", "forward")]
+    share = (sides[0].index.get_level_values("t") - sides[0]["at"]) / (sides[1]["at"] - sides[0]["at"])
+    line = sides[0]["v_near"] * (1 - share) + sides[1]["v_near"] * share
+    truth = hours[held].set_index([*keys, "t"])["v"]
+    scale = known.groupby(keys)["v"].agg(lambda x: (x - x.median()).abs().median() or 1.0)
+    both = pd.DataFrame({"truth": truth, "line": line, "fill": got.set_index([*keys, "hour_start"])["value"].rename_axis([*keys, "t"])}).dropna().join(scale.rename("scale"), on=keys)
+    assert len(both) > 4000
+    error = {c: (both[c] - both["truth"]).abs() / both["scale"] for c in ("fill", "line")}
+    print({c: (round(e.median(), 3), round(e.mean(), 3)) for c, e in error.items()})
+    assert error["fill"].median() < 0.95 * error["line"].median() and error["fill"].mean() < 0.9 * error["line"].mean()
+
+
 @pytest.mark.parametrize("gap", [24 * 400])
 def test_long_gap(spark, gap):
     df = spark.createDataFrame([("a", START, 1.0), ("a", START + timedelta(hours=gap), 2.0)], TYPES)
