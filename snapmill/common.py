@@ -78,10 +78,10 @@ def _changes(batch: pa.RecordBatch, keys: Sequence[str], last: tuple | None) ->
     return out
 
 
-def _in_order(df: DataFrame, keys: Sequence[str], order: str, partitions: int | None) -> DataFrame:
+def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None) -> DataFrame:
     """``df`` in ranges of key and order with about as many rows each, whatever the values: a key with most rows, or with values far apart, is
     spread like any other."""
-    return df.repartitionByRange(*([partitions] if partitions else []), *keys, order).sortWithinPartitions(*keys, order)
+    return df.repartitionByRange(*([partitions] if partitions else []), *keys, *order).sortWithinPartitions(*keys, *order)
 
 
 def _marked(batches: Iterator[pa.RecordBatch], step: Callable[[pa.RecordBatch], list[pa.Array]], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +109,10 @@ def _bounds(held: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> lis
     return [(r["_task"], first[r["_task"]], tuple(r["k"]), tuple(r["c"])) for r in sorted(rows, key=lambda r: r["_task"]) if r["_pos"] & 2]
 
 
-def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], partitions: int | None = None) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], sums: dict[str, str], partitions: int | None = None) -> DataFrame:
     """Adds running totals per key in ``order``, without one task per key.
 
-    ``df`` holds one row per key and order value. Its rows go to ranges of key and order of like size; a task adds up its own range, and
+    ``df`` holds one row per key and order value (of one column or several). Its rows go to ranges of key and order of like size; a task adds up its own range, and
     what a key had in the ranges before, one number a task, is added then. ``sums`` maps a new column to the column whose total it holds,
     the row itself included, nulls as 0.
     """
@@ -147,7 +147,7 @@ def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str]
 
         yield from _marked(batches, step, schema.names)
 
-    held = cut(_in_order(df, keys, order, partitions).mapInArrow(run, schema))
+    held = cut(_in_order(df, keys, [order] if isinstance(order, str) else order, partitions).mapInArrow(run, schema))
     rows, key, carry = [], None, [0] * len(sums)
     for task, first, last, totals in _bounds(held, keys, [*sums]):
         offset = carry if first == key else [0] * len(sums)
@@ -159,7 +159,7 @@ def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str]
     return held.join(F.broadcast(offsets), "_task").select(*names, *((F.col(n) + F.when(F.col("_head"), F.col(f"_o_{n}")).otherwise(0)).cast(t).alias(n) for n, t in kinds.items()))
 
 
-def carried(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, partitions: int | None = None) -> DataFrame:
+def carried(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
     """Adds ``out``: the last non-null ``value`` of the key before the row in ``order``, range by range as in ``running``.
 
     ``df`` holds one row per key and order value.
@@ -196,7 +196,7 @@ def carried(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str
 
         yield from _marked(batches, step, schema.names)
 
-    held = cut(_in_order(df, keys, order, partitions).mapInArrow(run, schema))
+    held = cut(_in_order(df, keys, [order] if isinstance(order, str) else order, partitions).mapInArrow(run, schema))
     rows, key, carry = [], None, None
     for task, first, last, (own, before) in _bounds(held, keys, [value, "_before"]):
         offset = carry if first == key else None

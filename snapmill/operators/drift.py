@@ -1,19 +1,24 @@
 """Schemas that drift between JSON files: one consistent table, and every change of shape.
 
-Each record becomes a map from field path to a raw value with its JSON kind (Spark's VARIANT). Kinds, counts and content of a
-path are aggregated by file; a file is compared with the previous one of its collector that has the section. A typed projection
+Each record becomes a map from field path to a raw value with its JSON kind. Kinds, counts and content of a path are aggregated by file,
+inside the file's row; a file is compared with the previous one of its collector that has the section. A typed projection
 then reads all files under the declared names and reports the casts that failed.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapmill.common import carried, cut, running
+from snapmill.common import carried, cut, join_same
 
-#: Sections: the path of their objects below the root; ``[]`` goes through a list.
-SECTIONS = {"db_instance_information": "db_instance_information", "awrs.snap_info": "awrs[].snap_info", "awrs.host_cpu": "awrs[].host_cpu", "awrs.foreground_wait_events": "awrs[].foreground_wait_events[]"}
 #: Declared fields and types of the consistent tables.
 DECLARED = {
     "db_instance_information": {"db_id": "bigint", "instance_num": "smallint", "startup_time": "string", "release": "string", "rac": "string", "platform": "string", "cpus": "int", "cores": "int", "sockets": "smallint", "memory": "int"},
@@ -25,38 +30,72 @@ DECLARED = {
 NAMES_ALIKE, NAMES_ALIKE_SAME = 0.4, 0.25
 
 
-def kind(value: Column) -> Column:
-    """Kind of a JSON value, null for a JSON null."""
-    s = F.schema_of_variant(value)
-    return F.when(s == "VOID", None).when(s.startswith("ARRAY"), "list").when(s.startswith("OBJECT"), "object").when(s == "BOOLEAN", "truth").when(s == "STRING", "text").otherwise("number")
+#: What holds sections beside fields of its own: the whole document, and what declared sections lie in. Any object or list of objects in it is
+#: a section, declared or not.
+ROOT = "$"
+CONTAINERS = {ROOT} | {s.rsplit(".", 1)[0] for s in DECLARED if "." in s}
+#: Longer values of a field are told apart by their hash.
+LONG = 64
 
 
-def _objects(at: str, steps: list[str], section: str, places: tuple[str, ...]) -> str:
-    """SQL of the array of a section's objects below a VARIANT, each with its place in the lists; lambda variables hold what is
-    used more than once, so that nothing is read twice."""
-    n = len(steps)  # differs at every level: an inner variable of one name would hide the outer one
-    if not steps:
-        record = f"array({', '.join(places)})" if places else "cast(array() as array<int>)"
-        return f"transform(filter(array(try_variant_get({at}, '$', 'map<string,variant>')), m -> m is not null), m -> struct('{section}' as section, {record} as record, m as fields))"
-    name, rest = steps[0].removesuffix("[]"), steps[1:]
-    if steps[0].endswith("[]"):
-        inner = _objects(f"v{n}", rest, section, (*places, f"i{n}"))
-        return f"flatten(flatten(transform(filter(array(try_variant_get({at}, '$.{name}', 'array<variant>')), l -> l is not null), l -> transform(l, (v{n}, i{n}) -> {inner}))))"
-    inner = _objects(f"o{n}", rest, section, places)
-    return f"flatten(transform(filter(array(try_variant_get({at}, '$.{name}', 'variant')), o -> o is not null), o{n} -> {inner}))"
+def kind(value: object) -> str | None:
+    """Kind of a JSON value, None for a JSON null."""
+    if value is None:
+        return None
+    return "truth" if isinstance(value, bool) else "text" if isinstance(value, str) else "number" if isinstance(value, int | float) else "list" if isinstance(value, list) else "object"
 
 
-def values(files: DataFrame, payload: str = "payload") -> DataFrame:
-    """``files`` as one row per record and field: its columns but the payload, ``section, record, field, value, kind``.
+def plain(text: str) -> str:
+    """``text`` without halves of surrogate pairs, which no table holds."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
-    An object without fields gives one row with a null field. A payload that is null or no JSON gives no rows. Nor does a section
-    that is null, missing or an empty list, or an item of a list that is no object. A payload is parsed once.
-    """
-    sections = ", ".join(_objects("d", path.split("."), section, ()) for section, path in SECTIONS.items())
-    objects = F.expr(f"flatten(transform(filter(array(try_parse_json({payload})), d -> d is not null), d -> concat({sections})))")
-    kept = [c for c in files.columns if c != payload]
-    rows = files.select(*kept, F.explode(objects).alias("_x")).select(*kept, "_x.section", "_x.record", F.explode_outer("_x.fields").alias("field", "value"))
-    return rows.withColumn("kind", F.when(F.col("field").isNotNull(), kind(F.col("value"))))
+
+def dumped(value: object) -> str | None:
+    return None if value is None else plain(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
+
+
+def no_number(name: str) -> None:
+    raise ValueError(name)
+
+
+def parsed(payload: str | None) -> tuple[dict | None, str | None]:
+    """The object of a payload, or why there is none."""
+    if payload is None:
+        return None, "missing"
+    try:
+        doc = json.loads(payload, parse_constant=no_number)
+    except (ValueError, RecursionError):
+        return None, "no JSON"
+    return (doc, None) if isinstance(doc, dict) else (None, "no object")
+
+
+def objects(value: object, place: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], dict]]:
+    """The objects of a value and its lists, with their places in these."""
+    if isinstance(value, dict):
+        yield place, value
+    elif isinstance(value, list):
+        for i, item in enumerate(value):
+            yield from objects(item, (*place, i))
+
+
+def sections(value: object, name: str = ROOT, place: tuple[int, ...] = ()) -> Iterator[tuple[str, tuple[int, ...], dict]]:
+    """Every record of a document: its section, its place in the lists on the way, its fields. Those of a container include its sections."""
+    for at, record in objects(value, place):
+        yield name, at, record
+        if name in CONTAINERS:
+            for key, inner in record.items():
+                yield from sections(inner, key if name == ROOT else f"{name}.{key}", at)
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """Files that hold no JSON object: ``file_id, reason`` (missing, no JSON or no object)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            reason = [parsed(p)[1] for p in f["payload"]]
+            yield pd.DataFrame({"file_id": f["file_id"], "reason": reason})[[r is not None for r in reason]]
+
+    return files.select("file_id", "payload").mapInPandas(run, "file_id bigint, reason string")
 
 
 def tokens(name: Column) -> Column:
@@ -76,52 +115,94 @@ def alike(a: Column, b: Column) -> Column:
     return F.greatest(jaccard(tokens(a), tokens(b)), jaccard(trigrams(a), trigrams(b)))
 
 
+SHAPE = pa.list_(pa.struct([("field", pa.string()), ("kind", pa.string()), ("kinds", pa.map_(pa.string(), pa.int64())), ("only", pa.string())]))
+SHAPES = "file_id bigint, collector string, file_seq bigint, section string, fields array<struct<field:string,kind:string,kinds:map<string,bigint>,only:string>>"
+
+
+def batch_of(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def shape(records: list[dict]) -> list[dict]:
+    """Path-type statistics of a section's records: per field its most frequent kind, how many values are of each, and its value if all that
+    aren't null are the same."""
+    seen: dict[str, list] = {}
+    for record in records:
+        for field, value in record.items():
+            here = seen.get(field)
+            if here is None:
+                here = seen[field] = [Counter(), None, True]
+            if value is not None:
+                if not here[0]:
+                    here[1] = value
+                elif here[2] and (type(value) is not type(here[1]) or value != here[1]):
+                    here[2] = False
+                here[0][kind(value)] += 1
+    out = []
+    for field, (kinds, value, same) in sorted(seen.items()):
+        only = dumped(value) if same else None
+        if only is not None and len(only) > LONG:
+            only = hashlib.blake2b(only.encode(), digest_size=24).hexdigest()
+        out.append({"field": plain(field), "kind": max(kinds, key=lambda k: (kinds[k], k)) if kinds else None, "kinds": [*kinds.items()], "only": only})
+    return out
+
+
 def shapes(files: DataFrame) -> DataFrame:
-    """Path-type statistics by file: ``file_id, collector, file_seq, section, fields`` (an array of ``field, kind, low, high``,
-    low and high the least and greatest value as text)."""
-    long = values(files.select("file_id", "collector", "file_seq", "payload"))
-    text = F.when(F.col("kind").isNotNull(), F.to_json("value"))
-    by_field = long.groupBy("file_id", "collector", "file_seq", "section", "field").agg(F.max("kind").alias("kind"), F.min(text).alias("low"), F.max(text).alias("high"))
-    held = F.when(F.col("field").isNotNull(), F.struct("field", "kind", "low", "high"))
-    return by_field.groupBy("file_id", "collector", "file_seq", "section").agg(F.array_sort(F.collect_list(held)).alias("fields"))
+    """Path-type statistics by file and section: ``SHAPES``. A payload is parsed once and aggregated where it is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            rows = []
+            for file_id, collector, seq, payload in zip(*(f[c].to_pylist() for c in ("file_id", "collector", "file_seq", "payload")), strict=True):
+                by: dict[str, list[dict]] = {}
+                for section, _, record in sections(parsed(payload)[0]):
+                    by.setdefault(section, []).append(record)
+                rows += [(file_id, collector, seq, plain(section), shape(records)) for section, records in by.items()]
+            yield batch_of(rows, [pa.int64(), pa.string(), pa.int64(), pa.string(), SHAPE], ["file_id", "collector", "file_seq", "section", "fields"])
+
+    return files.select(F.col("file_id").cast("bigint").alias("file_id"), F.col("collector").cast("string").alias("collector"), "file_seq", "payload").mapInArrow(run, SHAPES)
+
+
+def kinds_of(files: DataFrame) -> DataFrame:
+    """How many values of each field are of each kind, by file: ``file_id, section, field, kind, n``."""
+    long = shapes(_sequenced(files)).select("file_id", "section", F.explode("fields").alias("x")).select("file_id", "section", "x.field", F.explode("x.kinds").alias("kind", "n"))
+    return long.groupBy("file_id", "section", "field", "kind").agg(F.sum("n").alias("n"))
+
+
+def _sequenced(files: DataFrame) -> DataFrame:
+    return files.select("file_id", "collector", F.coalesce(F.col("file_seq").cast("bigint"), F.lit(-1)).alias("file_seq"), "payload")
 
 
 def compared(files: DataFrame, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Shapes of each file with those of the previous file of its collector that has the section, as one row per field of
-    either, and the distinct sets of fields that files have.
+    """Shapes of each file (``new``) with those of the previous file of its collector that has the section (``old``), and the distinct sets of
+    fields that files have.
 
-    Files are ranked within collector and section over ranges of like size, then joined with rank - 1; a collector with a third
-    of all files is spread like any other.
+    Files come in ranges of collector, section and sequence of like size; a collector with a third of all files is spread like any other.
     """
-    by_file = cut(shapes(files))  # far smaller than the payloads, and read several times below
-    at = ["collector", "section"]
-    # files with the same place in the sequence follow each other by file_id
-    steps = by_file.withColumn("_same", F.row_number().over(Window.partitionBy(*at, "file_seq").orderBy("file_id")))
-    seats = steps.groupBy(*at, "file_seq").agg(F.max("_same").alias("_n"))
-    ranks = running(seats, at, "file_seq", {"_to": "_n"}, partitions)
-    s, r = steps.alias("s"), ranks.alias("r")
-    on = F.col("s.collector").eqNullSafe(F.col("r.collector")) & (F.col("s.section") == F.col("r.section")) & F.col("s.file_seq").eqNullSafe(F.col("r.file_seq"))
-    ranked = s.join(r, on).select("s.collector", "s.section", "s.file_id", "s.fields", (F.col("_to") - F.col("_n") + F.col("_same")).alias("rank"))
-    # each file goes to its own seat as the new shape and to the next as the old one
-    both = ranked.select(*at, F.explode(F.array(F.struct(F.col("rank").alias("rank"), F.col("file_id").alias("file_id"), F.col("fields").alias("new"), F.lit(None).cast(ranked.schema["fields"].dataType).alias("old")), F.struct((F.col("rank") + 1).alias("rank"), F.lit(None).cast("bigint").alias("file_id"), F.lit(None).cast(ranked.schema["fields"].dataType).alias("new"), F.col("fields").alias("old")))).alias("x")).select(*at, "x.*")
-    pairs = both.groupBy(*at, "rank").agg(F.max("file_id").alias("file_id"), F.first("new", True).alias("new"), F.first("old", True).alias("old")).where("file_id is not null")
-    names = ranked.select("section", F.col("fields.field").alias("names")).distinct()
-    return cut(pairs), names
+    fields = "transform(fields, x -> named_struct('field', x.field, 'kind', x.kind, 'only', x.only))"
+    rows = shapes(files).select("collector", "section", "file_seq", "file_id", F.expr(fields).alias("new")).withColumn("version", F.xxhash64("new")).dropDuplicates(["collector", "section", "file_seq", "file_id", "version"])
+    # files of one place in the sequence follow each other by file_id, different rows of one file by a hash
+    pairs = cut(carried(rows, ["collector", "section"], ["file_seq", "file_id", "version"], "new", "old", partitions))
+    return pairs, pairs.select("section", F.col("new.field").alias("names")).distinct()
 
 
 def changes(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """Every change of shape: ``file_id, section, field, change_kind, new_field``.
 
+    Sections are the declared ones, any others, and the containers they lie in (``$`` is the whole document): a section that comes or goes is
+    a change of its container.
+
     ``change_kind`` is ``added``, ``removed``, ``renamed`` (``field`` is the old name, ``new_field`` the new one) or ``retyped``. A
     field went under another name where one is gone and one is new, both hold values of one kind, no file anywhere has both, and
     their names are alike or they hold the same single value, a longer text or under names somewhat alike; or, if values are missing to tell, where other files
     show that pair renamed. Best pairs win. A JSON null keeps a field in the shape but says nothing about its kind: a kind is
     compared with the last known one. ``files`` needs ``file_id, collector, file_seq, payload``; further columns are ignored. Files
-    that are no JSON are passed over, as are sections with empty lists. A null collector is a collector; a null ``file_seq``
+    that are no JSON object are passed over (``unreadable`` tells them), as are sections with empty lists. Where values of a field in one file are
+    of several kinds, the most frequent counts. A null collector is a collector; a null ``file_seq``
     comes first. Equal ``file_seq`` of one collector follow each other by ``file_id``. An empty table gives an empty result.
     """
-    files = files.select("file_id", "collector", F.coalesce(F.col("file_seq").cast("bigint"), F.lit(-1)).alias("file_seq"), "payload")
-    pairs, names = compared(files, partitions)
+    pairs, names = compared(_sequenced(files), partitions)
     name = lambda c: F.col(f"{c}.field")
     fresh = F.filter("new", lambda x: ~F.array_contains(name("old"), x["field"]))
     gone = F.filter("old", lambda x: ~F.array_contains(name("new"), x["field"]))
@@ -130,8 +211,8 @@ def changes(files: DataFrame, partitions: int | None = None) -> DataFrame:
     together = names.select("section", F.explode("names").alias("a"), "names").select("section", "a", F.explode("names").alias("b")).where("a <> b").distinct()
     p, t = possible.alias("p"), together.alias("t")
     apart = p.join(t, (F.col("p.section") == F.col("t.section")) & (F.col("p.f.field") == F.col("t.a")) & (F.col("p.g.field") == F.col("t.b")), "left_anti")
-    one = (F.col("f.low") == F.col("f.high")) & (F.col("g.low") == F.col("g.high")) & (F.col("f.low") == F.col("g.low"))
-    text = (F.col("f.kind") == "text") & (F.length("f.low") > 5)
+    one = F.col("f.only") == F.col("g.only")
+    text = (F.col("f.kind") == "text") & (F.length("f.only") > 5)
     like = alike(F.col("f.field"), F.col("g.field"))
     open_ = F.col("f.kind").isNull() | F.col("g.kind").isNull()
     scored = apart.where(open_ | (F.col("f.kind") == F.col("g.kind"))).withColumn("like", like).withColumn("one", F.coalesce(one, F.lit(False)))
@@ -144,9 +225,14 @@ def changes(files: DataFrame, partitions: int | None = None) -> DataFrame:
     plain = moved.select("file_id", "section", F.explode(F.concat(F.transform("fresh", lambda x: F.struct(x["field"].alias("field"), F.lit("added").alias("change_kind"))), F.transform("gone", lambda x: F.struct(x["field"].alias("field"), F.lit("removed").alias("change_kind"))))).alias("x")).select("file_id", "section", "x.*")
     used = renamed.select("file_id", "section", F.explode(F.array(F.struct(F.col("field"), F.lit("removed").alias("change_kind")), F.struct(F.col("new_field").alias("field"), F.lit("added").alias("change_kind")))).alias("x")).select("file_id", "section", "x.*")
     rest = plain.join(used, ["file_id", "section", "field", "change_kind"], "left_anti").withColumn("new_field", F.lit(None).cast("string"))
-    long = pairs.select("collector", "section", "rank", "file_id", F.explode("new").alias("x"), "old").select("collector", "section", "rank", "file_id", "x.field", "x.kind", F.coalesce(F.array_contains("old.field", F.col("x.field")), F.lit(False)).alias("kept"))
-    before = carried(long, ["collector", "section", "field"], "rank", "kind", "was", partitions)
-    retyped = before.where("kept and kind <> was").select("file_id", "section", "field", F.lit("retyped").alias("change_kind"), F.lit(None).cast("string").alias("new_field"))
+    # a kind against that of the file before; where that is unknown, against the last known one
+    long = pairs.select("collector", "section", "file_seq", "file_id", "version", F.explode("new").alias("x"), F.map_from_entries(F.transform("old", lambda x: F.struct(x["field"], x["kind"]))).alias("old"))
+    long = long.select("collector", "section", "file_seq", "file_id", "version", "x.field", "x.kind", F.coalesce(F.map_contains_key("old", F.col("x.field")), F.lit(False)).alias("kept"), F.col("old")[F.col("x.field")].alias("last"))
+    open_ = long.where("kept and kind is not null and last is null").select("collector", "section", "field").distinct()
+    some = join_same(long.where("kind is not null"), open_.withColumn("o", F.lit(1)), ["collector", "section", "field"]).drop("o")
+    before = carried(some, ["collector", "section", "field"], ["file_seq", "file_id", "version"], "kind", "was", partitions)
+    changed_kind = long.where("kept and kind <> last").unionByName(before.where("kept and last is null and kind <> was").drop("was"))
+    retyped = changed_kind.select("file_id", "section", "field", F.lit("retyped").alias("change_kind"), F.lit(None).cast("string").alias("new_field"))
     return renamed.unionByName(rest).unionByName(retyped)
 
 
@@ -172,18 +258,41 @@ def other_names(changed: DataFrame) -> DataFrame:
     return changed.sparkSession.createDataFrame([(*at, declared) for at, declared in found.items()], "section string, field string, declared string")
 
 
-def records(files: DataFrame, renamed: DataFrame, sections: tuple[str, ...] = tuple(SECTIONS)) -> DataFrame:
-    """Every record of the sections: ``file_id, section, record``, ``declared`` (declared name to value) and ``others`` (name to value of all
-    other fields). Values are JSON texts, null for a JSON null. Where a record has several fields of one declared name, a value
-    goes before a null and the declared name before another one; the rest are ``others``, under their own names."""
-    at = ["file_id", "section", "record"]
-    long = values(files.select("file_id", "payload")).where(F.col("section").isin(*sections)).withColumn("value", F.when(F.col("kind").isNotNull(), F.to_json("value")))
-    cells = long.repartition(*at).groupBy(*at, "field").agg(F.max("value").alias("value")).join(renamed, ["section", "field"], "left")
-    cell = F.struct("declared", F.col("value").isNull().alias("none"), (F.col("field") != F.col("declared")).alias("other"), "field", "value")
-    held = cells.groupBy(*at).agg(F.sort_array(F.collect_list(cell)).alias("c"))
-    first = lambda x, i: x["declared"].isNotNull() & ~F.get("c", i - 1)["declared"].eqNullSafe(x["declared"])
-    entries = lambda found, name: F.map_from_entries(F.transform(found, lambda x: F.struct(x[name], x["value"])))
-    return held.select(*at, entries(F.filter("c", first), "declared").alias("declared"), entries(F.filter("c", lambda x, i: x["field"].isNotNull() & ~first(x, i)), "field").alias("others"))
+def records(files: DataFrame, renamed: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Every record of all sections, or of those named: ``file_id, section, record``, ``declared`` (declared name to value) and ``others`` (name
+    to value of all other fields). Values are JSON texts, null for a JSON null. Where a record has several fields of one declared name, a value
+    goes before a null and the declared name before another one; the rest are ``others``, under their own names. A container's record has the
+    fields that are no sections, and is left out if it has none."""
+    of: dict[str, dict[str, str]] = {}
+    for section, field, declared in renamed.select("section", "field", "declared").collect():  # distinct names
+        of.setdefault(section, {})[field] = declared
+
+    def split(section: str, record: dict) -> tuple[list, list]:
+        known = of.get(section, {})
+        texts = [(plain(field), dumped(value)) for field, value in record.items()]
+        best: dict[str, tuple] = {}
+        for field, text in texts:
+            if (name := known.get(field)) is not None:
+                best[name] = min(best.get(name, (True, True, field, text)), (text is None, field != name, field, text), key=lambda x: x[:3])
+        used = {x[2] for x in best.values()}
+        return [(name, x[3]) for name, x in best.items()], [(field, text) for field, text in texts if field not in used]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = pa.map_(pa.string(), pa.string())
+        for f in batches:
+            rows = []
+            for file_id, payload in zip(f["file_id"].to_pylist(), f["payload"].to_pylist(), strict=True):
+                for section, place, record in sections(parsed(payload)[0]):
+                    if only is not None and section not in only:
+                        continue
+                    if section in CONTAINERS:
+                        record = {k: v for k, v in record.items() if next(objects(v, ()), None) is None}
+                        if not record:
+                            continue
+                    rows.append((file_id, plain(section), list(place), *split(section, record)))
+            yield batch_of(rows, [pa.int64(), pa.string(), pa.list_(pa.int32()), texts, texts], ["file_id", "section", "record", "declared", "others"])
+
+    return files.select(F.col("file_id").cast("bigint").alias("file_id"), "payload").mapInArrow(run, "file_id bigint, section string, record array<int>, declared map<string,string>, others map<string,string>")
 
 
 def _read(name: str, sql: str) -> tuple[Column, Column]:
@@ -206,7 +315,7 @@ def consistent(files: DataFrame, section: str, renamed: DataFrame) -> DataFrame:
 
 
 def table(files: DataFrame, renamed: DataFrame) -> DataFrame:
-    """All records of all sections as one table: ``file_id, section, record``, the declared fields of every section, ``others`` and ``failed`` as in
+    """All records of all sections, declared or not, as one table: ``file_id, section, record``, the declared fields of every section, ``others`` and ``failed`` as in
     ``consistent``. A field that several sections declare has the widest of their types; those that a section doesn't declare are
     null in its rows."""
     widths = ["smallint", "int", "bigint"]

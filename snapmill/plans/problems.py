@@ -67,7 +67,16 @@ def p4_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_changes(spark, d).select("file_id", F.concat_ws(".", "section", "field").alias("field_path"), "change_kind")
+    declared = p4_changes(spark, d).where(F.col("section").isin(*drift.DECLARED))
+    return declared.select("file_id", F.concat_ws(".", "section", "field").alias("field_path"), "change_kind")
+
+
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return drift.kinds_of(load(spark, d, "report_files"))
+
+
+def p4_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    return drift.unreadable(load(spark, d, "report_files"))
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
@@ -75,12 +84,7 @@ def p4_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_failed_casts(spark: SparkSession, d: str) -> DataFrame:
-    files, names = load(spark, d, "report_files"), drift.other_names(p4_changes(spark, d))
-    parts = [drift.consistent(files, s, names).select("file_id", F.lit(s).alias("section"), F.explode("failed").alias("failed")) for s in drift.DECLARED]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return p4_table(spark, d).select("file_id", "section", F.explode("failed").alias("failed"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +124,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return p7_faulty(spark, d).groupBy("source_table", "field_name", "why").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_host_cpu, p1_wait_events, p1_report, p2_found, p2_messages, p2_layouts, p3_found, p3_forms, p4_found, p4_table, p4_failed_casts, p5_found, p6_found, p6_series, p6_filled, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_host_cpu, p1_wait_events, p1_report, p2_found, p2_messages, p2_layouts, p3_found, p3_forms, p4_found, p4_kinds, p4_unreadable, p4_table, p4_failed_casts, p5_found, p6_found, p6_series, p6_filled, p7_found, p7_report)}
 
 _CELL = '("([^"]|"")*"|[^",]*)'
 _P1_CELLS = f"""
@@ -162,6 +166,17 @@ FROM judged WHERE reason IS NULL AND section_name = 'host_cpu'""",
 SELECT row_id, file_name, CAST(c[1] AS BIGINT) AS db_id, CAST(c[2] AS BIGINT) AS begin_snap_id, c[3] AS event, CAST(replace(c[4], ',', '') AS BIGINT) AS waits, CAST(c[5] AS DOUBLE) AS total_wait_time_s, CAST(c[6] AS DOUBLE) AS avg_wait, CAST(c[7] AS DOUBLE) AS pct_dbtime
 FROM judged WHERE reason IS NULL AND section_name = 'wait_events'""",
     "p1_report": _P1_CELLS + "SELECT file_name, section_name, coalesce(reason, 'ok') AS reason, count(*) AS n FROM judged GROUP BY ALL",
+    "p4_unreadable": "SELECT file_id, CASE WHEN payload IS NULL THEN 'missing' WHEN NOT json_valid(payload) THEN 'no JSON' ELSE 'no object' END AS reason FROM report_files WHERE payload IS NULL OR NOT json_valid(payload) OR json_type(payload) <> 'OBJECT'",
+    "p4_kinds": """
+WITH doc AS (SELECT file_id, CAST(payload AS JSON) AS p FROM report_files WHERE json_valid(payload)),
+item AS (SELECT file_id, unnest(CAST(p->'$.awrs' AS JSON[])) AS a FROM doc WHERE json_type(p->'$.awrs') = 'ARRAY'),
+record AS (
+  SELECT file_id, '$' AS section, p AS r FROM doc UNION ALL SELECT file_id, 'awrs', a FROM item
+  UNION ALL SELECT file_id, 'db_instance_information', p->'$.db_instance_information' FROM doc UNION ALL SELECT file_id, 'awrs.snap_info', a->'$.snap_info' FROM item UNION ALL SELECT file_id, 'awrs.host_cpu', a->'$.host_cpu' FROM item
+  UNION ALL SELECT file_id, 'awrs.foreground_wait_events', unnest(CAST(a->'$.foreground_wait_events' AS JSON[])) FROM item WHERE json_type(a->'$.foreground_wait_events') = 'ARRAY'),
+field AS (SELECT file_id, section, r, unnest(json_keys(r)) AS field FROM record WHERE json_type(r) = 'OBJECT'),
+kind AS (SELECT file_id, section, field, CASE json_type(r, '$."' || field || '"') WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'truth' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM field)
+SELECT file_id, section, field, kind, count(*) AS n FROM kind WHERE kind IS NOT NULL GROUP BY ALL""",
     "p5_found": """
 WITH r AS (
   SELECT db_id, CAST(instance_num AS BIGINT) AS instance_num, begin_snap_id AS b, end_snap_id AS e, max(end_snap_time) AS t

@@ -76,7 +76,7 @@ def brute(files):
 def test_same_as_brute_force(spark):
     files = load(spark, f"{DATA}/sf0.01", "report_files")
     got = set()
-    for r in drift.changes(files).collect():
+    for r in drift.changes(files).where(F.col("section").isin(*drift.DECLARED)).collect():
         got |= {(r.file_id, r.section, r.field, "removed"), (r.file_id, r.section, r.new_field, "added")} if r.change_kind == "renamed" else {(r.file_id, r.section, r.field, r.change_kind)}
     assert got == brute(files.collect())
 
@@ -124,7 +124,8 @@ def test_table_loses_no_value(spark):
         for section, objects in of.items():
             objects = [o for o in objects if o is not None]
             want[section] = (want[section][0] + len(objects), want[section][1] + sum(v is not None for o in objects for v in o.values()))
-    assert {r.section: (r.n, r.held) for r in n} == want
+    assert {r.section: (r.n, r.held) for r in n if r.section in want} == want
+    assert {r.section for r in n} - set(want) == {"awrs"}
 
 
 def test_names_through_many_renamings(spark):
@@ -133,3 +134,44 @@ def test_names_through_many_renamings(spark):
     names = {(r.section, r.field): r.declared for r in drift.other_names(changed).collect()}
     assert {names["awrs.host_cpu", n] for n in chain} == {"cpus"}
     assert names["db_instance_information", "cpus"] == "cpus" and len(names) == sum(map(len, drift.DECLARED.values())) + 5
+
+
+def test_sections_that_nobody_declared(spark):
+    """A new section is a change of what it lies in, its own changes are told, and the table holds its records."""
+    docs = [{"db_instance_information": {"a": 1}, "awrs": [{"file_name": "f", "host_cpu": {"cpus": 1}}]} for _ in range(4)]
+    docs[2]["awrs"][0]["sga_stats"] = [{"pool": "x", "mb": 1}]
+    docs[3]["awrs"][0]["sga_stats"] = [{"pool": "x", "mb": "1"}, {"pool": "y", "mb": "2", "free": True}]
+    docs[3]["note"] = "q"
+    texts = [json.dumps(d) for d in docs]
+    assert changed(spark, texts) == [(3, "awrs", "sga_stats", "added", None), (4, "$", "note", "added", None), (4, "sga_stats", "free", "added", None), (4, "sga_stats", "mb", "retyped", None)]
+    files = spark.createDataFrame([(i + 1, "c", i + 1, x) for i, x in enumerate(texts)], TYPES)
+    got = drift.table(files, drift.other_names(drift.changes(files))).where("section in ('$', 'awrs', 'awrs.sga_stats')")
+    told = sorted((r.file_id, r.section, r.record, sorted(r.others.items())) for r in got.collect())
+    assert told[-3:] == [(4, "awrs", [0], [("file_name", '"f"')]), (4, "awrs.sga_stats", [0, 0], [("mb", '"1"'), ("pool", '"x"')]), (4, "awrs.sga_stats", [0, 1], [("free", "true"), ("mb", '"2"'), ("pool", '"y"')])]
+    assert (4, "$", [], [("note", '"q"')]) in told and len(told) == 8
+
+
+def test_mixed_kinds_are_counted(spark):
+    files = spark.createDataFrame([(1, "c", 1, doc(hosts=[{"a": 4}, {"a": "x"}, {"a": 5}, {"a": None}])), (2, "c", 2, doc(hosts=[{"a": "4"}, {"a": "x"}, {"a": 5}]))], TYPES)
+    got = {(r.file_id, r.field, r.kind): r.n for r in drift.kinds_of(files).where("section = 'awrs.host_cpu'").collect()}
+    assert got == {(1, "a", "number"): 2, (1, "a", "text"): 1, (2, "a", "number"): 1, (2, "a", "text"): 2}
+    assert [(r.file_id, r.field, r.change_kind) for r in drift.changes(files).collect()] == [(2, "a", "retyped")]
+
+
+def test_unreadable_files_are_told(spark):
+    files = spark.createDataFrame([(1, "c", 1, doc({"a": 1})), (2, "c", 2, '{"a": '), (3, "c", 3, None), (4, "c", 4, "[1]"), (5, "c", 5, '{"a": NaN}'), (6, "c", 6, "[" * 100_000)], TYPES)
+    assert rows(drift.unreadable(files)) == [(2, "no JSON"), (3, "missing"), (4, "no object"), (5, "no JSON"), (6, "no JSON")]
+
+
+def test_five_renamings_reach_the_declared_name(spark):
+    names = ["cpus", "num_cpus", "num_cpus_all", "cpus_all", "total_cpus_all", "total_cpus"]
+    files = spark.createDataFrame([(i + 1, "c", i + 1, doc(hosts=[{n: i + 1, "pct_idle": 1.0}])) for i, n in enumerate(names)], TYPES)
+    changes = drift.changes(files)
+    assert [(r.field, r.new_field) for r in changes.orderBy("file_id").collect()] == [*zip(names, names[1:], strict=False)]
+    assert [r.cpus for r in drift.consistent(files, "awrs.host_cpu", drift.other_names(changes)).orderBy("file_id").collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_odd_texts(spark):
+    files = spark.createDataFrame([(1, "c", 1, '{"awrs": [{"host_cpu": {"a": "\\ud800", "\\ud801k": "\u00e4", "big": ' + "9" * 400 + "}}]}"), (2, "c", 2, doc(hosts=[{"a": "x"}]))], TYPES)
+    assert {(r.field, r.change_kind) for r in drift.changes(files).collect()} == {("?k", "removed"), ("big", "removed")}
+    assert drift.table(files, drift.other_names(drift.changes(files))).where("size(others) > 0").count() == 2
