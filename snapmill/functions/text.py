@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from snapmill.dims import ORA_TEXT
 
 # Words that no table is called, and schemas whose tables don't count.
-NO_TABLE = tuple("DUAL SYS SYSTEM SELECT VALUES SET WHERE AND OR ON USING TABLE INDEX VIEW BEGIN END DECLARE EXCEPTION LOOP IF THEN ELSE ELSIF RETURN NULL NOT IN EXISTS PARTITION SUBPARTITION LATERAL XMLTABLE JSON_TABLE SKIP LOCKED NOWAIT WAIT FOR".split())
+NO_TABLE = (
+    "DUAL", "SYS", "SYSTEM", "SELECT", "VALUES", "SET", "WHERE", "AND", "OR", "ON", "USING", "TABLE", "INDEX", "VIEW", "BEGIN", "END",
+    "DECLARE", "EXCEPTION", "LOOP", "IF", "THEN", "ELSE", "ELSIF", "RETURN", "NULL", "NOT", "IN", "EXISTS", "PARTITION", "SUBPARTITION",
+    "LATERAL", "XMLTABLE", "JSON_TABLE", "SKIP", "LOCKED", "NOWAIT", "WAIT", "FOR",
+)
 NO_SCHEMA = ("SYS.", "SYSTEM.")
 # Special alert-log events by pattern, first match first.
 SPECIAL = (
@@ -29,6 +33,8 @@ TOO_MANY = r"(?i)\bWARNING:\s*too many parse errors,\s*count=(\d+)\b"
 PARSE_ERROR = r"(?i)\bPARSE\s+ERROR:\s*ospid=\d+,\s*error=(\d+)\b"
 ORA_CODE, TNS_CODE = r"(?i)\b(ORA-\d{4,5})\b", r"(?i)\b(TNS-\d{5})\b"
 TABLE_NAME = r"\b(?:FROM|JOIN|UPDATE|INTO|MERGE\s+INTO|DELETE(?:\s+FROM)?)\s+([A-Z_$#][A-Z0-9_$#]*(?:\.[A-Z_$#][A-Z0-9_$#]*)*)"
+# What of a statement is no table name: line comments, comments, texts.
+NO_NAMES = (r"--[^\n]*", r"/\*[\s\S]*?\*/", "'[^']*'")
 # Units of sizes in MB, of counts, of waits in ms.
 SIZE_UNITS = {"K": 1 / 1024, "M": 1.0, "G": 1024.0, "T": 1024.0**2}
 COUNT_UNITS = {"k": 1e3, "m": 1e6, "g": 1e9, "t": 1e12, "p": 1e15}
@@ -84,7 +90,7 @@ def tables(sql: Column) -> Column:
     Line ends become blanks before comments go, so a line comment takes all that follows.
     """
     flat = F.regexp_replace(sql, r"[\n\r\t]", " ")
-    bare = reduce(lambda c, p: F.regexp_replace(c, p, " "), (r"--[^\n]*", r"/\*[\s\S]*?\*/", "'[^']*'", r"\s+"), flat)
+    bare = reduce(lambda c, p: F.regexp_replace(c, p, " "), (*NO_NAMES, r"\s+"), flat)
     found = F.regexp_extract_all(F.upper(bare), F.lit(TABLE_NAME), F.lit(1))
     last = lambda x: F.element_at(F.split(x, r"\."), -1)
     keep = lambda x: ~last(x).isin(*NO_TABLE) & ~reduce(lambda a, b: a | b, (x.startswith(s) for s in NO_SCHEMA)) & (x.contains(".") | (F.length(x) > 1))

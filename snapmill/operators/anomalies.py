@@ -30,10 +30,10 @@ def mad_global(series: DataFrame, threshold: float = THRESHOLD, top: int = TOP,
 
     Negative values mark missing slots: they take part in median and MAD and are never reported. A series without deviation has none.
     """
-    medians = series.groupBy(*keys, "name").agg(F.median("value").alias("m"))
-    off = series.join(medians, [*keys, "name"]).withColumn("off", F.abs(F.col("value") - F.col("m")))
-    mads = off.groupBy(*keys, "name").agg(F.median("off").alias("mad"))
-    return best(off.join(mads, [*keys, "name"]).withColumn("score", F.col("off") / F.nullif("mad", F.lit(0.0))), threshold, top, keys)
+    w = of(keys, "name")  # medians, deviations and ranks share one exchange; a series is as long as there are snapshots
+    off = series.withColumn("off", F.abs(F.col("value") - F.median("value").over(w)))
+    scored = off.withColumn("mad", F.median("off").over(w)).withColumn("score", F.col("off") / F.nullif("mad", F.lit(0.0)))
+    return best(scored, threshold, top, keys)
 
 
 def mad_sliding(series: DataFrame, percent: float, snapshots: int, threshold: float = THRESHOLD, top: int = TOP, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapmill.functions.stats import mean0, nearest, safe_pearson
@@ -15,22 +15,26 @@ TARGET_Z, TARGET_CHANGE, STRONG_CHANGE, TAIL = 3.0, 25.0, 100.0, 1.25
 NAME_Z, NAME_CHANGE, NAME_R = 2.5, 20.0, 0.3
 
 
+def _compared(rows: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """``compared`` of rows that know their ``part``, with more aggregates. Window and aggregates share one exchange."""
+    was = F.when(F.col("part") == "baseline", F.col("value"))
+    now = F.when(F.col("part") == "recent", F.col("value"))
+    middle = rows.withColumn("was_median", F.median(was).over(of(keys, "name")))
+    off = F.when(F.col("part") == "baseline", F.abs(F.col("value") - F.col("was_median")))
+    stats = middle.groupBy(*keys, "name").agg(F.first("was_median").alias("was_median"), mean0(was).alias("was_mean"), nearest(was, 0.9).alias("was_p90"), F.median(off).alias("mad"), mean0(now).alias("now_mean"), F.coalesce(F.median(now), F.lit(0.0)).alias("now_median"), F.coalesce(F.greatest(F.max(now), F.lit(0.0)), F.lit(0.0)).alias("now_peak"), *more)
+    rise = F.col("now_mean") - F.col("was_mean")
+    percent = F.when(F.abs("was_mean") < 1e-9, F.when(rise > 0, 100.0).otherwise(0.0)).otherwise(rise / F.nullif(F.abs("was_mean"), F.lit(0.0)) * 100)
+    z = F.when(F.col("mad") <= 1e-9, F.when(rise > 0, 99.0).otherwise(0.0)).otherwise((F.col("now_median") - F.col("was_median")) / F.nullif(1.4826 * F.col("mad"), F.lit(0.0)))
+    return stats.where("was_median is not null").withColumn("rise", rise).withColumn("percent", percent).withColumn("z", z)
+
+
 def compared(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Each dense series' recent part against its baseline: means, medians, peak, 90th percentile, change and robust z.
 
     ``series`` has a value for every snapshot. Without baseline deviation z is 99 for a rise and 0 otherwise.
     """
     parts = split_windows(series.select(*keys, "snap_id").distinct(), keys)
-    rows = series.join(parts, [*keys, "snap_id"])
-    was = F.when(F.col("part") == "baseline", F.col("value"))
-    now = F.when(F.col("part") == "recent", F.col("value"))
-    middle = rows.groupBy(*keys, "name").agg(F.median(was).alias("was_median"), mean0(was).alias("was_mean"), nearest(was, 0.9).alias("was_p90"), mean0(now).alias("now_mean"), F.coalesce(F.median(now), F.lit(0.0)).alias("now_median"), F.coalesce(F.greatest(F.max(now), F.lit(0.0)), F.lit(0.0)).alias("now_peak"))
-    off = rows.where("part = 'baseline'").join(middle.select(*keys, "name", "was_median"), [*keys, "name"])
-    mads = off.groupBy(*keys, "name").agg(F.median(F.abs(F.col("value") - F.col("was_median"))).alias("mad"))
-    rise = F.col("now_mean") - F.col("was_mean")
-    percent = F.when(F.abs("was_mean") < 1e-9, F.when(rise > 0, 100.0).otherwise(0.0)).otherwise(rise / F.nullif(F.abs("was_mean"), F.lit(0.0)) * 100)
-    z = F.when(F.col("mad") <= 1e-9, F.when(rise > 0, 99.0).otherwise(0.0)).otherwise((F.col("now_median") - F.col("was_median")) / F.nullif(1.4826 * F.col("mad"), F.lit(0.0)))
-    return middle.join(mads, [*keys, "name"]).withColumn("rise", rise).withColumn("percent", percent).withColumn("z", z)
+    return _compared(series.join(parts, [*keys, "snap_id"]), keys)
 
 
 def verdict(target: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -41,13 +45,17 @@ def verdict(target: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return compared(target, keys).withColumn("degraded", robust | shift | tail)
 
 
-def findings(series: DataFrame, target: DataFrame, domain: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Names of a dense series that got worse, with their correlation and share of the target's rise."""
-    stats = compared(series.where("value is not null"), keys)
-    aligned = series.join(target.select(*keys, "snap_id", F.col("value").alias("target")), [*keys, "snap_id"])
-    r = aligned.groupBy(*keys, "name").agg(safe_pearson("value", "target").alias("r"), F.max(F.abs("value")).alias("most"))
+def findings(series: DataFrame, target: DataFrame, domain: str, keys: Sequence[str] = KEYS, snaps_of_target: bool = False) -> DataFrame:
+    """Names of a dense series that got worse, with their correlation and share of the target's rise. ``snaps_of_target``: the series was
+    made dense over the snapshots of the target, so that these needn't be looked for in it."""
+    # part and target of a snapshot come with one join, and a name's numbers with one exchange
+    parts = split_windows(target.select(*keys, "snap_id").distinct(), keys) if snaps_of_target else split_windows(series.select(*keys, "snap_id").distinct(), keys)
+    at = parts.join(target.select(*keys, "snap_id", F.col("value").alias("target")), [*keys, "snap_id"], "left")
+    rows = series.where("value is not null").join(at, [*keys, "snap_id"])
+    known = F.when(F.col("target").isNotNull(), F.col("value"))
+    stats = _compared(rows, keys, safe_pearson(known, "target").alias("r"), F.max(F.abs(known)).alias("most"))
     whole = compared(target, keys).select(*keys, F.col("rise").alias("target_rise"))
-    rows = stats.join(r.where("most > 1e-9"), [*keys, "name"]).join(whole, [*keys]).where("rise > 0")
+    rows = stats.where("most > 1e-9").join(whole, [*keys]).where("rise > 0")
     percent = F.col("percent")
     worse = (F.col("z") >= NAME_Z) | (percent >= STRONG_CHANGE) | ((percent >= NAME_CHANGE) & (F.abs("r") >= NAME_R)) | ((percent >= NAME_CHANGE) & (F.col("now_peak") > F.col("was_p90") * TAIL))
     share = F.when(F.col("target_rise") > 1e-9, F.least(F.greatest(F.col("rise") / F.nullif("target_rise", F.lit(0.0)), F.lit(0.0)), F.lit(9.99))).otherwise(0.0)

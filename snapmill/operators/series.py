@@ -17,10 +17,15 @@ def of(keys: Sequence[str], *more: str):
     return Window.partitionBy(*keys, *more)
 
 
+#: Parts that the names of a key are divided into where they meet its snapshots, so that a key with most rows isn't one task's.
+PARTS = 16
+
+
 def densify(fact: DataFrame, fill: float, keys: Sequence[str] = KEYS, snaps: DataFrame | None = None) -> DataFrame:
     """Every name of a key in every snapshot of that key; absent slots hold ``fill``."""
-    names = fact.select(*keys, "name").distinct()
-    grid = (fact if snaps is None else snaps).select(*keys, "snap_id").distinct().join(names, [*keys])
+    names = fact.select(*keys, "name").distinct().withColumn("_part", F.pmod(F.xxhash64("name"), F.lit(PARTS)).cast("int"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part")
+    grid = (fact if snaps is None else snaps).select(*keys, "snap_id").distinct().select("*", parts).join(names, [*keys, "_part"]).drop("_part")
     return grid.join(fact.select(*keys, "snap_id", "name", "value"), [*keys, "snap_id", "name"], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
 
 

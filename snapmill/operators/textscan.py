@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,15 +56,16 @@ def between_days(events: DataFrame, first: str | None = None, last: str | None =
 
 
 def parse_error_blocks(lines: DataFrame, keys: Sequence[str] = ("log_name",), most: int = 6) -> DataFrame:
-    """What follows a line on too many parse errors, up to ``most`` line numbers, a line with application and action, or a line with a time.
+    """A line on too many parse errors and what follows it: ``most`` lines in all, or up to a line with application and action, or before one
+    with a time.
 
     Returns per block ``keys, line_no, total, sql_hash, code, sqlid, username, application, action``.
     """
-    opens = F.col("line").rlike(TOO_MANY)
-    own = lines.withColumn("_own", F.when(opens, F.col("line_no")))
-    started = carried(own, keys, "line_no", "_own", "_last").withColumn("block", F.coalesce("_own", "_last"))
-    near = started.where(F.col("line_no") - F.col("block") <= most)  # few lines follow each opening, whatever comes after them
+    own = lines.withColumn("_own", F.when(F.col("line").rlike(TOO_MANY), F.col("line_no")))
+    started = carried(own, keys, "line_no", "_own", "_last").withColumn("block", F.coalesce("_own", "_last")).where("block is not null")
     w = Window.partitionBy(*keys, "block").orderBy("line_no")
+    # a block's first lines are kept before anything moves, however many lines follow it
+    near = started.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most)
     ends = (F.col("line").rlike(APPLICATION) | line_time(F.col("line")).isNotNull()).cast("int")
     kept = near.withColumn("_ended", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_ended = 0").where(line_time(F.col("line")).isNull())
     part = lambda pattern, group=1: F.max(F.nullif(F.regexp_extract("line", pattern, group), F.lit("")))
@@ -79,32 +81,26 @@ def parse_error_blocks(lines: DataFrame, keys: Sequence[str] = ("log_name",), mo
 ESCAPE = re.compile(r"\x1b[^A-Za-z@~]*[A-Za-z@~]?")
 READING = ("entc_pct", "cpu_busy_pct", "cpu_user_pct", "cpu_sys_pct", "cpu_wait_pct", "cpu_idle_pct", "physc", "entitled_capacity")
 READING_TYPES = "source_file string, line_number int, timestamp_hint string, " + ", ".join(f"{c} double" for c in READING) + ", raw_sample string"
-# What the names of readings are, first match first; a name is matched whole, or where it begins with * by what it
-# holds, with $ by its end.
-NAMES = (
-    ("entc_pct", ("*entc",)),
-    ("physc", ("physc", "pc", "*physicalprocessor", "*physicalcpu")),
-    ("entc_pct", ("ec",)),
-    ("entitled_capacity", ("ent", "entitled", "*entitledcapacity", "*entitlement")),
-    ("cpu_user_pct", ("*user", "usr", "us")),
-    ("cpu_sys_pct", ("kern", "kernel", "sys", "sy", "$sys", "*system")),
-    ("cpu_wait_pct", ("*wait", "wio", "wa")),
-    ("cpu_idle_pct", ("*idle", "id")),
-    ("cpu_busy_pct", ("busy", "lbusy", "*cpubusy")),
-)
-
-
+# The names of each reading, lower case without all but letters and digits; the first reading whose pattern is met counts.
+READING_NAMES = {
+    "entc_pct": r".*entc.*|ec",
+    "physc": r"physc|pc|.*physicalprocessor.*|(?!.*percentage).*physicalcpu.*",
+    "entitled_capacity": r"ent|entitled|.*entitledcapacity.*|.*entitlement.*",
+    "cpu_user_pct": r".*user.*|usr|us",
+    "cpu_sys_pct": r"kern|kernel|sy|.*sys|.*system.*",
+    "cpu_wait_pct": r".*wait.*|wio|wa",
+    "cpu_idle_pct": r".*idle.*|id",
+    "cpu_busy_pct": r"busy|lbusy|.*cpubusy.*",
+}
+# The columns of a screen's total line with the range of each, and the range of what its shares of time add up to.
+TOTAL_LINE = {"cpu_user_pct": (0, 100), "cpu_sys_pct": (0, 100), "cpu_wait_pct": (0, 100), "cpu_idle_pct": (0, 100), "physc": (0, 64), "entc_pct": (0, 200)}
+TOTAL_SHARES = (80, 120)
+
+
+@cache
 def reading_of(name: str) -> str | None:
-    plain = re.sub(r"[^a-z0-9]", "", name.lower())
-    if not plain:
-        return None
-    for reading, forms in NAMES:
-        for form in forms:
-            if form == "*physicalcpu" and "percentage" in plain:
-                continue
-            if form[1:] in plain if form[0] == "*" else plain.endswith(form[1:]) if form[0] == "$" else plain == form:
-                return reading
-    return None
+    bare = re.sub(r"[^a-z0-9]", "", name.lower())
+    return next((reading for reading, names in READING_NAMES.items() if bare and re.fullmatch(names, bare)), None)
 
 
 def finite(text: str) -> float | None:
@@ -153,16 +149,18 @@ def from_pairs(parts: list[str]) -> dict[str, float] | None:
 
 
 def from_total(line: str, parts: list[str]) -> dict[str, float] | None:
-    """A screen's line of user, system, wait, idle, processors and entitlement, if the numbers can be those."""
-    if not parts or not (parts[0].lower() == "total" or line[:1].isspace()):
+    """A screen's total line, which says so or is indented, if its first numbers lie in the ranges of the line's columns."""
+    if not parts or parts[0].lower() != "total" and not line[:1].isspace():
         return None
-    numbers = [v for p in parts if (v := finite(p)) is not None][:6]
-    if len(numbers) < 6:
+    numbers = [v for p in parts if (v := finite(p)) is not None]
+    if len(numbers) < len(TOTAL_LINE):
         return None
-    user, system, wait, idle, physc, entc = numbers
-    if not (all(0 <= x <= 100 for x in numbers[:4]) and 80 <= sum(numbers[:4]) <= 120 and 0 <= physc <= 64 and 0 <= entc <= 200):
+    values = dict(zip(TOTAL_LINE, numbers, strict=False))
+    time = sum(v for c, v in values.items() if c.startswith("cpu_"))
+    inside = lambda v, bounds: bounds[0] <= v <= bounds[1]
+    if not inside(time, TOTAL_SHARES) or not all(inside(v, TOTAL_LINE[c]) for c, v in values.items()):
         return None
-    return {"cpu_user_pct": user, "cpu_sys_pct": system, "cpu_wait_pct": wait, "cpu_idle_pct": idle, "physc": physc, "entc_pct": entc, "cpu_busy_pct": user + system + wait}
+    return values | {"cpu_busy_pct": time - values["cpu_idle_pct"]}
 
 
 def time_hint(parts: list[str]) -> str | None:
@@ -205,5 +203,5 @@ def aix_readings(files: DataFrame) -> DataFrame:
 def reading_stats(found: DataFrame) -> DataFrame:
     """Count, least, mean, 95th percentile and greatest of each reading."""
     long = found.unpivot([], list(READING), "reading", "value").where("value is not null")
-    p95 = F.element_at(F.array_sort(F.collect_list("value")), F.ceil(F.count("value") * 0.95).cast("int"))
+    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)")
     return long.groupBy("reading").agg(F.count("value").alias("n"), F.min("value").alias("least"), F.avg("value").alias("mean"), p95.alias("p95"), F.max("value").alias("most"))

@@ -379,10 +379,11 @@ def dbtime_verdict(spark, d):
 
 
 _SAFE = "CASE WHEN count(*) >= 2 AND stddev_pop(value) * stddev_pop(target) * count(*) > 1e-12 THEN greatest(-1, least(1, covar_pop(value, target) / nullif(stddev_pop(value) * stddev_pop(target), 0))) ELSE 0 END"
-_FINDINGS = f"""dense AS (SELECT g.*, coalesce(f.value, 0.0) AS value FROM (SELECT s.*, n.name FROM (SELECT DISTINCT {K}, snap_id FROM dbtime) s JOIN (SELECT DISTINCT {K}, name FROM waits) n USING ({K})) g LEFT JOIN waits f USING ({K}, snap_id, name)),
+_FINDINGS = f"""named AS (SELECT {K}, snap_id, 'foreground ' || name AS name, value FROM waits UNION ALL SELECT {K}, snap_id, 'background ' || name, value FROM backs UNION ALL SELECT {K}, snap_id, 'load_profile ' || name, value FROM stats),
+dense AS (SELECT g.*, coalesce(f.value, 0.0) AS value FROM (SELECT s.*, n.name FROM (SELECT DISTINCT {K}, snap_id FROM dbtime) s JOIN (SELECT DISTINCT {K}, name FROM named) n USING ({K})) g LEFT JOIN named f USING ({K}, snap_id, name)),
 {_SPLIT.format(t="dense")}, {_CMP.format(p="", t="dense", s="split")}, {_SPLIT.format(t="dbtime").replace("split AS", "tsplit AS")}, {_CMP.format(p="t", t="dbtime", s="tsplit")},
 corr_ AS (SELECT {K}, w.name, {_SAFE.replace('(value', '(w.value').replace('target', 't.value')} AS r, max(abs(w.value)) AS top FROM dense w JOIN dbtime t USING ({K}, snap_id) GROUP BY ALL),
-findings AS (SELECT {K}, c.name, c.was_mean, c.now_mean, c.rise, c.percent, c.z, k.r, CASE WHEN t.rise > 1e-9 THEN least(greatest(c.rise / nullif(t.rise, 0), 0), 9.99) ELSE 0 END AS share
+findings AS (SELECT {K}, string_split(c.name, ' ')[1] AS domain, substr(c.name, length(string_split(c.name, ' ')[1]) + 2) AS name, c.was_mean, c.now_mean, c.rise, c.percent, c.z, k.r, CASE WHEN t.rise > 1e-9 THEN least(greatest(c.rise / nullif(t.rise, 0), 0), 9.99) ELSE 0 END AS share
  FROM cmp c JOIN corr_ k USING ({K}, name) JOIN (SELECT {K}, rise FROM tcmp) t USING ({K})
  WHERE k.top > 1e-9 AND c.rise > 0 AND (c.z >= 2.5 OR c.percent >= 100 OR (c.percent >= 20 AND abs(k.r) >= 0.3) OR (c.percent >= 20 AND c.now_peak > c.was_p90 * 1.25)))"""
 
@@ -393,17 +394,17 @@ def findings(spark, d) -> DataFrame:
     parts = {"foreground": views.waits(spark, d), "background": views.waits(spark, d, "background"), "load_profile": views.stats(spark, d)}
     # names are compared by themselves, so that all domains go through one plan under names that begin with their domain
     rows = reduce(DataFrame.unionByName, (own.select(*views.AT, F.concat(F.lit(f"{domain} "), "name").alias("name"), "value") for domain, own in parts.items()))
-    found = degradation.findings(series.densify(rows, 0.0, snaps=target), target, "")
+    found = degradation.findings(series.densify(rows, 0.0, snaps=target), target, "", snaps_of_target=True)
     return found.withColumn("domain", F.substring_index("name", " ", 1)).withColumn("name", F.expr("substring(name, length(domain) + 2)"))
 
 
-@query(with_views("stats dbtime waits", f"SELECT {K}, 'foreground' AS domain, name, {_NUMBERS}, round(r, 6) AS r, round(share, 6) AS share, row_number() OVER (PARTITION BY {K} ORDER BY share DESC, z DESC, name) AS rank FROM findings QUALIFY rank <= 10", _FINDINGS))
+@query(with_views("stats dbtime waits backs", f"SELECT {K}, domain, name, {_NUMBERS}, round(r, 6) AS r, round(share, 6) AS share, row_number() OVER (PARTITION BY {K}, domain ORDER BY share DESC, z DESC, name) AS rank FROM findings QUALIFY rank <= 10", _FINDINGS))
 def degraded_findings(spark, d):
     found = degradation.top_findings(findings(spark, d)).drop("severity").withColumn("rank", F.col("rank").cast("bigint"))
     return r6(found, "was_mean", "now_mean", "rise", "percent", "z", "r", "share")
 
 
-@query(with_views("stats dbtime waits", f"SELECT {K}, 'foreground' AS domain, count(*) AS n, round(sum(greatest(rise, 0)), 6) AS rise FROM findings GROUP BY ALL", _FINDINGS))
+@query(with_views("stats dbtime waits backs", f"SELECT {K}, domain, count(*) AS n, round(sum(greatest(rise, 0)), 6) AS rise FROM findings GROUP BY ALL", _FINDINGS))
 def degraded_domains(spark, d):
     return r6(degradation.by_domain(findings(spark, d)), "rise")
 

@@ -128,14 +128,15 @@ _SAYS = "max(nullif(regexp_extract(line, '{}', {}), '')) AS {}"
 
 
 @query(f"""WITH s AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '{text.TOO_MANY}') THEN line_no END IGNORE NULLS) OVER (PARTITION BY log_name ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS block FROM alert_lines),
-k AS (SELECT *, coalesce(sum(CASE WHEN {_TIMED} OR regexp_matches(line, '{textscan.APPLICATION}') THEN 1 ELSE 0 END) OVER (PARTITION BY log_name, block ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM s WHERE line_no - block <= 6)
+near AS (SELECT * FROM s WHERE block IS NOT NULL QUALIFY row_number() OVER (PARTITION BY log_name, block ORDER BY line_no) <= 6),
+k AS (SELECT *, coalesce(sum(CASE WHEN {_TIMED} OR regexp_matches(line, '{textscan.APPLICATION}') THEN 1 ELSE 0 END) OVER (PARTITION BY log_name, block ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM near)
 SELECT log_name, min(line_no) AS line_no, CAST(max(nullif(regexp_extract(line, '{text.TOO_MANY}', 1), '')) AS BIGINT) AS total, {_SAYS.format(textscan.SQL_HASH, 1, "sql_hash")}, {_SAYS.format(text.PARSE_ERROR, 1, "code")}, {_SAYS.format(textscan.SQLID, 1, "sqlid")}, {_SAYS.format(textscan.USERNAME, 1, "username")}, {_SAYS.format(textscan.APPLICATION, 1, "application")}, {_SAYS.format(textscan.APPLICATION, 2, "action")}
 FROM k WHERE ended = 0 AND NOT {_TIMED} GROUP BY log_name, block""")
 def block_sessionize(spark, d):
     return textscan.parse_error_blocks(load(spark, d, "alert_lines")).withColumn("code", F.col("code").cast("string"))
 
 
-@query(r"SELECT doc_id, t AS table_name FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\n\r\t]', ' ', 'g'), '--[^\n]*', ' ', 'g'), '/\*[\s\S]*?\*/', ' ', 'g'), '''[^'']*''', ' ', 'g'), '\s+', ' ', 'g')), '\b(?:FROM|JOIN|UPDATE|INTO|MERGE\s+INTO|DELETE(?:\s+FROM)?)\s+([A-Z_$#][A-Z0-9_$#]*(?:\.[A-Z_$#][A-Z0-9_$#]*)*)', 1), lambda x: NOT list_contains(string_split('" + " ".join(text.NO_TABLE) + r"', ' '), list_extract(string_split(x, '.'), -1)) AND NOT starts_with(x, 'SYS.') AND NOT starts_with(x, 'SYSTEM.') AND (contains(x, '.') OR length(x) > 1)))) AS t FROM documents WHERE text LIKE '%SELECT %' OR text LIKE '%UPDATE %')")
+@query(r"SELECT doc_id, t AS table_name FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\n\r\t]', ' ', 'g'), '--[^\n]*', ' ', 'g'), '/\*[\s\S]*?\*/', ' ', 'g'), '''[^'']*''', ' ', 'g'), '\s+', ' ', 'g')), '\b(?:FROM|JOIN|UPDATE|INTO|MERGE\s+INTO|DELETE(?:\s+FROM)?)\s+([A-Z_$#][A-Z0-9_$#]*(?:\.[A-Z_$#][A-Z0-9_$#]*)*)', 1), lambda x: NOT list_contains(string_split('" + " ".join(text.NO_TABLE) + r"', ' '), list_extract(string_split(x, '.'), -1)) AND NOT starts_with(x, 'SYS.') AND NOT starts_with(x, 'SYSTEM.') AND (contains(x, '.') OR length(x) > 1)))) AS t FROM documents WHERE regexp_matches(regexp_replace(regexp_replace(text, '/\*[\s\S]*?\*/', ' ', 'g'), '--[^\n]*', ' ', 'g'), '" + text.STATEMENT + r"'))")
 def table_name_extract(spark, d):
     own = load(spark, d, "documents").where(text.has_statement(F.col("text")))
     return own.select("doc_id", F.explode(text.tables(F.col("text"))).alias("table_name"))
@@ -199,7 +200,7 @@ _LONG = """every AS (SELECT CASE WHEN json_type(payload->'$.db_instance_informat
 long AS (SELECT * FROM every WHERE db_id IS NOT NULL AND instance_num IS NOT NULL AND snap_id IS NOT NULL)"""
 
 
-@query(f"WITH {_LONG} SELECT db_id, instance_num, snap_id, event, waits, total_wait_time_s, pct_dbtime FROM long WHERE lower(event) = 'db file sequential read' AND pct_dbtime >= 5 AND waits IS NOT NULL AND total_wait_time_s IS NOT NULL")
+@query(f"WITH {_LONG} SELECT db_id, instance_num, snap_id, event, waits, total_wait_time_s, pct_dbtime FROM long WHERE lower(event) = 'db file sequential read' AND pct_dbtime >= 5")
 def find_snapshots_with_event(spark, d):
     return tools.snapshots_with_event(reports(spark, d), " DB file sequential read", min_pct=5.0)
 
@@ -312,7 +313,7 @@ def stat_group_filter(spark, d):
     return dims.of_group(load(spark, d, "load_profile").select(F.col("stat_name").alias("name")).distinct(), "counters")
 
 
-@query(f"WITH {_LONG} SELECT db_id, instance_num, snap_id, waits, total_wait_time_s, pct_dbtime FROM long WHERE lower(event) = 'log file sync' AND waits IS NOT NULL AND total_wait_time_s IS NOT NULL AND pct_dbtime IS NOT NULL")
+@query(f"WITH {_LONG} SELECT db_id, instance_num, snap_id, waits, total_wait_time_s, pct_dbtime FROM long WHERE lower(event) = 'log file sync'")
 def event_timeline(spark, d):
     return tools.event_timeline(reports(spark, d), "LOG FILE SYNC").drop("avg_wait")
 
@@ -324,6 +325,6 @@ def top_waits_in_snapshot(spark, d):
     return tools.top_wait_events(own, -1 if first is None else first, n=5, by="waits").where("waits is not null").select("event", "waits")
 
 
-@query("SELECT db_id, instance_num, snap_id, cpus, pct_user, pct_idle FROM (SELECT CASE WHEN json_type(payload->'$.db_instance_information.db_id') LIKE '%BIGINT' THEN CAST(payload->>'$.db_instance_information.db_id' AS BIGINT) END AS db_id, CASE WHEN json_type(payload->'$.db_instance_information.instance_num') LIKE '%BIGINT' THEN CAST(payload->>'$.db_instance_information.instance_num' AS SMALLINT) END AS instance_num, CASE WHEN json_type(a->'$.snap_info.begin_snap_id') LIKE '%BIGINT' THEN CAST(a->>'$.snap_info.begin_snap_id' AS BIGINT) END AS snap_id, CASE WHEN json_type(a->'$.host_cpu.cpus') LIKE '%BIGINT' THEN CAST(a->>'$.host_cpu.cpus' AS BIGINT) END AS cpus, CASE WHEN json_type(a->'$.host_cpu.pct_user') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(a->>'$.host_cpu.pct_user' AS DOUBLE) END AS pct_user, CASE WHEN json_type(a->'$.host_cpu.pct_idle') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(a->>'$.host_cpu.pct_idle' AS DOUBLE) END AS pct_idle FROM (SELECT payload, unnest(CAST(payload->'$.awrs' AS JSON[])) AS a FROM report_files)) WHERE db_id IS NOT NULL AND instance_num IS NOT NULL AND snap_id IS NOT NULL AND cpus IS NOT NULL AND pct_user IS NOT NULL AND pct_idle IS NOT NULL")
+@query("SELECT db_id, instance_num, snap_id, cpus, pct_user, pct_idle FROM (SELECT CASE WHEN json_type(payload->'$.db_instance_information.db_id') LIKE '%BIGINT' THEN CAST(payload->>'$.db_instance_information.db_id' AS BIGINT) END AS db_id, CASE WHEN json_type(payload->'$.db_instance_information.instance_num') LIKE '%BIGINT' THEN CAST(payload->>'$.db_instance_information.instance_num' AS SMALLINT) END AS instance_num, CASE WHEN json_type(a->'$.snap_info.begin_snap_id') LIKE '%BIGINT' THEN CAST(a->>'$.snap_info.begin_snap_id' AS BIGINT) END AS snap_id, CASE WHEN json_type(a->'$.host_cpu.cpus') LIKE '%BIGINT' THEN CAST(a->>'$.host_cpu.cpus' AS BIGINT) END AS cpus, CASE WHEN json_type(a->'$.host_cpu.pct_user') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(a->>'$.host_cpu.pct_user' AS DOUBLE) END AS pct_user, CASE WHEN json_type(a->'$.host_cpu.pct_idle') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(a->>'$.host_cpu.pct_idle' AS DOUBLE) END AS pct_idle FROM (SELECT payload, unnest(CAST(payload->'$.awrs' AS JSON[])) AS a FROM report_files)) WHERE db_id IS NOT NULL AND instance_num IS NOT NULL AND snap_id IS NOT NULL")
 def host_cpu_section(spark, d):
     return collection.section(reports(spark, d), "host_cpu").select("db_id", "instance_num", "snap_id", "cpus", "pct_user", "pct_idle")

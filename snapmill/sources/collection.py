@@ -39,7 +39,10 @@ SNAPSHOT = "struct<file_name:string,status:string,snap_info:struct<begin_snap_id
 INSTANCE = "struct<db_id:bigint,instance_num:smallint,startup_time:string,release:string,rac:string,platform:string,cpus:int,cores:int,sockets:smallint,memory:int,db_block_size:int>"
 SCHEMA = f"db_instance_information {INSTANCE}, initialization_parameters map<string,string>, sql_text map<string,string>, awrs array<{SNAPSHOT}>"
 # Fields that are never negative.
-UNSIGNED = frozenset("begin_snap_id cores cpus db_block_size db_id end_snap_id executions final_usage get_requests instance_num memory obj objd pin_requests plan_hash_value samples sockets total waits waits_count".split())
+UNSIGNED = frozenset((
+    "begin_snap_id", "cores", "cpus", "db_block_size", "db_id", "end_snap_id", "executions", "final_usage", "get_requests", "instance_num",
+    "memory", "obj", "objd", "pin_requests", "plan_hash_value", "samples", "sockets", "total", "waits", "waits_count",
+))
 
 
 def clamped(value: Column, kind, name: str = "") -> Column:
