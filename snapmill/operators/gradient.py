@@ -18,18 +18,18 @@ from snapmill.functions.stats import abs_linear
 from snapmill.operators.series import KEYS, delta, densify, of, standardized
 
 MODELS = ("ridge", "elastic_net", "huber", "quantile95")
-# What the agreement of the models is called, first match first; r, e, h, q: in the top list of ridge, elastic net,
-# Huber, 95th percentile.
+# What the agreement of the models is called, first match first: label, models in whose top lists a name is, models in whose
+# lists it is not, priority.
 AGREEMENT = (
-    ("CONFIRMED_BOTTLENECK", "r and e and h and q", 0),
-    ("CONFIRMED_BOTTLENECK_EN_COLLINEAR", "r and h and q", 1),
-    ("STRONG_CONTRIBUTOR", "r and e and h", 2),
-    ("STABLE_CONTRIBUTOR", "r and h", 3),
-    ("TAIL_RISK", "q and not r", 4),
-    ("TAIL_OUTLIER", "q and r", 4),
-    ("OUTLIER_DRIVEN", "r", 5),
-    ("SPARSE_DOMINANT", "e", 6),
-    ("ROBUST_ONLY", "h", 7),
+    ("CONFIRMED_BOTTLENECK", ("ridge", "elastic_net", "huber", "quantile95"), (), 0),
+    ("CONFIRMED_BOTTLENECK_EN_COLLINEAR", ("ridge", "huber", "quantile95"), (), 1),
+    ("STRONG_CONTRIBUTOR", ("ridge", "elastic_net", "huber"), (), 2),
+    ("STABLE_CONTRIBUTOR", ("ridge", "huber"), (), 3),
+    ("TAIL_RISK", ("quantile95",), ("ridge",), 4),
+    ("TAIL_OUTLIER", ("quantile95", "ridge"), (), 4),
+    ("OUTLIER_DRIVEN", ("ridge",), (), 5),
+    ("SPARSE_DOMINANT", ("elastic_net",), (), 6),
+    ("ROBUST_ONLY", ("huber",), (), 7),
 )
 
 
@@ -149,7 +149,7 @@ def toward_target(moved: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def fit(moved: DataFrame, settings: Settings = Settings(), keys: Sequence[str] = KEYS) -> DataFrame:
     """Coefficients of the four models and the variance inflation: ``keys, name, ridge, elastic_net, huber, quantile95, vif``.
 
-    A key with fewer than three differences is left out; so is one whose numbers aren't finite. A task holds one key's matrix of snapshots and names.
+    A key with fewer than three differences is left out; so is one whose numbers aren't finite; ``skipped`` tells them. A task holds one key's matrix of snapshots and names.
     """
     kinds = {f.name: f.dataType.simpleString() for f in moved.schema}
 
@@ -173,6 +173,14 @@ def fit(moved: DataFrame, settings: Settings = Settings(), keys: Sequence[str] =
     return moved.select(*keys, "snap_id", "name", "z", "target").groupBy(*keys).applyInPandas(run, schema)
 
 
+def skipped(moved: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The keys that ``fit`` leaves out, and why: ``keys, note``."""
+    finite = reduce(lambda a, b: a & b, (~F.isnan(c) & (F.abs(c) != float("inf")) for c in ("z", "target")))
+    counts = moved.groupBy(*keys).agg(F.count_distinct("snap_id").alias("n"), F.min(F.coalesce(finite, F.lit(False))).alias("finite"))
+    note = F.when(F.col("n") < 3, "fewer than 3 differences").when(~F.col("finite"), "numbers that aren't finite")
+    return counts.select(*keys, note.alias("note")).where("note is not null")
+
+
 def scales(moved: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """MAD, 90th and 99th percentile of the plain differences of each name."""
     medians = moved.groupBy(*keys, "name").agg(F.median("delta").alias("m"))
@@ -202,12 +210,10 @@ def agreement(ranked: DataFrame, top: int = 10, keys: Sequence[str] = KEYS) -> D
     listed = ranked.where(F.col("rank") <= top)
     inside = lambda m: F.max((F.col("model") == m) & (F.col("coefficient") > 0))
     flags = listed.groupBy(*keys, "name").agg(*(inside(m).alias(f"in_{m}") for m in MODELS), F.sum("active").alias("impact"), F.sum("peak").alias("peak")).where(reduce(lambda a, b: a | b, (F.col(f"in_{m}") for m in MODELS)))
-    names = dict(zip("rehq", (f"in_{m}" for m in MODELS), strict=True))
-    label, order = None, None
-    for name, rule, priority in AGREEMENT:
-        condition = F.expr(" ".join(names.get(word, word) for word in rule.split()))
-        label = F.when(condition, name) if label is None else label.when(condition, name)
-        order = F.when(condition, priority) if order is None else order.when(condition, priority)
+    label, order = F.when(F.lit(False), ""), F.when(F.lit(False), 0)
+    for name, present, absent, priority in AGREEMENT:
+        rule = reduce(lambda a, b: a & b, [F.col(f"in_{m}") for m in present] + [~F.col(f"in_{m}") for m in absent])
+        label, order = label.when(rule, name), order.when(rule, priority)
     return flags.withColumn("label", label).withColumn("priority", order)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from snapmill.functions import stats as fs
 from snapmill.operators import anomalies, correlation, degradation, gradient, series, topk
+from snapmill.operators import domains as domain_rows
 from snapmill.plans import views
 from snapmill.plans.views import with_views
 
@@ -203,7 +204,7 @@ def mad_sliding_w20(spark, d):
 
 
 def domains(spark, d) -> DataFrame:
-    return anomalies.union_domains({"foreground": anomalies.mad_global(views.waits(spark, d)), "background": anomalies.mad_global(views.waits(spark, d, "background").select(*views.AT, "name", "value")), "load_profile": anomalies.mad_global(views.stats(spark, d))})
+    return domain_rows.found_anomalies(views.metrics(spark, d))
 
 
 def _part(view: str) -> str:
@@ -246,6 +247,18 @@ def anomaly_csv_summary(spark, d):
     return found.groupBy(*views.AT).agg(F.count(F.lit(1)).alias("n"), F.concat_ws("; ", F.array_sort(F.collect_list(F.concat_ws(" ", "domain", "name")))).alias("names"))
 
 
+@query(with_views("waits", f"SELECT {K}, f.snap_id, f.name, round(f.value, 6) AS value, round(f.score, 6) AS score, f.rank, w.waits, w.pct FROM found f JOIN waits w USING ({K}, snap_id, name)", _mad("waits", 7, 10)))
+def anomaly_facts(spark, d):
+    own = views.waits(spark, d)
+    return rounded(domain_rows.with_facts(anomalies.mad_global(own.select(*views.AT, "name", "value")), own, ["waits", "pct"]))
+
+
+@query(with_views("stats", f"SELECT {K}, f.snap_id, f.name, round(f.value, 6) AS value, round(f.score, 6) AS score, f.rank, round(m.mean, 6) AS mean FROM found f JOIN (SELECT {K}, name, avg(value) AS mean FROM stats GROUP BY ALL) m USING ({K}, name)", _mad("stats", 7, 10)))
+def load_profile_anomalies(spark, d):
+    own = views.stats(spark, d)
+    return r6(rounded(domain_rows.with_means(anomalies.mad_global(own), own)), "mean")
+
+
 # Peaks and rankings
 
 _PEAKS = f"SELECT {K}, snap_id, t.value AS dbtime, c.value AS dbcpu, c.value / t.value AS ratio FROM dbtime t JOIN dbcpu c USING ({K}, snap_id) WHERE t.value > 0 AND c.value > 0 AND c.value / t.value < 0.4"
@@ -390,12 +403,7 @@ findings AS (SELECT {K}, string_split(c.name, ' ')[1] AS domain, substr(c.name,
 
 def findings(spark, d) -> DataFrame:
     """Of all domains that the tables hold; SQL statements, instance statistics and the time model are in none of them."""
-    target = views.named(spark, d, "DB Time(s)")
-    parts = {"foreground": views.waits(spark, d), "background": views.waits(spark, d, "background"), "load_profile": views.stats(spark, d)}
-    # names are compared by themselves, so that all domains go through one plan under names that begin with their domain
-    rows = reduce(DataFrame.unionByName, (own.select(*views.AT, F.concat(F.lit(f"{domain} "), "name").alias("name"), "value") for domain, own in parts.items()))
-    found = degradation.findings(series.densify(rows, 0.0, snaps=target), target, "", snaps_of_target=True)
-    return found.withColumn("domain", F.substring_index("name", " ", 1)).withColumn("name", F.expr("substring(name, length(domain) + 2)"))
+    return domain_rows.degraded(views.metrics(spark, d))
 
 
 @query(with_views("stats dbtime waits backs", f"SELECT {K}, domain, name, {_NUMBERS}, round(r, 6) AS r, round(share, 6) AS share, row_number() OVER (PARTITION BY {K}, domain ORDER BY share DESC, z DESC, name) AS rank FROM findings QUALIFY rank <= 10", _FINDINGS))
@@ -458,6 +466,23 @@ def ridge_two_predictors(spark, d):
     return r6(wide, "beta_calls", "beta_cpu").withColumn("vif", F.round("vif", 4))
 
 
+@query(with_views("stats dbtime", f"SELECT {K}, 'fewer than 3 differences' AS note FROM moved GROUP BY ALL HAVING count(DISTINCT snap_id) < 3", _MOVED))
+def gradient_notes(spark, d):
+    return gradient.skipped(moved(spark, d))
+
+
+@query(with_views("stats dbtime waits", f"""SELECT {K}, section, count(DISTINCT name) AS names, count(DISTINCT snap_id) AS snaps, round(sum(delta), 3) AS moved FROM (
+SELECT {K}, 'fg_wait_events' AS section, snap_id, name, value - lag(value) OVER (PARTITION BY {K}, name ORDER BY snap_id) AS delta FROM dense) WHERE delta IS NOT NULL GROUP BY ALL""", f"dense AS (SELECT g.*, coalesce(f.value, 0.0) AS value FROM (SELECT s.*, n.name FROM (SELECT DISTINCT {K}, snap_id FROM dbtime) s JOIN (SELECT DISTINCT {K}, name FROM waits) n USING ({K})) g LEFT JOIN waits f USING ({K}, snap_id, name))"))
+def gradient_section_sums(spark, d):
+    rows = domain_rows.gradient_sections(views.metrics(spark, d))
+    return rows.groupBy("db_id", "instance_num", "section").agg(F.count_distinct("name").alias("names"), F.count_distinct("snap_id").alias("snaps"), F.round(F.sum("delta"), 3).alias("moved"))
+
+
+@query()
+def gradient_section_models(spark, d):
+    return gradient.fit(domain_rows.gradient_sections(views.metrics(spark, d)), keys=(*series.KEYS, "section"))
+
+
 @query()
 def gradient_models(spark, d):
     return gradient.fit(moved(spark, d))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from snapmill import dims
 from snapmill.common import load
 from snapmill.functions import text
-from snapmill.operators import report, series, summaries, textscan, tools
+from snapmill.operators import domains, report, series, summaries, textscan, tools
 from snapmill.plans import views
 from snapmill.plans.metrics import K, _R, r6
 from snapmill.plans.views import with_views
@@ -83,12 +83,16 @@ def other_sections_pct(spark, d):
     return r6(found, "in_background")
 
 
-_SPECS = (("redo_mb", "is", "Redo size (bytes)", 2.0**-20), ("reads", "starts", "Physical read", 8192 / 2**20), ("calls", "is", "User calls", 1.0))
+_BLOCKS = f"b AS (SELECT {K}, max(db_block_size) / 1048576.0 AS factor FROM (SELECT db_id, CAST(instance_num AS BIGINT) AS instance_num, db_block_size FROM db_instance) GROUP BY ALL)"
+_PER_SECOND = ", ".join(f"('{label}', '{name}', {'NULL' if factor == 'blocks' else repr(factor)})" for label, kind, _, name, factor, _ in domains.TRACKED if kind == "load_profile")
 
 
-@query(with_views("stats", f"SELECT {K}, snap_id, label, round(arg_min(value * factor, name), 6) AS value FROM stats JOIN (VALUES ('redo_mb', 'Redo size (bytes)', 1 / 1048576.0), ('calls', 'User calls', 1.0)) v(label, pattern, factor) ON name = pattern GROUP BY ALL UNION ALL SELECT {K}, snap_id, 'reads', round(arg_min(value * 0.0078125, name), 6) FROM stats WHERE starts_with(name, 'Physical read') GROUP BY ALL"))
+@query(with_views("stats waits", f"""SELECT {K}, snap_id, label, round(arg_min(value * coalesce(v.factor, b.factor), name), 6) AS value FROM stats JOIN (VALUES {_PER_SECOND}) v(label, pattern, factor) ON starts_with(name, pattern) LEFT JOIN b USING ({K}) GROUP BY ALL
+UNION ALL SELECT {K}, snap_id, '{domains.EXCESSIVE}', 0.0 FROM (SELECT DISTINCT {K}, snap_id FROM stats JOIN (VALUES {_PER_SECOND}) v(label, pattern, factor) ON starts_with(name, pattern)) SEMI JOIN (SELECT {K} FROM waits WHERE name = '{domains.GATE}') USING ({K})""", _BLOCKS))
 def tracked_series(spark, d):
-    return r6(summaries.tracked(views.stats(spark, d), _SPECS), "value")
+    sizes = load(spark, d, "db_instance").select("db_id", F.col("instance_num").cast("bigint").alias("instance_num"), "db_block_size")
+    gated = views.waits(spark, d).where(F.col("name") == domains.GATE)
+    return r6(domains.tracked(views.metrics(spark, d), sizes, gated), "value")
 
 
 @query("SELECT db_id, CAST(instance_num AS BIGINT) AS instance_num, count(DISTINCT cpus) AS \"values\", min(cpus) AS least, max(cpus) AS most FROM host_cpu GROUP BY 1, 2 HAVING count(DISTINCT cpus) > 1")

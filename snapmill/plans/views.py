@@ -28,6 +28,15 @@ def waits(spark: SparkSession, d: str, kind: str = "foreground") -> DataFrame:
     return own.where("total_wait_time_s is not null").groupBy(*AT, F.col("event").alias("name")).agg(F.max("total_wait_time_s").alias("value"), F.max("waits").alias("waits"), F.max("pct_dbtime").alias("pct"))
 
 
+def metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The tables' numbers in the form of ``collection.metrics``."""
+    at = [*AT, "kind", "name", "field", "value"]
+    load_ = stats(spark, d).select(*AT, F.lit("load_profile").alias("kind"), "name", F.lit("per_second").alias("field"), "value")
+    kinds = F.concat(F.col("wait_kind"), F.lit("_wait_events")).alias("kind")
+    events = _keyed(load(spark, d, "wait_events")).where("total_wait_time_s is not null").groupBy(*AT, kinds, F.col("event").alias("name")).agg(F.max("total_wait_time_s").alias("value"))
+    return load_.unionByName(events.select(*AT, "kind", "name", F.lit("total_wait_time_s").alias("field"), "value")).select(at)
+
+
 def named(spark: SparkSession, d: str, name: str) -> DataFrame:
     return stats(spark, d).where(F.col("name") == name)
 

@@ -96,7 +96,7 @@ def histogram(reports: DataFrame, kind: str = "foreground") -> DataFrame:
 def metrics(reports: DataFrame) -> DataFrame:
     """All numeric series as ``db_id, instance_num, snap_id, kind, name, field, value``."""
     out = None
-    for name, label in (("load_profile", "stat_name"), ("time_model_stats", "stat_name"), ("instance_stats", "statname"), ("wait_classes", "wait_class"), ("foreground_wait_events", "event"), ("background_wait_events", "event"), ("dictionary_cache", "statname"), ("library_cache", "statname"), ("latch_activity", "statname"), ("sql_elapsed_time", "sql_id"), ("io_stats_byfunc", "category")):
+    for name, label in (("load_profile", "stat_name"), ("time_model_stats", "stat_name"), ("instance_stats", "statname"), ("wait_classes", "wait_class"), ("foreground_wait_events", "event"), ("background_wait_events", "event"), ("dictionary_cache", "statname"), ("library_cache", "statname"), ("latch_activity", "statname"), ("sql_elapsed_time", "sql_id"), ("sql_cpu_time", "sql_id"), ("sql_io_time", "sql_id"), ("sql_gets", "sql_id"), ("sql_reads", "sql_id"), ("redo_log", "stat_name"), ("io_stats_byfunc", "category")):
         df = section(reports, name)
         numbers = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "bigint", "float") and f.name not in ("db_id", "snap_id")]
         long = df.select("db_id", "instance_num", "snap_id", F.lit(name).alias("kind"), F.col(label).alias("name"), *(F.col(n).cast("double").alias(n) for n in numbers)).unpivot(["db_id", "instance_num", "snap_id", "kind", "name"], numbers, "field", "value")
