@@ -5,13 +5,14 @@ readings whose details against both neighbouring blocks have one sign and are la
 level. Runs without any detail are stuck. Spikes are then checked exactly against the range of the ordinary readings, which
 holds peaks that recur at one hour of the day.
 
-All readings move once: to a group of sources of their instance. A source is never divided: scales, quartiles, hours, ranges and runs are those
-of all its readings. What leaves a group is its faulty readings.
+Readings move once: to a group of sources of their instance, where scales, quartiles, hours, ranges and runs are those of all readings of a
+source. What leaves a group is its faulty readings. A source too long for one task is ranked over ranges and judged in parts, with the same
+numbers of all its readings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapmill.common import BLOCK, cut, utc_time
+from snapmill.common import BLOCK, carried, cut, join_same, running, utc_time
 
 LEVELS = (1, 2, 4, 8)
 #: Groups of sources that an instance is divided into at most.
@@ -100,6 +101,17 @@ def details(x: np.ndarray, g: Segments) -> tuple[list[np.ndarray], list[np.ndarr
     return level_details, reach
 
 
+def stuck_runs(v: np.ndarray, g: Segments) -> np.ndarray:
+    """Which readings are in a run of ``STUCK`` or more equal ones: those without any detail against each other."""
+    run, stuck = (v == g.back(v, 1, np.nan)).astype(float), np.zeros(len(v), bool)
+    ended = run.copy()
+    for k in range(1, STUCK - 1):
+        ended += g.back(run, k, 0.0)
+    for k in range(STUCK):
+        stuck |= g.ahead(ended, k, 0.0) >= STUCK - 1
+    return stuck
+
+
 def recurring(x: np.ndarray, odd: np.ndarray, at: np.ndarray, usual: np.ndarray, g: Segments) -> np.ndarray:
     """Which candidates belong to a peak that recurs at one hour of the day."""
     peak = np.zeros(len(x), bool)
@@ -154,13 +166,7 @@ def judge(f: pd.DataFrame) -> pd.DataFrame:
     whole = np.nan_to_num(np.where(np.isnan(before), after, before))
     t1, t2 = filled(at.astype(float), g)
     at = np.where(np.isnan(at), (t1 + t2) / 2, at)
-    equal = v == g.back(v, 1, np.nan)
-    run, stuck = equal.astype(float), np.zeros(len(v), bool)
-    ended = run.copy()
-    for k in range(1, STUCK - 1):
-        ended += g.back(run, k, 0.0)
-    for k in range(STUCK):
-        stuck |= g.ahead(ended, k, 0.0) >= STUCK - 1
+    stuck = stuck_runs(v, g)
     sizes, reach = details(whole, g)
     far = np.zeros(len(v), bool)
     for size, most in zip(sizes, reach, strict=True):
@@ -234,9 +240,99 @@ def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: What a row is: one of load_profile, with the bound of its reading in v2, or one of wait_events, with two readings.
 FIELDS = (("load_profile", "per_second"), ("wait_events", "total_wait_time_s"), ("wait_events", "pct_dbtime"))
+#: Readings of a source that one task judges at once; a longer source is judged in parts of so many.
+WHOLE = 1 << 20
+#: Readings beyond either end of a part that its details reach to.
+HALO = 32
+SOURCE = ["db_id", "instance_num", "src", "f"]
+PARTED_TYPES = "db_id bigint, instance_num int, src bigint, f int, place bigint, tie bigint, v double, row_id bigint, copies bigint, x double, at double, stuck boolean, d0 double, d1 double, d2 double, d3 double, m0 double, m1 double, m2 double, m3 double"
+
 
+def detail_parts(batches: Iterator[pa.RecordBatch], whole: int) -> Iterator[pa.RecordBatch]:
+    """Details and stuck runs of parts of long sources, which come sorted by source, part and rank; the halo's rows stay behind."""
+    held: list[pa.RecordBatch] = []
+    keys = [*SOURCE, "part"]
+    schema = pa.schema([(n, {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[t]) for n, t in (x.split(" ") for x in PARTED_TYPES.split(", "))])
+
+    def run(table: pa.Table) -> pa.RecordBatch:
+        cols = {n: table[n].to_numpy() for n in table.schema.names if n not in ("x", "at")} | {n: pc.fill_null(table[n], np.nan).to_numpy() for n in ("x", "at")}
+        v = cols["v"]
+        g = Segments(np.cumsum(np.concatenate(([0], np.any([cols[k][1:] != cols[k][:-1] for k in keys], axis=0)))))
+        sizes, reach = details(cols["filled"], g)
+        own = (cols["rank"] - 1) // whole == cols["part"]
+        out = cols | {"stuck": stuck_runs(v, g)} | {f"d{k}": d for k, d in enumerate(sizes)} | {f"m{k}": m for k, m in enumerate(reach)}
+        arrays = [pa.array(out[n.name][own].astype(n.type.to_pandas_dtype()), n.type, from_pandas=n.type == pa.float64() and n.name != "v") for n in schema]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-def faulty(rows: DataFrame, times: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    for batch in batches:
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        starts = np.flatnonzero(np.any([table[k].to_numpy()[1:] != table[k].to_numpy()[:-1] for k in keys], axis=0)) + 1
+        if len(starts):  # the last part may go on in the next batch
+            yield run(table.slice(0, int(starts[-1])).combine_chunks())
+            held = table.slice(int(starts[-1])).to_batches()
+    if held and sum(b.num_rows for b in held):
+        yield run(pa.Table.from_batches(held).combine_chunks())
+
+
+def at_shares(long: DataFrame, keys: Sequence[str], shares: dict[str, float]) -> DataFrame:
+    """Per key (``keys, value``) the value at each share of its values in order, as ``Segments.ranks``: equal values are counted first, and counts
+    added up over ranges, so that no task holds a key."""
+    counts = long.where("value is not null").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    up_to = running(counts, keys, "value", {"upto": "n"})
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("size"))
+    joined = up_to.join(sizes, [*keys])
+    return joined.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.col("size") * p), F.lit(1)), F.col("value"))).alias(n) for n, p in shares.items()))
+
+
+def judged_in_parts(given: DataFrame, times: DataFrame, whole: int) -> DataFrame:
+    """Faulty readings of long sources as ``judge`` gives them. A source's readings are ranked over ranges; details are taken in parts of ``whole``
+    readings with a halo; scales, quartiles, hours and ranges are those of all its readings, counted before they move."""
+    fields = F.array(
+        F.when((F.col("kind") == 0) & F.col("v1").isNotNull(), F.struct(F.lit(0).alias("f"), F.col("v1").alias("v"), F.col("v2").alias("high"))),
+        F.when((F.col("kind") == 1) & F.col("v1").isNotNull(), F.struct(F.lit(1).alias("f"), F.col("v1").alias("v"), F.lit(None).cast("double").alias("high"))),
+        F.when((F.col("kind") == 1) & F.col("v2").isNotNull(), F.struct(F.lit(2).alias("f"), F.col("v2").alias("v"), F.lit(100.0).alias("high"))),
+    )
+    readings = given.select("db_id", "instance_num", "src", "place", "tie", "row_id", F.explode(F.array_compact(fields)).alias("r")).select("db_id", "instance_num", "src", "place", "tie", "row_id", "r.*")
+    once = readings.groupBy(*SOURCE, "place", "tie", "v").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("copies"), F.max("high").alias("high"))
+    known_at = times.groupBy("db_id", "instance_num", "place", "tie").agg(F.max("at").cast("double").alias("at"))
+    possible = ~F.isnan("v") & (F.abs("v") != float("inf")) & (F.col("v") >= 0) & ~F.coalesce(F.col("v") > F.col("high"), F.lit(False))
+    rows = once.withColumn("x", F.when(possible, F.col("v"))).drop("high").join(known_at, ["db_id", "instance_num", "place", "tie"], "left").withColumn("one", F.lit(1))
+    ranked = running(rows, SOURCE, ["place", "tie", "v"], {"rank": "one"}).drop("one")
+    before = carried(ranked, SOURCE, "rank", "x", "last_x")
+    before = carried(before, SOURCE, "rank", "at", "last_at")
+    after = carried(before.withColumn("back", -F.col("rank")), SOURCE, "back", "at", "next_at").drop("back")
+    first = ranked.where("x is not null").groupBy(*SOURCE).agg(F.min_by("x", "rank").alias("first_x"))
+    full = join_same(after, first, SOURCE, "left").withColumn("filled", F.coalesce("x", "last_x", "first_x", F.lit(0.0))).withColumn("at", F.coalesce("at", (F.col("last_at") + F.col("next_at")) / 2))
+    parts = F.array_distinct(F.array(*(F.greatest(F.floor((F.col("rank") - 1 + d) / whole), F.lit(0)) for d in (-HALO, 0, HALO))))
+    spread = full.select(*SOURCE, "place", "tie", "v", "row_id", "copies", "x", "at", "rank", "filled", F.explode(parts).alias("part"))
+    placed = spread.repartition(*SOURCE, "part").sortWithinPartitions(*SOURCE, "part", "rank")
+    detailed = cut(placed.mapInArrow(lambda batches: detail_parts(batches, whole), PARTED_TYPES))
+    long = detailed.select(*SOURCE, F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).alias("value")) for c in ("x", "d0", "d1", "d2", "d3")))).alias("s")).select(*SOURCE, "s.*")
+    shares = at_shares(long, [*SOURCE, "what"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    of = lambda what, q: F.max(F.when(F.col("what") == what, F.col(q)))
+    stats = shares.groupBy(*SOURCE).agg(*(of("x", q).alias(q) for q in ("q1", "q2", "q3")), *(of(f"d{k}", "q2").alias(f"s{k}") for k in range(len(LEVELS))))
+    far = reduce(lambda a, b: a | b, (F.coalesce(F.col(f"m{k}") > DETAIL * F.col(f"s{k}") / 0.6745, F.lit(False)) for k in range(len(LEVELS))))
+    wide = F.greatest(F.col("x") - F.col("q3"), F.col("q1") - F.col("x")) > F.col("q3") - F.col("q1")
+    hours = F.floor(F.col("at") / 3600)
+    marked = cut(detailed.join(stats, SOURCE, "left").select(*SOURCE, "place", "tie", "v", "row_id", "copies", "x", "stuck", "q2", (F.col("x").isNotNull() & far & F.coalesce(wide, F.lit(False))).alias("odd"), F.pmod(hours, F.lit(24)).alias("hour"), F.floor(hours / 24).alias("day")))
+    # candidates that recur at an hour
+    at = [*SOURCE, "hour"]
+    candidates = marked.where("odd and hour is not null")
+    middle = at_shares(candidates.select(*at, F.col("x").alias("value")), at, {"middle": 0.5})
+    timed = marked.where("x is not null and hour is not null").join(middle, at)
+    near = F.col("odd") & (F.abs(F.col("x") - F.col("middle")) <= PEAK_SPREAD * F.abs("middle"))
+    seen = timed.groupBy(*at, "middle", "q2").agg(F.count(F.lit(1)).alias("size"), F.count_if(near).alias("like"), F.min(F.when(near, F.col("day"))).alias("like1"), F.max(F.when(near, F.col("day"))).alias("like2"), F.min("day").alias("day1"), F.max("day").alias("day2"))
+    again = (F.col("like1") < F.col("like2")) | ((F.col("day1") == F.col("day2")) & (F.abs("middle") <= MODERATE * F.abs("q2")))
+    peaks = seen.where((F.col("like") > 1) & (F.col("like") >= PEAK_SHARE * F.col("size")) & again).select(*at, F.col("middle").alias("peak"))
+    told = marked.join(peaks, at, "left").withColumn("odd", F.col("odd") & ~F.coalesce(F.abs(F.col("x") - F.col("peak")) <= PEAK_SPREAD * F.abs("peak"), F.lit(False)))
+    ranges = told.groupBy(*SOURCE).agg(F.min(F.when(~F.col("odd"), F.col("x"))).alias("low"), F.max(F.when(~F.col("odd"), F.col("x"))).alias("top"), F.max(F.when(~F.isnan("v"), F.abs("v"))).alias("most"))
+    outside = F.greatest(F.col("x") - F.col("top"), F.col("low") - F.col("x"))
+    why = F.when(F.col("x").isNull(), 0).when(F.col("stuck"), 1).when(F.col("odd") & (outside > 0) & (outside >= WIDTHS * (F.col("top") - F.col("low"))), 2)
+    return told.join(ranges, SOURCE).withColumn("why", why).where((F.col("why").isNotNull()) & (F.coalesce("most", F.lit(1.0)) != 0)).select(*SOURCE, "place", "tie", "v", "row_id", "copies", "why")
+
+
+def faulty(rows: DataFrame, times: DataFrame, *, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
     """Faulty readings: ``source_table, field_name, row_id, why``.
 
     ``rows`` has ``row_id, db_id, instance_num, src`` (a number per source), ``place, tie`` (bigints, the order), ``kind`` (0 or 1), ``v1, v2``:
@@ -247,26 +343,31 @@ def faulty(rows: DataFrame, times: DataFrame, *, block: int = BLOCK) -> DataFram
     none; rows with a null in the instance, source or place hold none. Repeated rows (equal but for ``row_id``) count once in the course and are each
     returned. A source that only reads 0 is idle and has no faulty readings. Readings without a time have the hour between their neighbours'.
     Other columns are ignored. An empty table gives an empty result. The sources of an instance are judged together, in as many groups as its
-    snapshots fill blocks of ``block``, at most ``PARTS``; the result doesn't depend on it. A task holds one group at a time, a source whole;
-    copies are collapsed before they move.
+    snapshots fill blocks of ``block``, at most ``PARTS``; a task holds one group at a time, copies collapsed before they move. A source of more
+    than ``whole`` rows is judged in parts. Neither number changes the result.
     """
     entity = ["db_id", "instance_num", "part"]
     given = rows.where("db_id is not null and instance_num is not null and src is not null and place is not null and (v1 is not null or (kind = 1 and v2 is not null))").select("db_id", "instance_num", "src", "place", F.coalesce("tie", F.lit(-1)).alias("tie"), F.col("kind").cast("int").alias("kind"), F.col("v1").cast("double").alias("v1"), F.col("v2").cast("double").alias("v2"), "row_id")
-    single = given.withColumn("copies", F.lit(1).cast("bigint"))
+    marks = times.where("at is not null").select("db_id", "instance_num", "place", F.coalesce("tie", F.lit(-1)).alias("tie"), "at")
+    long = given.groupBy("db_id", "instance_num", "src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole).select("db_id", "instance_num", "src")
+    split = long.first() is not None
+    usual = given.join(long, ["db_id", "instance_num", "src"], "left_anti") if split else given
+    single = usual.withColumn("copies", F.lit(1).cast("bigint"))
     moved = single.mapInArrow(collapse, single.schema)
-    marks = times.where("at is not null").select("db_id", "instance_num", F.lit(None).cast("bigint").alias("src"), "place", F.coalesce("tie", F.lit(-1)).alias("tie"), "at")
     longest = times.groupBy("db_id", "instance_num").count().agg(F.max("count")).first()[0] or 1
     parts = min(-(-longest // block), PARTS)
-    placed = moved.withColumn("part", F.pmod(F.xxhash64("src"), F.lit(parts))).unionByName(marks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))), allowMissingColumns=True)
+    placed = moved.withColumn("part", F.pmod(F.xxhash64("src"), F.lit(parts))).unionByName(marks.withColumn("src", F.lit(None).cast("bigint")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))), allowMissingColumns=True)
     together = placed.repartition(*entity).sortWithinPartitions(*entity)
     seen = together.select(*entity, "src", "place", "tie", "kind", "v1", "v2", "row_id", "copies", F.col("at").cast("double").alias("at")).mapInArrow(judge_partition, JUDGED_TYPES)
-    whole = ["db_id", "instance_num", "src", "f"]
+    found = seen.select(*SOURCE, "place", "tie", "v", "row_id", "copies", "why")
+    if split:
+        found = found.unionByName(judged_in_parts(given.join(long, ["db_id", "instance_num", "src"], "left_semi"), marks, whole))
     why = F.element_at(F.array(*map(F.lit, WHY)), F.col("why") + 1)
-    verdict = cut(seen.select(*whole, "place", "tie", "v", "row_id", "copies", why.alias("why")))
+    verdict = cut(found.withColumn("why", why))
     named = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in FIELDS)), F.col("f") + 1)
     result = lambda df: df.select(named(0).alias("source_table"), named(1).alias("field_name"), "row_id", "why")
     # copies, which are few, by their keys
-    g, c = given.alias("g"), verdict.where("copies > 1").select(*whole, "place", "tie", "v", "why").alias("c")
+    g, c = given.alias("g"), verdict.where("copies > 1").select(*SOURCE, "place", "tie", "v", "why").alias("c")
     same_reading = reduce(lambda a, b: a & b, (F.col(f"g.{n}") == F.col(f"c.{n}") for n in ("db_id", "instance_num", "src", "place", "tie")))
     value = F.when(F.col("c.f") == 2, F.col("g.v2")).otherwise(F.col("g.v1"))
     copies = g.join(c, same_reading).where((F.col("g.kind") == F.least(F.col("c.f"), F.lit(1))) & value.eqNullSafe(F.col("c.v"))).select("c.f", "g.row_id", "c.why")

@@ -185,6 +185,16 @@ def alert_errors(lines: DataFrame, first: str | None = None, last: str | None =
     return rows.groupBy("event", F.to_date("logged_at").alias("day")).agg(F.count(F.lit(1)).alias("occurrences"), F.min("logged_at").alias("first"), F.max("logged_at").alias("last"), F.min_by(F.substring("line", 1, 240), F.struct("logged_at", "line_no")).alias("sample")).orderBy(F.col("occurrences").desc(), "event", "day").limit(min(limit, ROWS))
 
 
+def parse_error_details(lines: DataFrame, first: str | None = None, last: str | None = None, code: str = "", limit: int = 200) -> DataFrame:
+    """Details of warnings on too many parse errors: when, how many, of which statement, error, user, application and action."""
+    timed = textscan.with_times(lines)
+    opened = textscan.between_days(timed.where(F.col("logged_at").isNotNull()), first, last).select("log_name", "line_no", "logged_at", F.substring("line", 1, 240).alias("sample"))
+    rows = textscan.parse_error_blocks(lines).join(opened, ["log_name", "line_no"])
+    known = lambda c: F.coalesce(c, F.lit("UNKNOWN"))
+    named = rows.select("log_name", "line_no", "logged_at", "total", known(F.lower("sql_hash")).alias("sql_hash"), known(ora_code(F.col("code").cast("string"))).alias("code"), ora_text(F.col("code")).alias("description"), known(F.lower("sqlid")).alias("sqlid"), *(known(F.col(c)).alias(c) for c in ("username", "application", "action")), "sample")
+    return named.where(holds("code", code) | holds("description", code)).orderBy("logged_at", "log_name", "line_no").limit(min(limit, ROWS))
+
+
 def cpu_entitlement(files: DataFrame) -> DataFrame:
     """How near systems run to their entitlement, of ``os_texts``; of ``os_files`` only the readings in its excerpts count."""
     from snapmill.functions.text import cpu_bound
@@ -202,7 +212,7 @@ def instance_info(collections: DataFrame) -> DataFrame:
 TOOLS: dict[str, Callable] = {
     "get_database_load_summary": database_load_summary, "get_snapshot_summary": snapshot_summary, "get_snapshot_details": snapshot_details, "get_sql_text": sql_text, "get_init_parameter": init_parameters,
     "get_db_instance_info": instance_info, "list_available_sql_plans": plans, "get_sql_execution_plan": plans, "list_aix_os_attachments": os_files, "get_aix_os_attachment": os_files, "get_aix_cpu_entitlement_summary": cpu_entitlement,
-    "get_alertlog_errors": alert_errors, "list_snapshots": list_snapshots, "list_snapshots_in_range": list_snapshots, "top_sqls_in_snapshot": top_sqls, "top_wait_events_in_snapshot": top_wait_events, "top_segments_in_snapshot": top_segments,
+    "get_alertlog_errors": alert_errors, "get_alertlog_parse_errors": parse_error_details, "list_snapshots": list_snapshots, "list_snapshots_in_range": list_snapshots, "top_sqls_in_snapshot": top_sqls, "top_wait_events_in_snapshot": top_wait_events, "top_segments_in_snapshot": top_segments,
     "top_latches_in_snapshot": top_latches, "search_sql_text": search_sql_text, "find_sqls_touching_object": sqls_touching, "find_snapshots_with_event": snapshots_with_event, "find_snapshots_with_sql": snapshots_with_sql, "find_sqls_by_module": sqls_by_module,
     "get_metric_time_series": metric_series, "get_wait_event_timeline": event_timeline, "get_sql_timeline": sql_timeline, "compare_snapshots": compare_snapshots, "get_wait_event_histogram": event_histogram, "list_available_metrics": available_metrics,
 }

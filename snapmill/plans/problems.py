@@ -120,11 +120,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_faulty(spark, d).select("source_table", "field_name", "row_id")
 
 
+def p7_impossible(spark: SparkSession, d: str) -> DataFrame:
+    return p7_faulty(spark, d).where("why = 'impossible'").drop("why")
+
+
+def p7_stuck(spark: SparkSession, d: str) -> DataFrame:
+    return p7_faulty(spark, d).where("why = 'stuck'").drop("why")
+
+
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return p7_faulty(spark, d).groupBy("source_table", "field_name", "why").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_host_cpu, p1_wait_events, p1_report, p2_found, p2_messages, p2_layouts, p3_found, p3_forms, p4_found, p4_kinds, p4_unreadable, p4_table, p4_failed_casts, p5_found, p6_found, p6_series, p6_filled, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_host_cpu, p1_wait_events, p1_report, p2_found, p2_messages, p2_layouts, p3_found, p3_forms, p4_found, p4_kinds, p4_unreadable, p4_table, p4_failed_casts, p5_found, p6_found, p6_series, p6_filled, p7_found, p7_impossible, p7_stuck, p7_report)}
 
 _CELL = '("([^"]|"")*"|[^",]*)'
 _P1_CELLS = f"""
@@ -156,6 +164,15 @@ judged AS (
   FROM checked)
 """
 
+_P7_READINGS = """
+WITH cpu AS (SELECT db_id, instance_num, max(cpus) AS cpus FROM db_instance GROUP BY ALL),
+r AS (
+  SELECT 'load_profile' AS source_table, 'per_second' AS field_name, l.row_id, l.db_id, l.instance_num, l.stat_name AS source, l.begin_snap_id AS place, coalesce(l.end_snap_id, -1) AS tie, l.per_second AS v, CASE WHEN l.stat_name = 'DB CPU(s)' THEN cpu.cpus END AS high FROM load_profile l LEFT JOIN cpu USING (db_id, instance_num)
+  UNION ALL SELECT 'wait_events', 'total_wait_time_s', row_id, db_id, instance_num, concat_ws('/', wait_kind, event), begin_snap_id, coalesce(end_snap_id, -1), total_wait_time_s, NULL FROM wait_events
+  UNION ALL SELECT 'wait_events', 'pct_dbtime', row_id, db_id, instance_num, concat_ws('/', wait_kind, event), begin_snap_id, coalesce(end_snap_id, -1), pct_dbtime, 100 FROM wait_events),
+used AS (SELECT *, coalesce(v < 0 OR v > high, false) AS bad, max(abs(v)) OVER (PARTITION BY source_table, field_name, db_id, instance_num, source) AS most FROM r WHERE v IS NOT NULL AND db_id IS NOT NULL AND instance_num IS NOT NULL AND place IS NOT NULL AND source IS NOT NULL AND source <> '')
+"""
+
 SQL = {
     "p1_found": _P1_CELLS + "SELECT row_id, reason FROM judged WHERE reason IS NOT NULL",
     "p1_host_cpu": _P1_CELLS + """
@@ -187,6 +204,14 @@ p AS (SELECT db_id, instance_num, k, min(b) AS b, max(e) AS e, coalesce(max(t),
 n AS (SELECT *, lead(b) OVER (PARTITION BY db_id, instance_num ORDER BY k) AS next_b FROM p)
 SELECT db_id, instance_num, 'period' AS span_kind, b AS from_snap_id, e AS to_snap_id, t AS ends_at FROM n
 UNION ALL SELECT db_id, instance_num, 'gap', e, next_b, t FROM n WHERE next_b IS NOT NULL""",
+    "p7_impossible": _P7_READINGS + "SELECT source_table, field_name, row_id FROM used WHERE bad AND most <> 0",
+    "p7_stuck": _P7_READINGS + """,
+once AS (SELECT DISTINCT source_table, field_name, db_id, instance_num, source, place, tie, v FROM used WHERE most <> 0),
+step AS (SELECT *, CASE WHEN v = lag(v) OVER w THEN 0 ELSE 1 END AS fresh FROM once WINDOW w AS (PARTITION BY source_table, field_name, db_id, instance_num, source ORDER BY place, tie, v)),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY source_table, field_name, db_id, instance_num, source ORDER BY place, tie, v ROWS UNBOUNDED PRECEDING) AS k FROM step),
+long AS (SELECT *, count(*) OVER (PARTITION BY source_table, field_name, db_id, instance_num, source, k) AS n FROM run)
+SELECT u.source_table, u.field_name, u.row_id FROM used u JOIN long l ON u.source_table = l.source_table AND u.field_name = l.field_name AND u.db_id = l.db_id AND u.instance_num = l.instance_num AND u.source = l.source AND u.place = l.place AND u.tie = l.tie AND u.v = l.v
+WHERE l.n >= 5 AND NOT u.bad""",
     "p6_series": """
 WITH s AS (SELECT DISTINCT db_id, instance_num, begin_snap_id, end_snap_id, try_strptime(end_snap_time, '%Y-%m-%d %H:%M:%S') AS t FROM snap_info),
 r AS (SELECT DISTINCT l.db_id, l.instance_num, l.stat_name, l.begin_snap_id, l.end_snap_id, l.per_second, s.t FROM load_profile l JOIN s USING (db_id, instance_num, begin_snap_id, end_snap_id) WHERE per_second IS NOT NULL AND s.t IS NOT NULL)

@@ -101,3 +101,52 @@ def test_spikes_over_a_multiple_of_the_block(spark):
     df = spark.createDataFrame([(i, 1, 1, s, 4000 + i - 2, i, 0, v, None) for s in range(3) for i, v in enumerate(x)], TYPES)  # two readings from id 4096 on
     times = spark.createDataFrame([(1, 1, 4000 + i - 2, i, i * 3600) for i in range(100)], TIMES)
     assert sorted((r.row_id, r.why) for r in faulty(df, times).collect()) == [(40, "spike")] * 3 + [(98, "spike")] * 3
+
+
+def test_distance_of_ids_and_blocks_change_nothing(spark):
+    """The same readings with ids 1 to 4096 apart, in blocks of 16 to 4096: the same faulty ones."""
+    x = noisy(400, seed=9)
+    for i in range(20, 400, 29):
+        x[i] = 900.0 + i
+    x[200:206] = [100.0] * 6
+    want = found(spark, x)
+    assert [k for k, v in want.items() if v == "spike"] == [*range(20, 400, 29)]
+    for apart, block in ((8, 64), (40, 256), (4096, 16), (4096, 4096)):
+        df = spark.createDataFrame([(i, 1, 1, 7, i * apart, i * apart + 1, 0, v, None) for i, v in enumerate(x)], TYPES)
+        times = spark.createDataFrame([(1, 1, i * apart, i * apart + 1, i * 3600) for i in range(len(x))], TIMES)
+        for whole in (1 << 20, 90):
+            assert {r.row_id: r.why for r in faulty(df, times, block=block, whole=whole).collect()} == want
+
+
+def test_long_sources_in_parts(spark):
+    """Sources judged in parts of 64 readings give what they give as wholes: spikes, peaks, runs, bounds, copies, missing times."""
+    r = random.Random(5)
+    rows_, times = [], []
+    for place in range(0, 2400, 3):
+        if r.random() < 0.85:
+            times.append((1, 1, place, 0, place * 1200 + r.randint(0, 900)))
+    for src, kind in ((1, 0), (2, 1), (3, 0), (4, 0), (5, 1)):
+        hold = None
+        for k, place in enumerate(range(0, 2400 if src != 4 else 60, 3)):
+            v1, v2 = 100 + 20 * r.random() + (40 if k > 400 else 0), 30 + 5 * r.random()
+            if place * 1200 // 3600 % 24 == 5 and src == 1:
+                v1 += 180
+            if r.random() < 0.01:
+                v1 *= 40
+            if r.random() < 0.005:
+                v1, v2 = -v1, 130.0
+            if src == 5:
+                v1 = 0.0
+            if hold is None and r.random() < 0.01:
+                hold = [v1, 5 + r.randint(-1, 9)]
+            if hold:
+                v1, hold = hold[0], [hold[0], hold[1] - 1] if hold[1] > 1 else None
+            row = (1, 1, src, place, 0, kind, v1 if r.random() > 0.03 else None, v2 if kind else None)
+            rows_ += [row] * r.choice([1, 1, 1, 1, 2, 3])
+    r.shuffle(rows_)
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows_)], TYPES).cache()
+    at = spark.createDataFrame(times, TIMES)
+    got = {whole: rows(faulty(df, at, whole=whole)) for whole in (1 << 20, 64, 300)}
+    assert {x[3] for x in got[64]} == {"impossible", "stuck", "spike"} and len(got[64]) > 60
+    assert got[64] == got[1 << 20] and got[300] == got[1 << 20]
+    df.unpersist()
