@@ -72,10 +72,10 @@ def normal_quantile(p: float) -> float:
     return value if p > 0.5 else -value
 
 
-def bonferroni_r(tests: int, n: int, alpha: float = 0.05) -> float:
+def bonferroni_r(tests: str | Column, n: str | Column, alpha: float = 0.05) -> Column:
     """The correlation that is significant among ``tests`` ones over ``n`` pairs; 0.5 where that can't be said."""
-    if tests == 0 or n < 4:
-        return 0.5
-    z = normal_quantile(1 - alpha / (2 * tests))
-    return z / math.sqrt(z * z + n - 2)
-
+    many, pairs = col(tests), col(n)
+    t = F.sqrt(-2 * F.log(alpha / (2 * F.greatest(many, F.lit(1)))))
+    power = lambda of: sum((c * F.pow(t, F.lit(i)) for i, c in enumerate(of)), F.lit(0.0))
+    z = t - power(QUANTILE_TOP) / power(QUANTILE_BOTTOM)
+    return F.when((many > 0) & (pairs >= 4), z / F.sqrt(z * z + pairs - 2)).otherwise(0.5)

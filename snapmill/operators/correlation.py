@@ -21,13 +21,17 @@ def to_target(series: DataFrame, target: DataFrame, keys: Sequence[str] = KEYS)
     return with_target(series, target, keys).groupBy(*keys, "name").agg(pearson("value", "target").alias("r"), F.sum("value").alias("total"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("spread"), F.count(F.lit(1)).alias("n"))
 
 
-def significant(correlated: DataFrame, tests: int, n: int, least: float = 0.5) -> DataFrame:
-    """Those beyond the greater of ``least`` and the Bonferroni bound of ``tests`` over ``n`` pairs."""
-    return correlated.where(F.abs("r") >= max(least, bonferroni_r(tests, n)))
+def significant(correlated: DataFrame, target: DataFrame, least: float = 0.5, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Those beyond the greater of ``least`` and the Bonferroni bound of as many tests as the key has names, over as many pairs as the target has
+    snapshots."""
+    pairs = target.groupBy(*keys).agg(F.count_distinct("snap_id").alias("_pairs"))
+    tests = correlated.withColumn("_tests", F.count(F.lit(1)).over(of(keys))).join(pairs, [*keys])
+    return tests.where(F.abs("r") >= F.greatest(F.lit(least), bonferroni_r("_tests", "_pairs"))).drop("_tests", "_pairs")
 
 
 def strong_pairs(left: DataFrame, right: DataFrame, least: float = 0.333, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Pairs of one name of each side, aligned by snapshot, that correlate. The sides hold the top names of a key."""
+    """Pairs of one name of each side, aligned by snapshot, that correlate: every name of a key's left side with every one of its right side,
+    which thus hold the names that matter, as a report's top lists do."""
     at = [*keys, "snap_id"]
     joined = left.select(*at, F.col("name").alias("left_name"), F.col("value").alias("x")).join(right.select(*at, F.col("name").alias("right_name"), F.col("value").alias("y")), at)
     return joined.groupBy(*keys, "left_name", "right_name").agg(pearson("x", "y").alias("r")).where(F.abs("r") >= least)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapmill.common import join_same
+from snapmill.functions.text import ora_code, ora_text
 from snapmill.operators import textscan
 from snapmill.sources.attachments import os_files, plans
 from snapmill.sources.collection import SECTIONS, histogram, metrics, section

@@ -332,9 +332,14 @@ def corr_sql_having(spark, d):
     return r6(found, "r", "mean", "spread").withColumn("total", F.round("total", 4))
 
 
-@query(with_views("stats dbtime waits", f"SELECT {K}, name, round(r, 6) AS r FROM c WHERE abs(r) >= {max(0.5, fs.bonferroni_r(40, 100))}", _TO.format(t="waits")))
+_QUANTILE = "t - ({top}) / ({bottom})".format(top=" + ".join(f"{c} * t ** {i}" for i, c in enumerate(fs.QUANTILE_TOP)), bottom=" + ".join(f"{c} * t ** {i}" for i, c in enumerate(fs.QUANTILE_BOTTOM)))
+
+
+@query(with_views("stats dbtime waits", f"""SELECT {K}, name, round(r, 6) AS r FROM (SELECT *, {_QUANTILE} AS z FROM (SELECT *, sqrt(-2 * ln(0.05 / (2 * count(*) OVER (PARTITION BY {K})))) AS t FROM c JOIN (SELECT {K}, count(DISTINCT snap_id) AS pairs FROM dbtime GROUP BY ALL) USING ({K})))
+WHERE abs(r) >= greatest(0.5, CASE WHEN pairs >= 4 THEN z / sqrt(z * z + pairs - 2) ELSE 0.5 END)""", _TO.format(t="waits")))
 def bonferroni_filter(spark, d):
-    return r6(correlation.significant(to_dbtime(spark, d, views.waits(spark, d)), 40, 100), "r").select("db_id", "instance_num", "name", "r")
+    target = views.named(spark, d, "DB Time(s)")
+    return r6(correlation.significant(correlation.to_target(views.waits(spark, d), target), target), "r").select("db_id", "instance_num", "name", "r")
 
 
 @query(with_views("stats waits", f"SELECT {K}, w.name AS left_name, s.name AS right_name, round({_R.format(x='w.value', y='s.value')}, 6) AS r FROM waits w JOIN stats s USING ({K}, snap_id) GROUP BY ALL HAVING abs({_R.format(x='w.value', y='s.value')}) >= 0.333"))

@@ -189,9 +189,9 @@ def json_props(spark, d):
 
 
 def reports(spark, d) -> DataFrame:
-    """The collections of report_files in the declared shape; fields that drifted are null."""
+    """The collections of report_files in the declared shape; fields that drifted, ids among them, are null."""
     docs = load(spark, d, "report_files").select(F.from_json("payload", collection.SCHEMA).alias("d")).select("d.*")
-    return collection.snapshots(docs).where("db_id is not null and instance_num is not null and snap_id is not null")
+    return collection.snapshots(docs)
 
 
 _LONG = """every AS (SELECT CASE WHEN json_type(payload->'$.db_instance_information.db_id') LIKE '%BIGINT' THEN CAST(payload->>'$.db_instance_information.db_id' AS BIGINT) END AS db_id,
@@ -201,7 +201,7 @@ _LONG = """every AS (SELECT CASE WHEN json_type(payload->'$.db_instance_informat
  CASE WHEN json_type(e->'$.total_wait_time_s') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(e->>'$.total_wait_time_s' AS DOUBLE) END AS total_wait_time_s,
  CASE WHEN json_type(e->'$.pct_dbtime') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(e->>'$.pct_dbtime' AS DOUBLE) END AS pct_dbtime, e->'$.waitevent_histogram_ms' AS h
  FROM (SELECT payload, a, unnest(CAST(a->'$.foreground_wait_events' AS JSON[])) AS e FROM (SELECT payload, unnest(CAST(payload->'$.awrs' AS JSON[])) AS a FROM report_files))),
-long AS (SELECT * FROM every WHERE db_id IS NOT NULL AND instance_num IS NOT NULL AND snap_id IS NOT NULL)"""
+long AS (SELECT * FROM every)"""
 
 
 @query(f"WITH {_LONG} SELECT db_id, instance_num, snap_id, event, waits, total_wait_time_s, pct_dbtime FROM long WHERE lower(event) = 'db file sequential read' AND pct_dbtime >= 5")
@@ -324,11 +324,11 @@ def event_timeline(spark, d):
 
 @query(f"WITH {_LONG} SELECT event, waits FROM long WHERE snap_id = (SELECT min(snap_id) FROM long WHERE waits IS NOT NULL) AND waits IS NOT NULL ORDER BY waits DESC, event LIMIT 5")
 def top_waits_in_snapshot(spark, d):
-    own = reports(spark, d)
-    first = collection.section(own, "foreground_wait_events").where("waits is not null").agg(F.min("snap_id")).first()[0]
-    return tools.top_wait_events(own, -1 if first is None else first, n=5, by="waits").where("waits is not null").select("event", "waits")
+    own = collection.section(reports(spark, d), "foreground_wait_events").where("waits is not null")
+    first = own.agg(F.min("snap_id").alias("snap_id"))
+    return own.join(first, "snap_id", "left_semi").orderBy(F.col("waits").desc(), "event").limit(5).select("event", "waits")
 
 
-@query("SELECT db_id, instance_num, snap_id, cpus, pct_user, pct_idle FROM (SELECT CASE WHEN json_type(payload->'$.db_instance_information.db_id') LIKE '%BIGINT' THEN CAST(payload->>'$.db_instance_information.db_id' AS BIGINT) END AS db_id, CASE WHEN json_type(payload->'$.db_instance_information.instance_num') LIKE '%BIGINT' THEN CAST(payload->>'$.db_instance_information.instance_num' AS SMALLINT) END AS instance_num, CASE WHEN json_type(a->'$.snap_info.begin_snap_id') LIKE '%BIGINT' THEN CAST(a->>'$.snap_info.begin_snap_id' AS BIGINT) END AS snap_id, CASE WHEN json_type(a->'$.host_cpu.cpus') LIKE '%BIGINT' THEN CAST(a->>'$.host_cpu.cpus' AS BIGINT) END AS cpus, CASE WHEN json_type(a->'$.host_cpu.pct_user') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(a->>'$.host_cpu.pct_user' AS DOUBLE) END AS pct_user, CASE WHEN json_type(a->'$.host_cpu.pct_idle') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(a->>'$.host_cpu.pct_idle' AS DOUBLE) END AS pct_idle FROM (SELECT payload, unnest(CAST(payload->'$.awrs' AS JSON[])) AS a FROM report_files)) WHERE db_id IS NOT NULL AND instance_num IS NOT NULL AND snap_id IS NOT NULL")
+@query("SELECT db_id, instance_num, snap_id, cpus, pct_user, pct_idle FROM (SELECT CASE WHEN json_type(payload->'$.db_instance_information.db_id') LIKE '%BIGINT' THEN CAST(payload->>'$.db_instance_information.db_id' AS BIGINT) END AS db_id, CASE WHEN json_type(payload->'$.db_instance_information.instance_num') LIKE '%BIGINT' THEN CAST(payload->>'$.db_instance_information.instance_num' AS SMALLINT) END AS instance_num, CASE WHEN json_type(a->'$.snap_info.begin_snap_id') LIKE '%BIGINT' THEN CAST(a->>'$.snap_info.begin_snap_id' AS BIGINT) END AS snap_id, CASE WHEN json_type(a->'$.host_cpu.cpus') LIKE '%BIGINT' THEN CAST(a->>'$.host_cpu.cpus' AS BIGINT) END AS cpus, CASE WHEN json_type(a->'$.host_cpu.pct_user') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(a->>'$.host_cpu.pct_user' AS DOUBLE) END AS pct_user, CASE WHEN json_type(a->'$.host_cpu.pct_idle') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(a->>'$.host_cpu.pct_idle' AS DOUBLE) END AS pct_idle FROM (SELECT payload, unnest(CAST(payload->'$.awrs' AS JSON[])) AS a FROM report_files))")
 def host_cpu_section(spark, d):
     return collection.section(reports(spark, d), "host_cpu").select("db_id", "instance_num", "snap_id", "cpus", "pct_user", "pct_idle")

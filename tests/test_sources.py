@@ -170,7 +170,7 @@ def test_tools(spark, folder):
     totals = tools.database_load_summary(own)["totals"].first()
     assert (totals.snapshots, totals.db_time_s, round(totals.cpu_ratio, 6)) == (own.count(), 7201.0, round(1200 / 7201, 6))
     assert tools.call("nothing") == {"error": "unknown: 'nothing'"} and "error" in tools.call("get_sql_text")
-    assert len(tools.TOOLS) >= 28
+    assert len(tools.TOOLS) >= 29
     own.unpersist()
 
 

@@ -58,6 +58,23 @@ def test_parse_error_blocks(spark):
     assert rows(textscan.parse_error_blocks(df)) == [("l", 0, 700, "0xab12", 942, "abc9", "SCOTT", "sql tool", "load it"), ("l", 7, 5, None, None, None, None, None, None)]
 
 
+def test_parse_error_details(spark):
+    from snapmill.operators import tools
+
+    lines = ["WARNING: too many parse errors, count=3 SQL hash=0xff", "2024-01-01T00:00:00Z", "WARNING: too many parse errors, count=700 SQL hash=0xAB12", "PARSE ERROR: ospid=1, error=942 for statement:", "Additional information: sqlid=ABC9", "2024-01-03T00:00:00Z", "WARNING: too many parse errors, count=5"]
+    df = spark.createDataFrame([("l", i * 10, x) for i, x in enumerate(lines)], "log_name string, line_no bigint, line string")
+    got = [(r.line_no, str(r.logged_at), r.total, r.sql_hash, r.code, r.description, r.sqlid, r.username) for r in tools.parse_error_details(df).collect()]
+    assert got == [(20, "2024-01-01 00:00:00", 700, "0xab12", "ORA-00942", "table or view does not exist", "abc9", "UNKNOWN"), (60, "2024-01-03 00:00:00", 5, "UNKNOWN", "UNKNOWN", "", "UNKNOWN", "UNKNOWN")]
+    assert tools.parse_error_details(df, code="ora-00942").count() == 1 and tools.parse_error_details(df, first="2024-01-02").count() == 1
+
+
+def test_six_lines_a_block_whatever_their_numbers(spark):
+    lines = ["WARNING: too many parse errors, count=7", "a", "b", "c", "d", "sqlid=in6", "sqlid=late7"]
+    for step in (1, 50):
+        df = spark.createDataFrame([("l", i * step, x) for i, x in enumerate(lines)], "log_name string, line_no bigint, line string")
+        assert [r.sqlid for r in textscan.parse_error_blocks(df).collect()] == ["in6"]
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("1,234.5", "1,5G", "12k", "250us", "a,b\"c", "../x")], "n string, s string, c string, w string, f string, p string")
     got = df.select(text.number(F.col("n")), text.size_mb(F.col("s")), text.count(F.col("c")), text.wait_ms(F.col("w")), text.csv_field(F.col("f")), text.safe_path(F.col("p")), text.safe_path(F.lit("host1/lparstat.out")), text.safe_path(F.lit("/tmp/x")), text.safe_id(F.lit("abc$")), text.without_thoughts(F.lit("<think>x</think>```sql\ny\n```"))).first()
