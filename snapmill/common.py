@@ -23,6 +23,13 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as run at once, if the table is so small that it is read in fewer; a larger one is left as it is
+    read, so that only tables of some input splits are ever moved for this."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 

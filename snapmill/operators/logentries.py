@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,10 +215,6 @@ def scan(line: str, closed: datetime | None) -> Line:
     return out
 
 
-def moment(closed) -> datetime | None:
-    return None if pd.isna(closed) else closed.to_pydatetime()
-
-
 @dataclass
 class Entry:
     """Lines of one block that belong together; kind ``rest`` for those before the block's first beginning."""
@@ -291,7 +288,7 @@ class Survey:
             yield "key", None, key, None, *n
 
 
-def read_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines that may begin entries, each with those up to the next such line, of blocks of lines, which come sorted; and the survey."""
     key, last, held = None, None, []
     done: list[tuple] = []
@@ -310,8 +307,8 @@ def read_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for e in out:
             done.append((*key, e.kind, e.timed() if e.kind != "rest" else False, e.first_line, e.last_line, written(e.at), e.lead, e.sequence, e.texts, [k for k, _ in e.pairs] or None, [v for _, v in e.pairs] or None, e.code, e.hint, e.alone, e.lines == 1, *none))
 
-    for f in frames:
-        for origin, name, block, no, line, closed in zip(f["origin"], f["log_name"], f["block"], f["line_no"], f["line"], f["closed_at"], strict=True):
+    for f in batches:
+        for origin, name, block, no, line, closed in zip(*(f[c].to_pylist() for c in ("origin", "log_name", "block", "line_no", "line", "closed_at")), strict=True):
             if (origin, name, block) != key:
                 if key is not None:
                     close()
@@ -319,7 +316,7 @@ def read_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if no == last:
                 continue  # the same line again
             last = no
-            x = scan(line or "", moment(closed))
+            x = scan(line or "", closed)
             here = held[-1] if held else None
             if x.kind in ("keyed", "inner"):
                 survey.pairs(x.pairs)
@@ -335,12 +332,17 @@ def read_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     here.pairs += x.pairs
                 here.last_line, here.lines, here.code = no, here.lines + 1, here.code or x.code
         if len(done) > 5000:
-            yield pd.DataFrame(done, columns=READ_COLUMNS)
+            yield seen(done)
             done.clear()
     if key is not None:
         close()
     done += [(None,) * (len(READ_COLUMNS) - 9) + row for row in survey.rows()]
-    yield pd.DataFrame(done, columns=READ_COLUMNS)
+    yield seen(done)
+
+
+def seen(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(READ_COLUMNS)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, READ_TYPES, strict=True)], names=READ_COLUMNS)
 
 
 SEEN = "origin string, log_name string, block bigint, kind string, timed boolean, first_line bigint, last_line bigint, at string, lead string, sequence string, texts array<string>, keys array<string>, values array<string>, code string, hint string, alone boolean, single boolean"
@@ -348,6 +350,7 @@ SEEN = "origin string, log_name string, block bigint, kind string, timed boolean
 #: how many values there are, and of each type, and their length.
 READ = SEEN + ", what string, survey_lead string, name string, template string, n bigint, m1 bigint, m2 bigint, m3 bigint, m4 bigint"
 SEEN_COLUMNS, READ_COLUMNS = ([c.split(" ")[0] for c in x.split(", ")] for x in (SEEN, READ))
+READ_TYPES = [{"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[c.split(" ")[1]] for c in READ.split(", ")]
 
 
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -479,7 +482,7 @@ def read(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     key = ["origin", "log_name"]
     own = lines.select(F.col("origin").cast("string").alias("origin"), F.col("log_name").cast("string").alias("log_name"), F.col("line_no").cast("bigint").alias("line_no"), F.col("line").cast("string").alias("line"), F.col("closed_at").cast("timestamp_ntz").alias("closed_at")).where("line_no is not null")
     blocked = collapsed(own).withColumn("block", F.floor(F.col("line_no") / block)).repartition(*key, "block").sortWithinPartitions(*key, "block", "line_no", "line")
-    return cut(blocked.select(*key, "block", "line_no", "line", "closed_at").mapInPandas(read_blocks, READ))
+    return cut(blocked.select(*key, "block", "line_no", "line", "closed_at").mapInArrow(read_blocks, READ))
 
 
 def entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapmill import dims
-from snapmill.common import load
+from snapmill.common import load, spread
 from snapmill.functions import text
 from snapmill.operators import domains, report, series, summaries, textscan, tools
 from snapmill.plans import views
@@ -142,7 +142,7 @@ def block_sessionize(spark, d):
 
 @query(r"SELECT doc_id, t AS table_name FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\n\r\t]', ' ', 'g'), '--[^\n]*', ' ', 'g'), '/\*[\s\S]*?\*/', ' ', 'g'), '''[^'']*''', ' ', 'g'), '\s+', ' ', 'g')), '\b(?:FROM|JOIN|UPDATE|INTO|MERGE\s+INTO|DELETE(?:\s+FROM)?)\s+([A-Z_$#][A-Z0-9_$#]*(?:\.[A-Z_$#][A-Z0-9_$#]*)*)', 1), lambda x: NOT list_contains(string_split('" + " ".join(text.NO_TABLE) + r"', ' '), list_extract(string_split(x, '.'), -1)) AND NOT starts_with(x, 'SYS.') AND NOT starts_with(x, 'SYSTEM.') AND (contains(x, '.') OR length(x) > 1)))) AS t FROM documents WHERE regexp_matches(regexp_replace(regexp_replace(text, '/\*[\s\S]*?\*/', ' ', 'g'), '--[^\n]*', ' ', 'g'), '" + text.STATEMENT + r"'))")
 def table_name_extract(spark, d):
-    own = load(spark, d, "documents").where(text.has_statement(F.col("text")))
+    own = spread(load(spark, d, "documents").select("doc_id", "text")).where(text.has_statement(F.col("text")))
     return own.select("doc_id", F.explode(text.tables(F.col("text"))).alias("table_name"))
 
 
