@@ -43,8 +43,10 @@ WORDS = regex.compile(rf"(?:{WORD.pattern})+")
 BULLET = re.compile(r"^\s*(?:[-*•–]|\d+[.)])\s+")
 #: Marks that close a sentence before a blank, and those of scripts that put none after them.
 ENDS, FULL_ENDS = ".!?…", "。！？｡।॥؟۔"
-END = re.compile(rf"(?<=[{ENDS}])[\"'”’)]*\s+(?=\S)|(?<=[{FULL_ENDS}])[\"'”’)」』】]*\s*(?=\S)")
-PIECE = re.compile(r"\s+|(?<=[，、；：])")
+END = re.compile(rf"(?<=[{ENDS}])[\"'”’)]*\s+(?=\S)")
+WIDE = re.compile(rf"[{FULL_ENDS}，、；：]")
+WIDE_END = re.compile(rf"{END.pattern}|(?<=[{FULL_ENDS}])[\"'”’)」』】]*\s*(?=\S)")
+WIDE_PIECE = re.compile(r"\s+|(?<=[，、；：])")
 CLOSERS, MARKS = "\"'”’)」』】", ".,;:!?…\"'“”„’()[]，、；：「」『』【】" + FULL_ENDS
 #: Where nothing is closed: the least words of a line of prose, and their share of its pieces.
 LINE_WORDS, LINE_SHARE = 5, 0.8
@@ -92,11 +94,12 @@ def sentences(text: str | None) -> list[list[str]]:
             continue
         bullet = BULLET.match(line)
         body = line[bullet.end() :] if bullet else bare
-        for part in END.split(body):
+        wide = not body.isascii() and WIDE.search(body) is not None
+        for part in (WIDE_END if wide else END).split(body):
             part = part.strip()
             if not part:
                 continue
-            pieces = [words_of(p) for p in PIECE.split(part) if p]
+            pieces = [words_of(p) for p in (WIDE_PIECE.split(part) if wide else part.split()) if p]
             words, plain = sorted({w for p in pieces for w in p[0]}), sum(p[1] for p in pieces)
             count = sum(len(p[0]) for p in pieces if p[1])
             if bullet or closed(part):
