@@ -28,7 +28,7 @@ TRAIN_DOCS = 20_000
 LEAST_SENTENCES = 5
 #: Share of the sample's sentences from which a language is one of its own.
 LEAST_LANGUAGE = 0.002
-#: Rounds at most, and the mean movement of the words' log chances below which the rounds have converged.
+#: Rounds at most, and the mean movement of the words' log chances, each weighed by its sentences, below which the rounds have converged.
 ROUNDS, SETTLED = 12, 0.1
 #: Share of a document's sentences that have its own level; neighbouring levels have most of the rest.
 OWN = 0.85
@@ -150,6 +150,7 @@ class Model:
         self.base = np.log(own.T @ np.exp(chance) + 1e-300) if len(words) else np.zeros((len(totals), 4))
         self.chance = np.vstack([chance, np.zeros(4)])
         self.speech = np.vstack([np.log(own), np.zeros(len(totals))]) if len(words) else np.zeros((1, len(totals)))
+        self.sentences = spoken.sum(1)
         self.usual = totals.sum(0) / totals.sum()  # the share of each level, for texts of which no word is known
 
     def difficulty(self) -> pd.DataFrame:
@@ -170,10 +171,10 @@ class Model:
         return np.exp(log - log.max(1, keepdims=True)), owner
 
     def moved(self, other: Model | None) -> float:
-        """The mean difference of the words' log chances from those of a model of the same words."""
-        if other is None or self.chance.shape != other.chance.shape:
+        """The mean difference of the words' log chances, weighed by their sentences, from those of a model of the same words."""
+        if other is None or self.chance.shape != other.chance.shape or not self.sentences.sum():
             return np.inf
-        return float(np.abs(self.chance - other.chance).mean())
+        return float((np.abs(self.chance - other.chance)[:-1].mean(1) * self.sentences).sum() / self.sentences.sum())
 
     def levels(self, docs: list[list[list[str]]], prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Posteriors of documents and of sentences by level, and the document of each sentence."""
