@@ -37,7 +37,7 @@ def abs_linear(x: str | Column, p: float) -> Column:
 
 def at_index(x: str | Column, index: Column) -> Column:
     """The value at a 0-based place of the sorted values."""
-    return F.element_at(F.array_sort(F.collect_list(x)), index.cast("int") + 1)
+    return F.element_at(F.sort_array(F.collect_list(x)), index.cast("int") + 1)
 
 
 def nearest(x: str | Column, p: float) -> Column:

@@ -51,12 +51,12 @@ def mad_sliding(series: DataFrame, percent: float, snapshots: int, threshold: fl
         return mad_global(series, threshold, top, keys).limit(0)
     w = of(keys, "name").orderBy("snap_id")
     placed = series.withColumn("i", F.row_number().over(w) - 1).withColumn("around", F.collect_list("value").over(w.rowsBetween(-half, half - 1)))
-    heads = placed.where(F.col("i") < full).groupBy(*keys, "name").agg(F.array_sort(F.collect_list("value")).alias("head"))
+    heads = placed.where(F.col("i") < full).groupBy(*keys, "name").agg(F.sort_array(F.collect_list("value")).alias("head"))
     head = join_same(placed.where(F.col("i") < half), heads, [*keys, "name"]).withColumn("frame", F.col("head")).drop("head")
-    framed = placed.where(F.col("i") >= half).withColumn("frame", F.array_sort("around")).unionByName(head)
+    framed = placed.where(F.col("i") >= half).withColumn("frame", F.sort_array("around")).unionByName(head)
     # lambda variables hold what is used twice, and the explosion keeps the optimiser from writing it out again
     with_middle = F.transform(F.array("frame"), lambda f: F.struct(f.alias("f"), middle(f).alias("m")))
-    stats = F.transform(with_middle, lambda s: F.struct(s["m"].alias("m"), middle(F.array_sort(F.transform(s["f"], lambda x: F.abs(x - s["m"])))).alias("mad")))
+    stats = F.transform(with_middle, lambda s: F.struct(s["m"].alias("m"), middle(F.sort_array(F.transform(s["f"], lambda x: F.abs(x - s["m"])))).alias("mad")))
     scored = framed.select(*keys, "snap_id", "name", "value", F.explode(stats).alias("s")).select(*keys, "snap_id", "name", "value", "s.*")
     return best(scored.withColumn("score", F.abs(F.col("value") - F.col("m")) / F.nullif("mad", F.lit(0.0))), threshold, top, keys)
 
@@ -96,7 +96,7 @@ def heatmap(anomalies: DataFrame, snaps: DataFrame, domains: Sequence[str], keys
 def summaries(anomalies: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per snapshot the count and a text of all anomalies, as the per-snapshot CSV holds them."""
     line = F.concat_ws(" ", F.col("domain"), F.col("name"), F.format_number(F.col("score"), 2))
-    return anomalies.groupBy(*keys, "snap_id").agg(F.count(F.lit(1)).alias("n"), F.concat_ws("; ", F.array_sort(F.collect_list(line))).alias("summary"))
+    return anomalies.groupBy(*keys, "snap_id").agg(F.count(F.lit(1)).alias("n"), F.concat_ws("; ", F.sort_array(F.collect_list(line))).alias("summary"))
 
 
 def write_csv(anomalies: DataFrame, folder: str, keys: Sequence[str] = KEYS) -> None:

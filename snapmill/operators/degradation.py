@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapmill.functions.stats import mean0, nearest, safe_pearson
+from snapmill.functions.stats import mean0, nearest
+from snapmill.operators.anomalies import middle
 from snapmill.operators.series import KEYS, of, split_windows
 
 # Bounds of what counts as degraded.
@@ -15,17 +16,22 @@ TARGET_Z, TARGET_CHANGE, STRONG_CHANGE, TAIL = 3.0, 25.0, 100.0, 1.25
 NAME_Z, NAME_CHANGE, NAME_R = 2.5, 20.0, 0.3
 
 
-def _compared(rows: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
-    """``compared`` of rows that know their ``part``, with more aggregates. Window and aggregates share one exchange."""
+def _moved(stats: DataFrame) -> DataFrame:
+    """Rise, change in percent and robust z."""
+    rise = F.col("now_mean") - F.col("was_mean")
+    percent = F.when(F.abs("was_mean") < 1e-9, F.when(rise > 0, 100.0).otherwise(0.0)).otherwise(rise / F.nullif(F.abs("was_mean"), F.lit(0.0)) * 100)
+    z = F.when(F.col("mad") <= 1e-9, F.when(rise > 0, 99.0).otherwise(0.0)).otherwise((F.col("now_median") - F.col("was_median")) / F.nullif(1.4826 * F.col("mad"), F.lit(0.0)))
+    return stats.withColumn("rise", rise).withColumn("percent", percent).withColumn("z", z)
+
+
+def _compared(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``compared`` of rows that know their ``part``. Window and aggregates share one exchange."""
     was = F.when(F.col("part") == "baseline", F.col("value"))
     now = F.when(F.col("part") == "recent", F.col("value"))
     middle = rows.withColumn("was_median", F.median(was).over(of(keys, "name")))
     off = F.when(F.col("part") == "baseline", F.abs(F.col("value") - F.col("was_median")))
-    stats = middle.groupBy(*keys, "name").agg(F.first("was_median").alias("was_median"), mean0(was).alias("was_mean"), nearest(was, 0.9).alias("was_p90"), F.median(off).alias("mad"), mean0(now).alias("now_mean"), F.coalesce(F.median(now), F.lit(0.0)).alias("now_median"), F.coalesce(F.greatest(F.max(now), F.lit(0.0)), F.lit(0.0)).alias("now_peak"), *more)
-    rise = F.col("now_mean") - F.col("was_mean")
-    percent = F.when(F.abs("was_mean") < 1e-9, F.when(rise > 0, 100.0).otherwise(0.0)).otherwise(rise / F.nullif(F.abs("was_mean"), F.lit(0.0)) * 100)
-    z = F.when(F.col("mad") <= 1e-9, F.when(rise > 0, 99.0).otherwise(0.0)).otherwise((F.col("now_median") - F.col("was_median")) / F.nullif(1.4826 * F.col("mad"), F.lit(0.0)))
-    return stats.where("was_median is not null").withColumn("rise", rise).withColumn("percent", percent).withColumn("z", z)
+    stats = middle.groupBy(*keys, "name").agg(F.first("was_median").alias("was_median"), mean0(was).alias("was_mean"), nearest(was, 0.9).alias("was_p90"), F.median(off).alias("mad"), mean0(now).alias("now_mean"), F.coalesce(F.median(now), F.lit(0.0)).alias("now_median"), F.coalesce(F.greatest(F.max(now), F.lit(0.0)), F.lit(0.0)).alias("now_peak"))
+    return _moved(stats.where("was_median is not null"))
 
 
 def compared(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -45,17 +51,41 @@ def verdict(target: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return compared(target, keys).withColumn("degraded", robust | shift | tail)
 
 
-def findings(series: DataFrame, target: DataFrame, domain: str, keys: Sequence[str] = KEYS, snaps_of_target: bool = False) -> DataFrame:
-    """Names of a dense series that got worse, with their correlation and share of the target's rise. ``snaps_of_target``: the series was
-    made dense over the snapshots of the target, so that these needn't be looked for in it."""
-    # part and target of a snapshot come with one join, and a name's numbers with one exchange
-    parts = split_windows(target.select(*keys, "snap_id").distinct(), keys) if snaps_of_target else split_windows(series.select(*keys, "snap_id").distinct(), keys)
-    at = parts.join(target.select(*keys, "snap_id", F.col("value").alias("target")), [*keys, "snap_id"], "left")
-    rows = series.where("value is not null").join(at, [*keys, "snap_id"])
-    known = F.when(F.col("target").isNotNull(), F.col("value"))
-    stats = _compared(rows, keys, safe_pearson(known, "target").alias("r"), F.max(F.abs(known)).alias("most"))
+def _sparse(facts: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What ``compared`` tells of the series made dense with zeros over the target's snapshots, with correlation and greatest size, from the rows
+    that are there: zeros are added to a name's sorted values, which are as many as there are snapshots, and to its moments."""
+    parts = split_windows(target.select(*keys, "snap_id").distinct(), keys)
+    at = parts.join(target.select(*keys, "snap_id", F.col("value").alias("t")), [*keys, "snap_id"])
+    of_part = lambda p, x: F.when(F.col("part") == p, x)
+    whole = at.groupBy(*keys).agg(F.count(of_part("baseline", 1)).alias("nb"), F.count(of_part("recent", 1)).alias("nr"), F.count(F.lit(1)).alias("n"), F.avg("t").alias("mean_t"), F.var_pop("t").alias("var_t"))
+    rows = facts.where("value is not null").join(at, [*keys, "snap_id"])
+    value = F.col("value")
+    own = rows.groupBy(*keys, "name").agg(F.collect_list(of_part("baseline", value)).alias("b"), F.collect_list(of_part("recent", value)).alias("r"), F.count(value).alias("n1"), F.avg(value).alias("m1"), F.var_pop(value).alias("v1"), F.avg("t").alias("t1"), F.covar_pop("value", "t").alias("c1"), F.max(F.abs(value)).alias("most"))
+    filled = lambda c, n: F.sort_array(F.concat(c, F.array_repeat(F.lit(0.0), F.greatest(F.col(n) - F.size(c), F.lit(0)).cast("int")))).alias(c)
+    mean = lambda c, n: F.when(F.col(n) > 0, F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.col(n)).otherwise(0.0)
+    # lambda variables hold what is used more than once, and the explosion keeps the optimiser from writing it out again
+    values = F.transform(F.array(F.struct(filled("b", "nb"), filled("r", "nr"))), lambda s: F.struct(s["b"].alias("b"), s["r"].alias("r"), middle(s["b"]).alias("m")))
+    told = F.transform(values, lambda s: F.struct(
+        s["m"].alias("was_median"), mean(s["b"], "nb").alias("was_mean"), F.get(s["b"], F.round((F.col("nb") - 1) * 0.9).cast("int")).alias("was_p90"),
+        middle(F.sort_array(F.transform(s["b"], lambda x: F.abs(x - s["m"])))).alias("mad"),
+        mean(s["r"], "nr").alias("now_mean"), F.coalesce(middle(s["r"]), F.lit(0.0)).alias("now_median"), F.coalesce(F.greatest(F.array_max(s["r"]), F.lit(0.0)), F.lit(0.0)).alias("now_peak"),
+    ))
+    n, n1 = F.col("n"), F.col("n1")
+    n0 = n - n1
+    zero_t = F.when(n0 > 0, (F.col("mean_t") * n - F.col("t1") * n1) / F.nullif(n0, F.lit(0))).otherwise(0.0)
+    covariance = (F.col("c1") * n1 + F.col("m1") * (F.col("t1") - zero_t) * n1 * n0 / n) / n
+    spread = F.sqrt((F.col("v1") * n1 + F.col("m1") * F.col("m1") * n1 * n0 / n) / n) * F.sqrt("var_t")
+    r = F.when((n >= 2) & (spread * n > 1e-12), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), covariance / F.nullif(spread, F.lit(0.0))))).otherwise(0.0)
+    dense = own.where("most > 1e-9").join(whole, [*keys])
+    return _moved(dense.select(*keys, "name", "most", r.alias("_r"), F.explode(told).alias("s")).select(*keys, "name", "most", F.col("_r").alias("r"), "s.*").where("was_median is not null"))
+
+
+def findings(facts: DataFrame, target: DataFrame, domain: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Names that got worse over the target's snapshots, in which a name that is absent counts as 0, with their correlation and share of the
+    target's rise. ``facts`` has a row at most per key, snapshot and name."""
+    stats = _sparse(facts, target, keys)
     whole = compared(target, keys).select(*keys, F.col("rise").alias("target_rise"))
-    rows = stats.where("most > 1e-9").join(whole, [*keys]).where("rise > 0")
+    rows = stats.join(whole, [*keys]).where("rise > 0")
     percent = F.col("percent")
     worse = (F.col("z") >= NAME_Z) | (percent >= STRONG_CHANGE) | ((percent >= NAME_CHANGE) & (F.abs("r") >= NAME_R)) | ((percent >= NAME_CHANGE) & (F.col("now_peak") > F.col("was_p90") * TAIL))
     share = F.when(F.col("target_rise") > 1e-9, F.least(F.greatest(F.col("rise") / F.nullif("target_rise", F.lit(0.0)), F.lit(0.0)), F.lit(9.99))).otherwise(0.0)

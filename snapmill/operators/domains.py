@@ -89,9 +89,10 @@ def target(metrics: DataFrame, name: str) -> DataFrame:
 
 def series(metrics: DataFrame, domains: Sequence[str] = tuple(DOMAINS)) -> DataFrame:
     """``keys, snap_id, domain, name, value`` of the domains."""
-    rule = reduce(lambda c, d: c.when((F.col("kind") == DOMAINS[d][0]) & (F.col("field") == DOMAINS[d][1]), d), domains[1:], F.when((F.col("kind") == DOMAINS[domains[0]][0]) & (F.col("field") == DOMAINS[domains[0]][1]), domains[0]))
-    rows = metrics.withColumn("domain", rule).where("domain is not null and name is not null and value is not null")
-    return rows.groupBy(*KEYS, "snap_id", "domain", "name").agg(F.sum("value").alias("value"))
+    wanted = reduce(lambda a, b: a | b, ((F.col("kind") == DOMAINS[d][0]) & (F.col("field") == DOMAINS[d][1]) for d in domains))
+    rows = metrics.where(wanted & F.col("name").isNotNull() & F.col("value").isNotNull()).groupBy(*KEYS, "snap_id", "kind", "name").agg(F.sum("value").alias("value"))
+    label = reduce(lambda c, d: c.when(F.col("kind") == DOMAINS[d][0], d), domains[1:], F.when(F.col("kind") == DOMAINS[domains[0]][0], domains[0]))
+    return rows.select(*KEYS, "snap_id", label.alias("domain"), "name", "value")
 
 
 def found_anomalies(metrics: DataFrame, threshold: float = anomalies.THRESHOLD, top: int = anomalies.TOP, dense: bool = False) -> DataFrame:
@@ -118,7 +119,7 @@ def degraded(metrics: DataFrame, domains: Sequence[str] = DEGRADING) -> DataFram
     """Names of the five domains that got worse against the database time, as ``degradation.findings``."""
     goal = target(metrics, TARGETS["time"])
     rows = series(metrics, domains).withColumn("name", F.concat_ws(" ", "domain", "name")).drop("domain")
-    found = degradation.findings(densify(rows, 0.0, snaps=goal), goal, "", snaps_of_target=True)
+    found = degradation.findings(rows, goal, "")
     return found.withColumn("domain", F.substring_index("name", " ", 1)).withColumn("name", F.expr("substring(name, length(domain) + 2)"))
 
 

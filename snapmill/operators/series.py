@@ -60,7 +60,7 @@ def zscore(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def robust_z(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(x - upper median) / (1.4826 MAD), 0 where the MAD is 0."""
-    middle = lambda x: F.element_at(F.array_sort(F.collect_list(x)), (F.count(x) / 2).cast("int") + 1)
+    middle = lambda x: F.element_at(F.sort_array(F.collect_list(x)), (F.count(x) / 2).cast("int") + 1)
     medians = series.groupBy(*keys, "name").agg(middle("value").alias("m"))
     off = series.join(medians, [*keys, "name"])
     mads = off.groupBy(*keys, "name").agg(middle(F.abs(F.col("value") - F.col("m"))).alias("mad"))

@@ -30,11 +30,11 @@ def waits(spark: SparkSession, d: str, kind: str = "foreground") -> DataFrame:
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
     """The tables' numbers in the form of ``collection.metrics``."""
-    at = [*AT, "kind", "name", "field", "value"]
-    load_ = stats(spark, d).select(*AT, F.lit("load_profile").alias("kind"), "name", F.lit("per_second").alias("field"), "value")
-    kinds = F.concat(F.col("wait_kind"), F.lit("_wait_events")).alias("kind")
-    events = _keyed(load(spark, d, "wait_events")).where("total_wait_time_s is not null").groupBy(*AT, kinds, F.col("event").alias("name")).agg(F.max("total_wait_time_s").alias("value"))
-    return load_.unionByName(events.select(*AT, "kind", "name", F.lit("total_wait_time_s").alias("field"), "value")).select(at)
+    at, value = [*AT, "kind", "name"], F.col("value")
+    rates = _keyed(load(spark, d, "load_profile")).select(*AT, F.lit("load_profile").alias("kind"), F.col("stat_name").alias("name"), F.col("per_second").alias("value"))
+    waits_ = _keyed(load(spark, d, "wait_events")).select(*AT, F.concat(F.col("wait_kind"), F.lit("_wait_events")).alias("kind"), F.col("event").alias("name"), F.col("total_wait_time_s").alias("value"))
+    rows = rates.unionByName(waits_).where(value.isNotNull()).groupBy(*at).agg(F.max("value").alias("value"))
+    return rows.select(*at, F.when(F.col("kind") == "load_profile", "per_second").otherwise("total_wait_time_s").alias("field"), "value")
 
 
 def named(spark: SparkSession, d: str, name: str) -> DataFrame:
