@@ -315,7 +315,38 @@ def read_text(file_name: str, text: str) -> dict:
             name, parameters[key] = key, end or begin
         elif not key and begin and name:
             parameters[name] += begin  # a wrapped value
-    return {"snapshot": doc, "instance": instance_in(text), "sql_text": {}, "parameters": parameters}
+    texts: dict[str, str] = {}
+    for section in ("sql_cpu_time", "sql_elapsed_time", "sql_gets", "sql_reads"):
+        for sql_id, own in statement_texts(found.get(section, [])).items():
+            texts[sql_id] = max(texts.get(sql_id, ""), own, key=len)
+    return {"snapshot": doc, "instance": instance_in(text), "sql_text": texts, "parameters": parameters}
+
+
+# How the lines begin that head each page of a section of statements, what others of them hold, and how statements begin.
+PAGE_HEADS = (
+    "SQL ordered by ", "-> ", "------", "CPU ", "Time (s)", "Elapsed", "Elap per", "Buffer Gets", "Physical Rds", "Executions", "Parse Calls", "Max", "Cluster",
+    "Memory (KB)", "Version", "%Total", "% Total", "Sharable", "CPU per", "Old",
+)
+PAGE_MARKS = ("Hash Value", "DB/Inst:", "Snaps:")
+STATEMENT_BEGINS = re.compile(r"(?i)(SELECT|INSERT|UPDATE|DELETE|MERGE|DECLARE|BEGIN)\b")
+
+
+def statement_of(line: str) -> str | None:
+    """The id that ends a line of numbers in a section of statements."""
+    t = line.split()
+    return t[-1] if len(t) >= 7 and is_number(t[0]) and re.fullmatch(r"[A-Za-z0-9]{5,20}", t[-1]) else None
+
+
+def statement_texts(lines: list[str]) -> dict[str, str]:
+    """Texts of the statements of a section, over pages: what follows a statement's numbers, from its first word on. The longest of several counts."""
+    bare = [t for t in map(str.strip, lines) if t and not t.startswith(PAGE_HEADS) and not any(m in t for m in PAGE_MARKS)]
+    places = [k for k, t in enumerate(bare) if statement_of(t)]
+    found: dict[str, str] = {}
+    for k, end in zip(places, [*places[1:], len(bare)], strict=False):
+        body = [t for t in bare[k + 1 : end] if not t.startswith("Module:")]
+        start = next((i for i, t in enumerate(body) if STATEMENT_BEGINS.match(t)), len(body))
+        found[statement_of(bare[k])] = max(found.get(statement_of(bare[k]), ""), "\n".join(body[start:]), key=len)
+    return {sql_id: text for sql_id, text in found.items() if text}
 
 
 def instance_in(text: str) -> dict:

@@ -206,3 +206,14 @@ def test_csv_sinks(spark, tmp_path):
     anomalies.write_csv(found, str(tmp_path / "out"))
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out/snapshots")).first().summary == 'waits a "b", c 9.50'
     assert load(spark, f"{DATA}/sf0.001", "pack_sizes").count() == 2
+
+
+def test_statement_texts_over_pages():
+    """The text of a statement goes on after the head of the next page; the longest text of an id counts."""
+    lines = [
+        "SQL ordered by CPU  DB/Inst: X/x  Snaps: 1-2", "-> Resources", "  CPU   Old", "---------- ----",
+        "      10.5      3       3.5    1.0    11.2    5,000  1234567890", "Module: app", "SELECT a,", "  b", "", "\x0cSQL ordered by CPU  DB/Inst: X/x  Snaps: 1-2", "-> again", "FROM t",
+        "       5.0      1       5.0    1.0     5.2      100  abc9def01", "noise", "begin null; end;", "       5.0      1       5.0    1.0     5.2      100  abc9def01", "begin; end",
+        "       1.0      1       5.0    1.0     5.2      100  nothing99", "Module: x",
+    ]
+    assert reports.statement_texts([x.lstrip("\x0c") for x in lines]) == {"1234567890": "SELECT a,\nb\nFROM t", "abc9def01": "begin null; end;"}
