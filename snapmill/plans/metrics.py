@@ -156,14 +156,14 @@ def threshold_counts(spark, d):
     return by_name(views.waits(spark, d).where("pct is not null"), n=n, n5=F.count_if(F.col("pct") >= 5), n20=F.count_if(F.col("pct") >= 20), share5=F.round(F.count_if(F.col("pct") >= 5) / n * 100, 6))
 
 
-@query(with_views("stats", f"SELECT {K}, name, n, round(least_, 6) AS least, round(min(CASE WHEN value >= q1 - 1.5 * (q3 - q1) THEN value END), 6) AS lower_fence, round(q1, 6) AS q1, round(mean, 5) AS mean, round(q2, 6) AS q2, round(q3, 6) AS q3, round(max(CASE WHEN value <= q3 + 1.5 * (q3 - q1) THEN value END), 6) AS upper_fence, round(most, 6) AS most, round(sqrt(var), 4) AS spread FROM stats JOIN q USING ({K}, name) GROUP BY {K}, name, n, least_, q1, mean, q2, q3, most, var", f"q AS (SELECT {K}, name, count(*) AS n, min(value) AS least_, quantile_cont(value, 0.25) AS q1, avg(value) AS mean, median(value) AS q2, quantile_cont(value, 0.75) AS q3, max(value) AS most, var_pop(value) AS var FROM stats GROUP BY ALL)"))
+@query(with_views("stats", f"SELECT {K}, name, n, round(least_, 6) AS least, round(min(CASE WHEN value >= q1 - 1.5 * (q3 - q1) THEN value END), 6) AS lower_fence, round(q1, 6) AS q1, round(mean + 1e-7, 5) AS mean, round(q2, 6) AS q2, round(q3, 6) AS q3, round(max(CASE WHEN value <= q3 + 1.5 * (q3 - q1) THEN value END), 6) AS upper_fence, round(most, 6) AS most, round(sqrt(var), 4) AS spread FROM stats JOIN q USING ({K}, name) GROUP BY {K}, name, n, least_, q1, mean, q2, q3, most, var", f"q AS (SELECT {K}, name, count(*) AS n, min(value) AS least_, quantile_cont(value, 0.25) AS q1, avg(value) AS mean, median(value) AS q2, quantile_cont(value, 0.75) AS q3, max(value) AS most, var_pop(value) AS var FROM stats GROUP BY ALL)"))
 def five_number_fences(spark, d):
     df = views.stats(spark, d)
     q = by_name(df, n=F.count(F.lit(1)), least=F.min("value"), q=F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), mean=F.avg("value"), most=F.max("value"), variance=F.var_pop("value"))
     wide = df.join(q, ["db_id", "instance_num", "name"]).withColumns({"q1": F.col("q")[0], "q2": F.col("q")[1], "q3": F.col("q")[2]})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fences = wide.groupBy("db_id", "instance_num", "name", "n", "least", "q1", "mean", "q2", "q3", "most", "variance").agg(F.min(F.when(F.col("value") >= F.col("q1") - reach, F.col("value"))).alias("lower_fence"), F.max(F.when(F.col("value") <= F.col("q3") + reach, F.col("value"))).alias("upper_fence"))
-    return r6(fences, "least", "q1", "q2", "q3", "most", "lower_fence", "upper_fence").withColumns({"spread": F.round(F.sqrt("variance"), 4), "mean": F.round("mean", 5)}).drop("variance")
+    return r6(fences, "least", "q1", "q2", "q3", "most", "lower_fence", "upper_fence").withColumns({"spread": F.round(F.sqrt("variance"), 4), "mean": F.round(F.col("mean") + 1e-7, 5)}).drop("variance")
 
 
 # Anomalies
