@@ -92,8 +92,8 @@ def unreadable(files: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            reason = [parsed(p)[1] for p in f["payload"]]
-            yield pd.DataFrame({"file_id": f["file_id"], "reason": reason})[[r is not None for r in reason]]
+            rows = pd.DataFrame({"file_id": f["file_id"], "reason": [parsed(p)[1] for p in f["payload"]]})
+            yield rows[rows["reason"].notna()]
 
     return files.select("file_id", "payload").mapInPandas(run, "file_id bigint, reason string")
 
